@@ -262,9 +262,8 @@ def knn_features(
     big = (
         tracks.groupBy(*frame).count().filter(F.col("count") > max_in_memory).select(*frame)
     )
-    levels = [float(2 ** 21)]
-    while levels[-1] > 1.0:
-        levels.append(levels[-1] / (2 ** 9 if levels[-1] == 2.0 ** 21 else 2))
+    # one cell for everything, then halves from 4096 pixels down to a 64th of a pixel
+    levels = [float(2 ** 21), *(float(2 ** e) for e in range(12, -7, -1))]
     small = _neighbours_in_frame(tracks.join(big, frame, "left_anti"), frame, k, rest)
     large = _neighbours_by_cell(tracks.join(big, frame, "left_semi"), frame, k, rest, levels)
     both = small.unionByName(large)
