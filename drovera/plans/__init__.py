@@ -1,0 +1,16 @@
+"""Whole jobs built from the operators, and the registry of named queries."""
+
+from __future__ import annotations
+
+from importlib import import_module
+
+_MODULES = ("q_telemetry",)
+
+
+def load_queries():
+    """Import every query module and return (queries, oracle SQL)."""
+    for name in _MODULES:
+        import_module(f"{__name__}.{name}")
+    from .registry import ORACLES, QUERIES
+
+    return QUERIES, ORACLES
