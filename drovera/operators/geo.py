@@ -280,10 +280,10 @@ def geofence_layer(
             ((a * (p["lat"] - f) - d * (p["lon"] - c)) / det).alias("lat"),
         ),
     )
-    lines = frames.select(
+    lines = frames.withColumn("_ring", to_px).select(
         *keys,
         F.col(image_w).alias("_w"),
-        _edges(to_px).alias("_edges"),
+        _edges(F.col("_ring")).alias("_edges"),
         F.explode(F.sequence(F.lit(0), F.col(image_h) - 1)).alias("y"),
     )
     yc = F.col("y") + 0.5

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import constants as C
 from . import ordered as O
@@ -94,34 +95,38 @@ def asof_nearest(
     both = O.time_blocks(both, keys, "_t", width_us=width, target_rows=target_rows)
 
     is_right = F.col("_side") == 0
-    before = O.carry_table(
-        both,
-        keys,
-        {
-            # the first arrival among rows sharing the latest (earliest) time of the block
-            "_last": F.max_by(
-                "_r", F.when(is_right, F.struct(F.col("_t"), (-F.col("_r.o")).alias("o")))
-            )
-        },
-        {"_prev_in": lambda w: F.last("_last", ignorenulls=True).over(w)},
+    # per block: the first arrival among rows sharing its latest (and its earliest) time
+    latest = F.struct(F.col("_t"), (-F.col("_r.o")).alias("o"))
+    earliest = F.struct(F.col("_t"), F.col("_r.o"))
+    per_block = both.groupBy(*keys, O.BLK).agg(
+        F.max_by("_r", F.when(is_right, latest)).alias("_last"),
+        F.min_by("_r", F.when(is_right, earliest)).alias("_first"),
     )
-    after = O.carry_table(
-        both,
-        keys,
-        {"_first": F.min_by("_r", F.when(is_right, F.struct(F.col("_t"), F.col("_r.o"))))},
-        {"_next_in": lambda w: F.last("_first", ignorenulls=True).over(w)},
-        backward=True,
+    earlier = Window.partitionBy(*keys).orderBy(O.BLK).rowsBetween(Window.unboundedPreceding, -1)
+    later = (
+        Window.partitionBy(*keys)
+        .orderBy(F.col(O.BLK).desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carry = per_block.select(
+        *keys,
+        O.BLK,
+        F.last("_last", ignorenulls=True).over(earlier).alias("_prev_in"),
+        F.last("_first", ignorenulls=True).over(later).alias("_next_in"),
     )
     up = O.block_window(keys, ["_t", "_side", F.col("_r.o")])
     down = O.block_window(
         keys, [F.col("_t").desc(), F.col("_side").desc(), F.col("_r.o").desc()]
     )
     repeat = F.coalesce(F.lag("_t").over(up) == F.col("_t"), F.lit(False))
-    seen = both.withColumn("_lead", F.when(is_right & ~repeat, F.col("_r")))
-    seen = seen.withColumn("_prev", F.last("_lead", ignorenulls=True).over(O.running(up)))
-    seen = seen.withColumn("_next", F.last("_r", ignorenulls=True).over(O.running(down)))
+    seen = both.withColumn("_lead", F.when(is_right & ~repeat, F.col("_r"))).withColumns(
+        {
+            "_prev": F.last("_lead", ignorenulls=True).over(O.running(up)),
+            "_next": F.last("_r", ignorenulls=True).over(O.running(down)),
+        }
+    )
     seen = seen.filter(~is_right)
-    seen = O.with_carry(O.with_carry(seen, before, keys), after, keys)
+    seen = O.with_carry(seen, carry, keys)
     prev, nxt = F.coalesce("_prev", "_prev_in"), F.coalesce("_next", "_next_in")
     seen = seen.select("_l", "_t", prev.alias("_prev"), nxt.alias("_next"))
     d_prev, d_next = F.col("_t") - F.col("_prev.t"), F.col("_next.t") - F.col("_t")
@@ -171,7 +176,5 @@ def last_n(
 ) -> DataFrame:
     """The latest ``n`` rows per key (a bounded buffer). Spark prunes each partition to ``n`` rows
     per key before the shuffle, so a hot key sends at most ``n`` rows per task."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("q_telemetry",)
+_MODULES = ("q_telemetry", "q_geo", "q_masks")
 
 
 def load_queries():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import geo, telemetry
+from ..session import cut
 from ..settings import Camera
 from . import views as V
 from .registry import query
@@ -40,7 +41,8 @@ def snapshot(spark, d) -> DataFrame:
 
 
 def matched(spark, d) -> DataFrame:
-    return telemetry.asof_nearest(V.frames(spark, d), snapshots(spark, d), tol_us=V.TOL_US)
+    # the join reads its right side several times (densities, block summaries, rows)
+    return telemetry.asof_nearest(V.frames(spark, d), cut(snapshots(spark, d)), tol_us=V.TOL_US)
 
 
 @query(
