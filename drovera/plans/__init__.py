@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("q_telemetry", "q_geo", "q_masks", "q_raster", "q_tracks", "q_anomaly", "q_alerts")
+_MODULES = ("q_telemetry", "q_geo", "q_masks", "q_raster", "q_tracks", "q_anomaly", "q_alerts", "q_streaming")
 
 
 def load_queries():

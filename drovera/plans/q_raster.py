@@ -144,8 +144,8 @@ def windows(spark, d) -> DataFrame:
 @query(
     "dem_window",
     f"""WITH {_WINDOW_SQL} SELECT frame_id, half AS half_size, 2 * half + 1 AS window_size, row0, row1, col0, col1,
-      round({META['c']} + col0 * {META['a']}, 7) AS min_lon, round({META['f']} - (row1 + 1) * {META['a']}, 7) AS min_lat,
-      round({META['c']} + (col1 + 1) * {META['a']}, 7) AS max_lon, round({META['f']} - row0 * {META['a']}, 7) AS max_lat,
+      round(CAST({META['c']} + col0 * {META['a']} AS DOUBLE), 7) AS min_lon, round(CAST({META['f']} - (row1 + 1) * {META['a']} AS DOUBLE), 7) AS min_lat,
+      round(CAST({META['c']} + (col1 + 1) * {META['a']} AS DOUBLE), 7) AS max_lon, round(CAST({META['f']} - row0 * {META['a']} AS DOUBLE), 7) AS max_lat,
       row0 >= 0 AND col0 >= 0 AND col1 < {V.DEM_COLS} AND row1 <= (SELECT max("row") FROM dem) AS on_raster FROM win""",
 )
 def window(spark, d) -> DataFrame:
