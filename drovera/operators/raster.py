@@ -303,3 +303,72 @@ def compute_once_per_pose(
         term = F.col(p).eqNullSafe(F.col(f"_p_{p}"))
         cond = term if cond is None else cond & term
     return frames.join(renamed, cond, "left").drop(*[f"_p_{p}" for p in pose])
+
+
+def pad_raster(
+    cells: DataFrame, dem_meta: DataFrame, *, ring: int = 2, keys: Sequence[str] = ("dem_id",)
+) -> DataFrame:
+    """Adds ``ring`` cells of elevation 0 and nodata 1 around the raster.
+
+    Beyond its edge a raster counts as flat ground at height 0 that nobody surveyed, so the edge
+    itself is a cliff; slopes computed after padding show that.
+    """
+    h, w, k = F.col("height"), F.col("width"), ring
+    lines = dem_meta.select(
+        *keys, "width", "height", F.explode(F.sequence(F.lit(-k), h + (k - 1))).alias("row")
+    ).repartition(*keys, "row")
+    outside = (F.col("row") < 0) | (F.col("row") >= h)
+    edge = F.concat(
+        F.sequence(F.lit(-k), F.lit(-1)), F.sequence(w.cast("int"), (w + (k - 1)).cast("int"))
+    )
+    cols = F.when(outside, F.sequence(F.lit(-k), (w + (k - 1)).cast("int"))).otherwise(edge)
+    border = lines.select(
+        *keys, F.col("row").cast("int").alias("row"), F.explode(cols).alias("col"),
+        F.lit(0.0).alias("elev"), F.lit(1).alias("nodata"),
+    )
+    return cells.select(*keys, F.col("row").cast("int").alias("row"),
+                        F.col("col").cast("int").alias("col"), "elev", "nodata").unionByName(border)
+
+
+def cell_layer_spans(
+    spans: DataFrame,
+    dem_meta: DataFrame,
+    cells: DataFrame,
+    *,
+    frame: Sequence[str] = ("flight_id", "frame_id"),
+    keys: Sequence[str] = ("dem_id",),
+    layers: Sequence[str] = ("nodata", "slope"),
+) -> DataFrame:
+    """Raster layers under the given spans, as spans.
+
+    Each span (with the frame's affine on its row) is cut where the nearest cell changes, so what
+    is shuffled to the cells is one row per run instead of one per pixel. Cells the raster does not
+    have are nodata and not steep.
+    """
+    s = spans.join(dem_meta.select(*keys, *"abcdef"), list(keys), "inner")
+
+    def cell(x: Column) -> tuple[Column, Column]:
+        px, py = x + 0.5, F.col("y") + 0.5
+        lon = F.col("aff_a") * px + F.col("aff_b") * py + F.col("aff_c")
+        lat = F.col("aff_d") * px + F.col("aff_e") * py + F.col("aff_f")
+        col, row = _invert(lon, lat)
+        return F.floor(row), F.floor(col)
+
+    def moved(x: Column) -> Column:
+        (r0, c0), (r1, c1) = cell(x - 1), cell(x)
+        return (r0 != r1) | (c0 != c1)
+
+    s = s.withColumn(
+        "_b", F.filter(F.sequence("x0", "x1"), lambda x: (x == F.col("x0")) | moved(x))
+    )
+    ends = F.concat(F.transform(F.slice("_b", 2, F.size("_b")), lambda x: x - 1), F.array("x1"))
+    runs = s.withColumn("_e", ends).withColumn("_r", F.explode(F.arrays_zip("_b", "_e")))
+    runs = runs.withColumns({"x0": F.col("_r._b"), "x1": F.col("_r._e")})
+    row, col = cell(F.col("x0"))
+    runs = runs.select(*frame, *keys, "y", "x0", "x1", row.alias("row"), col.alias("col"))
+    hit = runs.join(cells.select(*keys, "row", "col", *layers), [*keys, "row", "col"], "left")
+    default = {name: F.lit(1 if name == "nodata" else 0) for name in layers}
+    named = F.array_compact(
+        F.array(*[F.when(F.coalesce(F.col(n), default[n]) == 1, F.lit(n)) for n in layers])
+    )
+    return hit.select(*frame, F.explode(named).alias("layer"), "y", "x0", "x1")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("q_telemetry", "q_geo", "q_masks", "q_raster", "q_tracks", "q_anomaly", "q_alerts", "q_streaming")
+_MODULES = (
+    "q_telemetry", "q_geo", "q_masks", "q_raster", "q_tracks", "q_anomaly", "q_alerts", "q_streaming",
+    "q_monitoring",
+)
 
 
 def load_queries():

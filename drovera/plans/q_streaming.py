@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import telemetry
+from ..operators import alerts, telemetry
 from ..streaming import stateful
-from ..streaming.run import drain, scratch
+from ..streaming.run import drain, drain_updates, scratch
 from . import views as V
 from .q_alerts import _GAP
 from .registry import ORACLES, query
@@ -77,16 +77,27 @@ def asof(spark, d) -> DataFrame:
     return out.filter("flight_id >= 0")
 
 
+def _candidates(events: DataFrame) -> DataFrame:
+    message = "CASE WHEN event_type IN ('error', 'purchase') THEN event_type ELSE '' END"
+    return events.select(
+        "flight_id", F.col("event_id").alias("frame_id"), "ts_us", F.expr(message).alias("alert_msg")
+    )
+
+
 @query("stream_cooldown", None)
 def cooldown(spark, d) -> DataFrame:
     stateful.use_rocksdb(spark)
-    c = event_stream(spark, d).select(
-        "flight_id", F.col("event_id").alias("frame_id"), "ts_us",
-        F.expr("CASE WHEN event_type IN ('error', 'purchase') THEN event_type ELSE '' END").alias("alert_msg"),
-    )
+    c = _candidates(event_stream(spark, d))
     return drain(stateful.cooldown(c, cooldown_us=V.COOLDOWN_US), "cooldown")
 
 
+@query("stream_latest_alert", None)
+def latest(spark, d) -> DataFrame:
+    stateful.use_rocksdb(spark)
+    c = _candidates(event_stream(spark, d)).filter("alert_msg <> ''")
+    return alerts.latest_alert(drain_updates(stateful.latest(c), "latest"))
+
+
 @query("stream_sessions", None)
 def sessions(spark, d) -> DataFrame:
     e = event_stream(spark, d).unionByName(end_marker(spark, d))
@@ -98,6 +109,7 @@ for _stream, _batch in (
     ("stream_snapshot", "telemetry_snapshot"),
     ("stream_asof", "asof_nearest"),
     ("stream_cooldown", "alert_cooldown"),
+    ("stream_latest_alert", "latest_alert"),
     ("stream_sessions", "session_close"),
 ):
     ORACLES[_stream] = ORACLES[_batch]

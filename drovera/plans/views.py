@@ -327,20 +327,22 @@ SCORED = (
     CAST({AE_WAVE} AS DOUBLE) AS ae, CAST({SOC_WAVE} AS DOUBLE) AS soc FROM br)"""
 )
 
-STATE_SQL = (
-    SCORED
-    + f""", seg0 AS (
+def state_sql(scored: str, length: int, smooth: int, duration: int, ae: float, soc: float) -> str:
+    """The state machine over a table ``sc`` of raw scores, as window queries."""
+    return (
+        scored
+        + f""", seg0 AS (
   SELECT *, kf_seq - row_number() OVER (PARTITION BY flight_id, track_id ORDER BY kf_seq) AS seg FROM sc),
 elig AS (
-  SELECT *, row_number() OVER (PARTITION BY flight_id, track_id, seg ORDER BY kf_seq) >= {SEQ_LEN} AS eligible FROM seg0),
+  SELECT *, row_number() OVER (PARTITION BY flight_id, track_id, seg ORDER BY kf_seq) >= {length} AS eligible FROM seg0),
 sm AS (
   SELECT *, CASE WHEN eligible THEN avg(CASE WHEN eligible THEN ae END) OVER w END AS ae_smooth,
     CASE WHEN eligible THEN avg(CASE WHEN eligible THEN soc END) OVER w END AS soc_smooth
   FROM elig WINDOW w AS (PARTITION BY flight_id, track_id, seg ORDER BY kf_seq
-    ROWS BETWEEN {SMOOTH - 1} PRECEDING AND CURRENT ROW)),
+    ROWS BETWEEN {smooth - 1} PRECEDING AND CURRENT ROW)),
 fl AS (
-  SELECT *, coalesce(ae_smooth > 2.75, false) AS ae_up, coalesce(soc_smooth > 5.0, false) AS soc_up,
-    coalesce(ae_smooth > 2.75, false) OR coalesce(soc_smooth > 5.0, false) AS flagged FROM sm),
+  SELECT *, coalesce(ae_smooth > {ae}, false) AS ae_up, coalesce(soc_smooth > {soc}, false) AS soc_up,
+    coalesce(ae_smooth > {ae}, false) OR coalesce(soc_smooth > {soc}, false) AS flagged FROM sm),
 isl AS (
   SELECT *, CASE WHEN flagged THEN kf_seq - row_number() OVER (
       PARTITION BY flight_id, track_id, flagged ORDER BY kf_seq) END AS run FROM fl),
@@ -348,12 +350,15 @@ st AS (
   SELECT *, CASE WHEN flagged THEN row_number() OVER (
       PARTITION BY flight_id, track_id, flagged, run ORDER BY kf_seq) ELSE 0 END AS lasted FROM isl),
 state AS (
-  SELECT *, lasted >= {DURATION} AS confirmed,
+  SELECT *, lasted >= {duration} AS confirmed,
     CASE WHEN NOT eligible THEN 'unscored' WHEN NOT flagged THEN 'ok'
-      ELSE CASE WHEN lasted >= {DURATION} THEN 'confirmed_' ELSE 'elevated_' END
+      ELSE CASE WHEN lasted >= {duration} THEN 'confirmed_' ELSE 'elevated_' END
         || CASE WHEN ae_up AND soc_up THEN 'both' WHEN ae_up THEN 'ae' ELSE 'soc' END END AS state
   FROM st)"""
-)
+    )
+
+
+STATE_SQL = state_sql(SCORED, SEQ_LEN, SMOOTH, DURATION, 2.75, 5.0)
 
 # ---------------------------------------------------------------- alerts
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType, streaming: bool, fmt: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema: str, streaming: bool, fmt: str) -> DataFrame:
     reader = spark.readStream if streaming else spark.read
     return reader.schema(schema).format(fmt).load(path)
 

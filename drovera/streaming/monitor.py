@@ -15,16 +15,22 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .. import constants as C
 from ..settings import AnomalySettings
 
-KEYFRAME_ROW = T.StructType.fromDDL(
+KEYFRAME_ROW = (
     "flight_id BIGINT, frame_id BIGINT, kf_seq BIGINT, ts_us BIGINT, h ARRAY<DOUBLE>, "
     "tracks ARRAY<STRUCT<track_id: BIGINT, cx: DOUBLE, cy: DOUBLE>>"
 )
-SCORED_ROW = T.StructType.fromDDL(
+SCORED_ROW = (
     "flight_id BIGINT, frame_id BIGINT, kf_seq BIGINT, ts_us BIGINT, track_id BIGINT, "
     "is_visible BOOLEAN, eligible BOOLEAN, ae_smooth DOUBLE, soc_smooth DOUBLE, "
     "ae_up BOOLEAN, soc_up BOOLEAN, confirmed BOOLEAN, state STRING"
 )
 
+KEYFRAME_COLS = ("flight_id", "frame_id", "kf_seq", "ts_us", "h", "tracks")
+SCORED_COLS = (
+    "flight_id", "frame_id", "kf_seq", "ts_us", "track_id", "is_visible", "eligible", "ae_smooth",
+    "soc_smooth", "ae_up", "soc_up", "confirmed", "state",
+)
+
 Predict = Callable[[np.ndarray], np.ndarray]
 
 
@@ -88,7 +94,7 @@ class _Monitor(StatefulProcessor):
         herd = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else _Herd()
         out = [r for kf in pdf.itertuples(index=False) for r in self.step(herd, kf)]
         self.state.update((pickle.dumps(herd),))
-        yield pd.DataFrame(out, columns=SCORED_ROW.names)
+        yield pd.DataFrame(out, columns=list(SCORED_COLS))
 
     def step(self, herd: _Herd, kf) -> list[tuple]:
         seen = sorted((int(t["track_id"]), t["cx"], t["cy"]) for t in (kf.tracks if kf.tracks is not None else []))
@@ -187,6 +193,6 @@ def track_monitor(
     its state is a few hundred short histories; flights spread over the cluster.
     """
     processor = _Monitor(settings, make_predict_fn, ae_mean, ae_std, float(max(width, height)))
-    return keyframes.select(*KEYFRAME_ROW.names).groupBy("flight_id").transformWithStateInPandas(
+    return keyframes.select(*KEYFRAME_COLS).groupBy("flight_id").transformWithStateInPandas(
         processor, SCORED_ROW, "Append", "None"
     )

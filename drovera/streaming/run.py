@@ -31,3 +31,22 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     )
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def drain_updates(stream: DataFrame, name: str) -> DataFrame:
+    """Process all available input in update mode; returns every changed row of every batch."""
+    spark = stream.sparkSession
+    folder = scratch(spark, name)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    q = (
+        stream.writeStream.foreachBatch(keep)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)

@@ -203,10 +203,10 @@ class _Cooldown(StatefulProcessor):
 def cooldown(candidates: DataFrame, *, cooldown_us: int = C.ALERT_COOLDOWN_US) -> DataFrame:
     """Streaming ``alert_cooldown``. A flight's alerts must arrive in time order across
     micro-batches; one that is late never passes before an alert already sent."""
-    schema = T.StructType.fromDDL("flight_id BIGINT, frame_id BIGINT, ts_us BIGINT, alert_msg STRING")
+    schema = "flight_id BIGINT, frame_id BIGINT, ts_us BIGINT, alert_msg STRING"
     return (
         candidates.filter(F.coalesce(F.col("alert_msg"), F.lit("")) != "")
-        .select(*schema.names)
+        .select("flight_id", "frame_id", "ts_us", "alert_msg")
         .groupBy("flight_id")
         .transformWithStateInPandas(_Cooldown(cooldown_us), schema, "Append", "None")
     )
