@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,3 +45,35 @@ def diag_mahalanobis(
         term = (x - m) * (x - m) / v
         total = term if total is None else total + term
     return F.sqrt(total)
+
+
+def nearest(pos: np.ndarray, k: int) -> np.ndarray:
+    """Indices (n, k) of the k nearest other points; distance ties go to the smaller index."""
+    d2 = ((pos[:, None, :] - pos[None, :, :]) ** 2).sum(axis=2)
+    np.fill_diagonal(d2, np.inf)
+    limit = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
+    within = d2 <= limit
+    tied = np.nonzero(within.sum(axis=1) > k)[0]
+    for i in tied:
+        within[i] = False
+        within[i, np.argsort(d2[i], kind="stable")[:k]] = True
+    return np.nonzero(within)[1].reshape(len(pos), k)
+
+
+def feature_vectors(pos: np.ndarray, vel: np.ndarray, k: int, size: float) -> np.ndarray:
+    """Nine float32 features per track of one keyframe, from positions and velocities (n, 2).
+
+    Own velocity, velocity relative to the mean of the min(k, n - 1) nearest tracks, speed and its
+    offset, position relative to their centroid, mean distance to them; all divided by ``size``.
+    """
+    n = len(pos)
+    k = min(k, n - 1)
+    speed = np.sqrt((vel ** 2).sum(axis=1))
+    if k > 0:
+        near = nearest(pos, k)
+        at, v, s = pos[near].mean(axis=1), vel[near].mean(axis=1), speed[near].mean(axis=1)
+        far = np.sqrt(((pos[near] - pos[:, None, :]) ** 2).sum(axis=2)).mean(axis=1)
+    else:
+        at, v, s, far = pos, vel, speed, np.zeros(n)
+    cols = [vel[:, 0], vel[:, 1], *(vel - v).T, speed, speed - s, *(pos - at).T, far]
+    return (np.column_stack(cols) / size).astype(np.float32)

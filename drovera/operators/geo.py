@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import geodesy
+from ..session import spread
 from ..settings import Camera
 
 Ring = Sequence[tuple[float, float]]
@@ -269,7 +270,8 @@ def geofence_layer(
 
     The ring is moved into pixel coordinates with the inverse of the frame's affine, each line is
     cut at its crossings (sampled at pixel centres), and the gaps between inside runs are the
-    layer. Everything is a per-row expression: the job has no shuffle.
+    layer. Everything is a per-row expression; only the frames themselves are shuffled, to give
+    every task its share of scan lines.
     """
     a, b, c, d, e, f = (F.col(f"aff_{k}") for k in "abcdef")
     det = a * e - b * d
@@ -280,14 +282,17 @@ def geofence_layer(
             ((a * (p["lat"] - f) - d * (p["lon"] - c)) / det).alias("lat"),
         ),
     )
-    lines = frames.withColumn("_ring", to_px).select(
+    # the ring is transformed once per frame, before its lines are listed
+    moved = spread(frames, *keys).withColumn("_ring", to_px)
+    moved = moved.withColumn("_edges", _edges(F.col("_ring")))
+    lines = moved.select(
         *keys,
         F.col(image_w).alias("_w"),
-        _edges(F.col("_ring")).alias("_edges"),
+        "_edges",
         F.explode(F.sequence(F.lit(0), F.col(image_h) - 1)).alias("y"),
     )
     yc = F.col("y") + 0.5
-    cuts = F.array_sort(
+    cuts = F.sort_array(
         F.transform(
             F.filter("_edges", lambda g: (g["ay"] > yc) != (g["by"] > yc)),
             lambda g: _crossing_x(g, yc),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import constants as C
+from ..session import spread
 
 TILE = 256
 
@@ -345,27 +346,45 @@ def cell_layer_spans(
     is shuffled to the cells is one row per run instead of one per pixel. Cells the raster does not
     have are nodata and not steep.
     """
-    s = spans.join(dem_meta.select(*keys, *"abcdef"), list(keys), "inner")
+    s = spread(spans, *frame, "y").join(dem_meta.select(*keys, *"abcdef"), list(keys), "inner")
 
-    def cell(x: Column) -> tuple[Column, Column]:
+    # along one image row the cell coordinates are linear in x: start + slope * x
+    def cell_at(x: Column) -> tuple[Column, Column]:
         px, py = x + 0.5, F.col("y") + 0.5
         lon = F.col("aff_a") * px + F.col("aff_b") * py + F.col("aff_c")
         lat = F.col("aff_d") * px + F.col("aff_e") * py + F.col("aff_f")
-        col, row = _invert(lon, lat)
-        return F.floor(row), F.floor(col)
+        return _invert(lon, lat)
 
-    def moved(x: Column) -> Column:
-        (r0, c0), (r1, c1) = cell(x - 1), cell(x)
-        return (r0 != r1) | (c0 != c1)
+    (col0, row0), (col1, row1) = cell_at(F.lit(0)), cell_at(F.lit(1))
+    s = s.withColumns({"_cs": col0, "_ck": col1 - col0, "_rs": row0, "_rk": row1 - row0})
 
-    s = s.withColumn(
-        "_b", F.filter(F.sequence("x0", "x1"), lambda x: (x == F.col("x0")) | moved(x))
+    def cuts(start: str, step: str) -> Column:
+        """First pixels of the cells a row enters after its first one."""
+        at0 = F.floor(F.col(start) + F.col(step) * F.col("x0"))
+        at1 = F.floor(F.col(start) + F.col(step) * F.col("x1"))
+        lo, hi = F.least(at0, at1), F.greatest(at0, at1)
+
+        def first(border: Column) -> Column:
+            x = (border - F.col(start)) / F.col(step)
+            return F.when(F.col(step) > 0, F.ceil(x)).otherwise(F.floor(x) + 1)
+
+        return F.when(hi > lo, F.transform(F.sequence(lo + 1, hi), first)).otherwise(
+            F.array().cast("array<bigint>")
+        )
+
+    x0, x1 = F.col("x0").cast("bigint"), F.col("x1").cast("bigint")
+    inner = F.filter(
+        F.concat(cuts("_cs", "_ck"), cuts("_rs", "_rk")), lambda x: (x > x0) & (x <= x1)
     )
-    ends = F.concat(F.transform(F.slice("_b", 2, F.size("_b")), lambda x: x - 1), F.array("x1"))
+    s = s.withColumn("_b", F.sort_array(F.array_distinct(F.concat(F.array(x0), inner))))
+    ends = F.concat(F.transform(F.slice("_b", 2, F.size("_b")), lambda x: x - 1), F.array(x1))
     runs = s.withColumn("_e", ends).withColumn("_r", F.explode(F.arrays_zip("_b", "_e")))
-    runs = runs.withColumns({"x0": F.col("_r._b"), "x1": F.col("_r._e")})
-    row, col = cell(F.col("x0"))
-    runs = runs.select(*frame, *keys, "y", "x0", "x1", row.alias("row"), col.alias("col"))
+    runs = runs.select(
+        *frame, *keys, "y",
+        F.col("_r._b").cast("int").alias("x0"), F.col("_r._e").cast("int").alias("x1"),
+        F.floor(F.col("_rs") + F.col("_rk") * F.col("_r._b")).alias("row"),
+        F.floor(F.col("_cs") + F.col("_ck") * F.col("_r._b")).alias("col"),
+    )
     hit = runs.join(cells.select(*keys, "row", "col", *layers), [*keys, "row", "col"], "left")
     default = {name: F.lit(1 if name == "nodata" else 0) for name in layers}
     named = F.array_compact(

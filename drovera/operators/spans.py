@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import constants as C
+from ..session import spread
 
 FRAME = ("flight_id", "frame_id")
 WindowCols = Mapping[str, Column]
@@ -57,7 +58,7 @@ def safety_spans(
         .filter((y + r >= 0) & (y - r < height) & (x + r >= 0) & (x - r < width))
         .distinct()
     )
-    lines = circles.withColumn(
+    lines = spread(circles, *keys, "_x", "_y").withColumn(
         "y", F.explode(F.sequence(F.greatest(y - r, F.lit(0)), F.least(y + r, F.lit(height - 1))))
     )
     dy = F.col("y") - y
@@ -75,16 +76,23 @@ def safety_spans(
     )
 
 
-def _events(spans: DataFrame, keys: Sequence[str], deltas: Mapping[str, Column]) -> DataFrame:
-    """Opening and closing events of spans; ``deltas`` are +1 per mask the span belongs to."""
+def _events(parts: Sequence[tuple[DataFrame, Mapping[str, Column]]], keys: Sequence[str]) -> DataFrame:
+    """Opening and closing events of spans; the deltas are 1 for every mask a span belongs to.
+
+    Spans are shuffled by image row and only then doubled into events.
+    """
+    stacked = None
+    for df, deltas in parts:
+        s = df.select(*keys, "y", "x0", "x1", *[e.alias(n) for n, e in deltas.items()])
+        stacked = s if stacked is None else stacked.unionByName(s)
+    names = list(parts[0][1])
     ends = F.array(
         F.struct(F.col("x0").alias("x"), F.lit(1).alias("s")),
         F.struct((F.col("x1") + 1).alias("x"), F.lit(-1).alias("s")),
     )
-    return spans.select(
-        *keys, "y", *[e.alias(n) for n, e in deltas.items()], F.explode(ends).alias("_e")
-    ).select(
-        *keys, "y", F.col("_e.x").alias("x"), *[(F.col(n) * F.col("_e.s")).alias(n) for n in deltas]
+    rows = stacked.repartition(*keys, "y")
+    return rows.select(*keys, "y", *names, F.explode(ends).alias("_e")).select(
+        *keys, "y", F.col("_e.x").alias("x"), *[(F.col(n) * F.col("_e.s")).alias(n) for n in names]
     )
 
 
@@ -103,9 +111,9 @@ def _flips(events: DataFrame, keys: Sequence[str], flag: Callable[[WindowCols],
 
 def _combine(a: DataFrame, b: DataFrame, keys: Sequence[str],
              flag: Callable[[WindowCols], Column]) -> DataFrame:
-    ea = _events(a, keys, {"_a": F.lit(1), "_b": F.lit(0)})
-    eb = _events(b, keys, {"_a": F.lit(0), "_b": F.lit(1)})
-    return _flips(ea.unionByName(eb), keys, flag, ("_a", "_b"))
+    in_a = {"_a": F.lit(1), "_b": F.lit(0)}
+    in_b = {"_a": F.lit(0), "_b": F.lit(1)}
+    return _flips(_events([(a, in_a), (b, in_b)], keys), keys, flag, ("_a", "_b"))
 
 
 def span_intersect(a: DataFrame, b: DataFrame, *, keys: Sequence[str] = FRAME) -> DataFrame:
@@ -121,7 +129,7 @@ def mask_difference(a: DataFrame, b: DataFrame, *, keys: Sequence[str] = FRAME)
 def mask_union(spans: DataFrame, *, keys: Sequence[str] = FRAME) -> DataFrame:
     """Logical OR of all spans of a key, as maximal runs. Add ``layer`` to the keys to keep layers
     apart."""
-    return _flips(_events(spans, keys, {"_a": F.lit(1)}), keys, lambda m: m["_a"], ("_a",))
+    return _flips(_events([(spans, {"_a": F.lit(1)})], keys), keys, lambda m: m["_a"], ("_a",))
 
 
 def mask_complement(
@@ -193,9 +201,8 @@ def danger_flags(
     inside safety circles, ``danger_px`` the danger outside them.
     """
     cols = {"_safe": F.lit(0), **{f"_l_{n}": (F.col("layer") == n).cast("int") for n in names}}
-    ev = _events(layers.filter(F.col("layer").isin(*names)), keys, cols)
     only = {"_safe": F.lit(1), **{f"_l_{n}": F.lit(0) for n in names}}
-    ev = ev.unionByName(_events(safety, keys, only))
+    ev = _events([(layers.filter(F.col("layer").isin(*names)), cols), (safety, only)], keys)
     w = Window.partitionBy(*keys, "y").orderBy("x")
     seg = ev.select(
         *keys,

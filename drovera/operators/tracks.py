@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import constants as C
@@ -109,7 +112,7 @@ def _mean(items: Column, value) -> Column:
     return total / F.size(items)
 
 
-def _relative(df: DataFrame, nb: str, inv_max: float) -> dict[str, Column]:
+def _relative(df: DataFrame, nb: str, size: float) -> dict[str, Column]:
     """Nine features from the own motion and the neighbour list; no neighbours, no offsets."""
     items = F.col(nb)
     alone = F.size(items) == 0
@@ -129,34 +132,45 @@ def _relative(df: DataFrame, nb: str, inv_max: float) -> dict[str, Column]:
         "rel_y": off(F.col("cy"), lambda o: o["cy"]),
         "knn_dist": F.when(alone, F.lit(0.0)).otherwise(_mean(items, lambda o: F.sqrt(o["d2"]))),
     }
-    return {n: (e * F.lit(inv_max)).cast("float") for n, e in raw.items()}
+    return {n: (e / F.lit(size)).cast("float") for n, e in raw.items()}
 
 
 _POINT = ("track_id", "cx", "cy", "vx", "vy")
 
 
-def _neighbours_in_frame(df: DataFrame, frame: Sequence[str], k: int, rest: Sequence[str]) -> DataFrame:
-    """Frames of bounded size: one array per frame, distances sorted inside the JVM, no pair rows."""
-    me_cols = [*_POINT, *rest]
-    grouped = df.groupBy(*frame).agg(F.collect_list(F.struct(*me_cols)).alias("_g"))
-
-    def near(me: Column) -> Column:
-        others = F.filter("_g", lambda o: o["track_id"] != me["track_id"])
-        dist = F.transform(
-            others,
-            lambda o: F.struct(
-                ((o["cx"] - me["cx"]) * (o["cx"] - me["cx"])
-                 + (o["cy"] - me["cy"]) * (o["cy"] - me["cy"])).alias("d2"),
-                *[o[c].alias(c) for c in _POINT],
-            ),
-        )
-        return F.slice(F.array_sort(dist), 1, k)
-
-    rows = F.transform("_g", lambda me: F.struct(me.alias("me"), near(me).alias("nb")))
-    return grouped.select(*frame, F.explode(rows).alias("_r")).select(
-        *frame, "_r.me.*", F.col("_r.nb").alias("_nb")
+def _frame_features(df: DataFrame, frame: Sequence[str], k: int, rest: Sequence[str], size: float) -> DataFrame:
+    """Frames of bounded size: one distance matrix per frame, over Arrow batches of many frames."""
+    frame = list(frame)
+    kept = [*frame, *_POINT, *rest]
+    schema = T.StructType(
+        [df.schema[c] for c in kept] + [T.StructField(f, T.FloatType()) for f in FEATURES]
     )
 
+    def features(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf[frame].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)])
+        pos, vel = pdf[["cx", "cy"]].to_numpy(float), pdf[["vx", "vy"]].to_numpy(float)
+        out = np.empty((len(pdf), len(FEATURES)), dtype=np.float32)
+        for s, e in zip(starts, np.r_[starts[1:], len(pdf)]):
+            out[s:e] = motion.feature_vectors(pos[s:e], vel[s:e], k, size)
+        return pd.concat([pdf, pd.DataFrame(out, columns=list(FEATURES), index=pdf.index)], axis=1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_frame = None  # a frame may continue in the next batch
+        for pdf in batches:
+            if open_frame is not None:
+                pdf = pd.concat([open_frame, pdf], ignore_index=True)
+            ids = pdf[frame].to_numpy()
+            last = int(np.flatnonzero((ids != ids[-1]).any(axis=1))[-1]) + 1 if (ids != ids[-1]).any() else 0
+            if last:
+                yield features(pdf.iloc[:last])
+            open_frame = pdf.iloc[last:]
+        if open_frame is not None and len(open_frame):
+            yield features(open_frame)
+
+    ordered = df.select(*kept).repartition(*frame).sortWithinPartitions(*frame, "track_id")
+    return ordered.mapInPandas(run, schema)
+
 
 def _neighbours_by_cell(
     df: DataFrame, frame: Sequence[str], k: int, rest: Sequence[str], levels: Sequence[float]
@@ -249,13 +263,13 @@ def knn_features(
     height: int = C.PROCESSING_SHAPE[1],
     frame: Sequence[str] = KEYFRAME,
     max_in_memory: int = 512,
-    keep_neighbours: bool = False,
 ) -> DataFrame:
     """Nine motion features per track from its min(k, N - 1) nearest tracks of the same keyframe.
 
     Distance ties go to the smaller track id. A keyframe of a tracker holds at most a few hundred
-    tracks and is handled as one array; keyframes above ``max_in_memory`` tracks take the cell
-    search instead, which returns the same neighbours.
+    tracks, so its distances fit one small matrix; keyframes above ``max_in_memory`` tracks take
+    the cell search instead, which finds the same neighbours. Whether there are any is looked up
+    first (one count per keyframe), so pass a stage that is already materialised.
     """
     frame = list(frame)
     rest = [c for c in tracks.columns if c not in frame and c not in _POINT]
@@ -264,13 +278,13 @@ def knn_features(
     )
     # one cell for everything, then halves from 4096 pixels down to a 64th of a pixel
     levels = [float(2 ** 21), *(float(2 ** e) for e in range(12, -7, -1))]
-    small = _neighbours_in_frame(tracks.join(big, frame, "left_anti"), frame, k, rest)
+    size = float(max(width, height))
+    if big.isEmpty():
+        return _frame_features(tracks, frame, k, rest, size)
+    small = _frame_features(tracks.join(big, frame, "left_anti"), frame, k, rest, size)
     large = _neighbours_by_cell(tracks.join(big, frame, "left_semi"), frame, k, rest, levels)
-    both = small.unionByName(large)
-    out = both.withColumns(_relative(both, "_nb", 1.0 / max(width, height)))
-    if keep_neighbours:
-        return out.withColumnRenamed("_nb", "neighbours")
-    return out.drop("_nb")
+    large = large.withColumns(_relative(large, "_nb", size)).drop("_nb")
+    return small.unionByName(large)
 
 
 def bridge_gaps(

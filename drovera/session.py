@@ -69,3 +69,14 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash rows over ``spark.sql.shuffle.partitions`` tasks before they multiply.
+
+    Adaptive execution merges partitions by their size now; rows that each expand to hundreds
+    (scan lines, circle rows) would then be expanded by a few tasks. A stated partition count is
+    left alone by it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)

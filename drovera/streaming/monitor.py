@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import constants as C
+from ..functions.motion import feature_vectors
 from ..settings import AnomalySettings
 
 KEYFRAME_ROW = (
@@ -60,24 +61,6 @@ def _warp(p: np.ndarray, h) -> np.ndarray:
     return np.array([x / w, y / w]) if w else np.zeros(2)
 
 
-def _vectors(ids: np.ndarray, pos: np.ndarray, vel: np.ndarray, k: int, size: float) -> np.ndarray:
-    """Feature vectors of the tracks of one keyframe, ids ascending."""
-    n = len(ids)
-    k = min(k, n - 1)
-    speed = np.hypot(vel[:, 0], vel[:, 1])
-    if k > 0:
-        d2 = ((pos[:, None, :] - pos[None, :, :]) ** 2).sum(axis=2)
-        np.fill_diagonal(d2, np.inf)
-        near = np.argsort(d2, axis=1, kind="stable")[:, :k]
-        at, v = pos[near].mean(axis=1), vel[near].mean(axis=1)
-        s = speed[near].mean(axis=1)
-        far = np.sqrt(np.take_along_axis(d2, near, axis=1)).mean(axis=1)
-    else:
-        at, v, s, far = pos, vel, speed, np.zeros(n)
-    cols = [vel[:, 0], vel[:, 1], *(vel - v).T, speed, speed - s, *(pos - at).T, far]
-    return (np.column_stack(cols) / size).astype(np.float32)
-
-
 class _Monitor(StatefulProcessor):
     def __init__(self, settings: AnomalySettings, make_predict_fn: Callable[[], Predict] | None,
                  ae_mean: float, ae_std: float, size: float):
@@ -125,7 +108,7 @@ class _Monitor(StatefulProcessor):
                 p - _warp(herd.animals[i].centre, h) if i in herd.animals else np.zeros(2)
                 for i, p in zip(ids.tolist(), pos)
             ])
-            for i, p, f in zip(ids.tolist(), pos, _vectors(ids, pos, vel, self.s.knn_k, self.size)):
+            for i, p, f in zip(ids.tolist(), pos, feature_vectors(pos, vel, self.s.knn_k, self.size)):
                 a = herd.animals.setdefault(i, _Animal(p))
                 a.centre, a.missed = p, 0
                 a.vectors.append(f)
