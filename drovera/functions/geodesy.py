@@ -1,8 +1,8 @@
 """Ground resolution and WGS-84 geodesics as column expressions.
 
 The geodesic direct and inverse problems follow Vincenty's published series (Survey Review, 1975).
-Every step is its own column so that Catalyst keeps it in one code-generated stage and evaluates
-each intermediate once.
+Every step is its own column of a nested select, so that Catalyst keeps the chain in one
+code-generated stage and evaluates each intermediate once.
 """
 
 from __future__ import annotations
@@ -48,89 +48,102 @@ def camera_resolution(alt: Column, camera: Camera, image_w: Column, image_h: Col
     )
 
 
-def _series(u_sq: Column) -> tuple[Column, Column]:
-    big_a = 1 + u_sq / 16384 * (4096 + u_sq * (-768 + u_sq * (320 - 175 * u_sq)))
-    big_b = u_sq / 1024 * (256 + u_sq * (-128 + u_sq * (74 - 47 * u_sq)))
-    return big_a, big_b
+Steps = list[dict[str, str]]
 
 
-def _delta_sigma(b: Column, sin_s: Column, cos_s: Column, cos_2m: Column) -> Column:
-    inner = cos_s * (2 * cos_2m * cos_2m - 1) - b / 6 * cos_2m * (4 * sin_s * sin_s - 3) * (
-        4 * cos_2m * cos_2m - 3
+def staged(df: DataFrame, steps: Steps, result: dict[str, str]) -> DataFrame:
+    """Evaluate SQL expressions in stages, each seeing the columns of the earlier ones.
+
+    The stages are nested selects, analysed a dozen at a time. Intermediate columns carry the
+    prefix ``_g_`` and do not appear in the result.
+    """
+    kept = [f"`{c}`" for c in df.columns if c not in result]
+    for at in range(0, len(steps), _DEPTH):
+        sql = "SELECT * FROM {source}"
+        for step in steps[at : at + _DEPTH]:
+            sql = f"SELECT *, {', '.join(f'{e} AS _g_{n}' for n, e in step.items())} FROM ({sql})"
+        df = df.sparkSession.sql(sql, source=df)
+    return df.selectExpr(*kept, *[f"{e} AS `{n}`" for n, e in result.items()])
+
+
+# nested selects per statement; the SQL parser recurses into them
+_DEPTH = 12
+
+_EP2 = (_A * _A - _B * _B) / (_B * _B)
+
+# the two polynomials in u^2, and the correction of the angular distance
+_BIG_A = "1 + _g_usq / 16384 * (4096 + _g_usq * (-768 + _g_usq * (320 - 175 * _g_usq)))"
+_BIG_B = "_g_usq / 1024 * (256 + _g_usq * (-128 + _g_usq * (74 - 47 * _g_usq)))"
+
+
+def _delta(ss: str, cs: str, c2: str) -> str:
+    return (
+        f"_g_B * {ss} * ({c2} + _g_B / 4 * ({cs} * (2 * {c2} * {c2} - 1) "
+        f"- _g_B / 6 * {c2} * (4 * {ss} * {ss} - 3) * (4 * {c2} * {c2} - 3)))"
     )
-    return b * sin_s * (cos_2m + b / 4 * inner)
 
 
-def _longitude_term(sin_alpha: Column, cos_sq: Column, sigma: Column, sin_s: Column,
-                    cos_s: Column, cos_2m: Column) -> Column:
-    c = _F / 16 * cos_sq * (4 + _F * (4 - 3 * cos_sq))
-    return (1 - c) * _F * sin_alpha * (
-        sigma + c * sin_s * (cos_2m + c * cos_s * (2 * cos_2m * cos_2m - 1))
+def _longitude(sa: str, csq: str, sig: str, ss: str, cs: str, c2: str) -> str:
+    c = f"({_F!r}D / 16 * {csq} * (4 + {_F!r}D * (4 - 3 * {csq})))"
+    return (
+        f"(1 - {c}) * {_F!r}D * {sa} * ({sig} + {c} * {ss} * "
+        f"({c2} + {c} * {cs} * (2 * {c2} * {c2} - 1)))"
     )
 
 
+def direct_steps(lat: str, bearing: str, distance_m: str, iterations: int) -> Steps:
+    """Stages that end with the angular distance ``sig`` and its sine and cosine ``ss``, ``cs``."""
+    steps = [
+        {"al": f"radians({bearing})", "s": f"cast({distance_m} AS double)",
+         "u": f"atan({1 - _F!r}D * tan(radians(`{lat}`)))"},
+        {"su": "sin(_g_u)", "cu": "cos(_g_u)", "sa1": "sin(_g_al)", "ca1": "cos(_g_al)"},
+        {"m": "atan2(_g_su / _g_cu, _g_ca1)", "sinal": "_g_cu * _g_sa1"},
+        {"csq": "1 - _g_sinal * _g_sinal"},
+        {"usq": f"_g_csq * {_EP2!r}D"},
+        {"A": _BIG_A, "B": _BIG_B},
+        {"sig0": f"_g_s / ({_B!r}D * _g_A)"},
+    ]
+    for i in range(iterations + 1):
+        sig = f"_g_sig{i}"
+        steps.append({f"c2{i}": f"cos(2 * _g_m + {sig})", f"ss{i}": f"sin({sig})", f"cs{i}": f"cos({sig})"})
+        if i < iterations:
+            steps.append(
+                {f"sig{i + 1}": f"_g_sig0 + {_delta(f'_g_ss{i}', f'_g_cs{i}', f'_g_c2{i}')}"}
+            )
+    return steps
+
+
+def direct_result(lon: str, out_lat: str, out_lon: str, iterations: int) -> dict[str, str]:
+    k = iterations
+    ss, cs = f"_g_ss{k}", f"_g_cs{k}"
+    across = f"(_g_su * {ss} - _g_cu * {cs} * _g_ca1)"
+    lat = (
+        f"degrees(atan2(_g_su * {cs} + _g_cu * {ss} * _g_ca1, "
+        f"{1 - _F!r}D * sqrt(_g_sinal * _g_sinal + {across} * {across})))"
+    )
+    lam = f"atan2({ss} * _g_sa1, _g_cu * {cs} - _g_su * {ss} * _g_ca1)"
+    term = _longitude("_g_sinal", "_g_csq", f"_g_sig{k}", ss, cs, f"_g_c2{k}")
+    return {out_lat: lat, out_lon: f"pmod(`{lon}` + degrees({lam} - {term}) + 180, 360D) - 180"}
+
+
 def geodesic_direct(
     df: DataFrame,
     *,
     lat: str,
     lon: str,
-    bearing: Column,
-    distance_m: Column,
+    bearing: str,
+    distance_m: str,
     out_lat: str,
     out_lon: str,
     iterations: int = 2,
 ) -> DataFrame:
-    """Destination reached from (lat, lon) along ``bearing`` degrees after ``distance_m``."""
-    t = "_gd_"
-
-    def c(name: str) -> Column:
-        return F.col(t + name)
-
-    added: list[str] = []
-
-    def put(frame: DataFrame, **cols: Column) -> DataFrame:
-        added.extend(t + k for k in cols)
-        return frame.withColumns({t + k: v for k, v in cols.items()})
-
-    df = put(df, al=F.radians(bearing), s=distance_m.cast("double"),
-             u=F.atan((1 - _F) * F.tan(F.radians(F.col(lat)))))
-    df = put(df, su=F.sin(c("u")), cu=F.cos(c("u")), sa1=F.sin(c("al")), ca1=F.cos(c("al")))
-    df = put(df, sig1=F.atan2(c("su") / c("cu"), c("ca1")), sinal=c("cu") * c("sa1"))
-    df = put(df, csq=1 - c("sinal") * c("sinal"))
-    df = put(df, usq=c("csq") * ((_A * _A - _B * _B) / (_B * _B)))
-    big_a, big_b = _series(c("usq"))
-    df = put(df, A=big_a, B=big_b)
-    df = put(df, sig0=c("s") / (_B * c("A")))
-    df = df.withColumn(t + "sig", c("sig0"))
-    added.append(t + "sig")
-    for _ in range(iterations):
-        df = df.withColumns(
-            {t + "c2m": F.cos(2 * c("sig1") + c("sig")), t + "ss": F.sin(c("sig")),
-             t + "cs": F.cos(c("sig"))}
-        )
-        df = df.withColumn(
-            t + "sig", c("sig0") + _delta_sigma(c("B"), c("ss"), c("cs"), c("c2m"))
-        )
-    df = df.withColumns(
-        {t + "c2m": F.cos(2 * c("sig1") + c("sig")), t + "ss": F.sin(c("sig")),
-         t + "cs": F.cos(c("sig"))}
-    )
-    added.extend([t + "c2m", t + "ss", t + "cs"])
-    across = c("su") * c("ss") - c("cu") * c("cs") * c("ca1")
-    df = put(
+    """Destination reached from (lat, lon) along ``bearing`` degrees after ``distance_m`` metres
+    (both SQL expressions)."""
+    return staged(
         df,
-        phi=F.atan2(
-            c("su") * c("cs") + c("cu") * c("ss") * c("ca1"),
-            (1 - _F) * F.sqrt(c("sinal") * c("sinal") + across * across),
-        ),
-        lam=F.atan2(c("ss") * c("sa1"), c("cu") * c("cs") - c("su") * c("ss") * c("ca1")),
-    )
-    term = _longitude_term(c("sinal"), c("csq"), c("sig"), c("ss"), c("cs"), c("c2m"))
-    lon2 = F.col(lon) + F.degrees(c("lam") - term)
-    df = df.withColumns(
-        {out_lat: F.degrees(c("phi")), out_lon: F.pmod(lon2 + 180.0, F.lit(360.0)) - 180.0}
+        direct_steps(lat, bearing, distance_m, iterations),
+        direct_result(lon, out_lat, out_lon, iterations),
     )
-    return df.drop(*added)
 
 
 def geodesic_inverse(
@@ -141,52 +154,27 @@ def geodesic_inverse(
     The longitude iteration is unrolled; eight rounds settle below a micrometre except for nearly
     antipodal points, which no camera window spans.
     """
-    t = "_gi_"
-
-    def c(name: str) -> Column:
-        return F.col(t + name)
-
-    df = df.withColumns(
-        {
-            t + "L": F.radians(F.col(lon2) - F.col(lon1)),
-            t + "u1": F.atan((1 - _F) * F.tan(F.radians(F.col(lat1)))),
-            t + "u2": F.atan((1 - _F) * F.tan(F.radians(F.col(lat2)))),
-        }
-    )
-    df = df.withColumns(
-        {
-            t + "s1": F.sin(c("u1")), t + "c1": F.cos(c("u1")),
-            t + "s2": F.sin(c("u2")), t + "c2": F.cos(c("u2")),
-            t + "lam": c("L"),
-        }
-    )
-    for _ in range(iterations):
-        df = df.withColumns({t + "sl": F.sin(c("lam")), t + "cl": F.cos(c("lam"))})
-        x = c("c2") * c("sl")
-        y = c("c1") * c("s2") - c("s1") * c("c2") * c("cl")
-        df = df.withColumns(
-            {t + "ss": F.sqrt(x * x + y * y),
-             t + "cs": c("s1") * c("s2") + c("c1") * c("c2") * c("cl")}
-        )
-        df = df.withColumns(
-            {t + "sig": F.atan2(c("ss"), c("cs")),
-             t + "sa": F.when(c("ss") == 0, F.lit(0.0)).otherwise(
-                 c("c1") * c("c2") * c("sl") / c("ss"))}
-        )
-        df = df.withColumn(t + "csq", 1 - c("sa") * c("sa"))
-        df = df.withColumn(
-            t + "c2m",
-            F.when(c("csq") <= 1e-15, F.lit(0.0)).otherwise(
-                c("cs") - 2 * c("s1") * c("s2") / c("csq")
-            ),
-        )
-        df = df.withColumn(
-            t + "lam",
-            c("L") + _longitude_term(c("sa"), c("csq"), c("sig"), c("ss"), c("cs"), c("c2m")),
-        )
-    df = df.withColumn(t + "usq", c("csq") * ((_A * _A - _B * _B) / (_B * _B)))
-    big_a, big_b = _series(c("usq"))
-    df = df.withColumns({t + "A": big_a, t + "B": big_b})
-    dist = _B * c("A") * (c("sig") - _delta_sigma(c("B"), c("ss"), c("cs"), c("c2m")))
-    df = df.withColumn(out, F.when(c("ss") == 0, F.lit(0.0)).otherwise(dist))
-    return df.drop(*[x for x in df.columns if x.startswith(t)])
+    steps: Steps = [
+        {"L": f"radians(`{lon2}` - `{lon1}`)",
+         "u1": f"atan({1 - _F!r}D * tan(radians(`{lat1}`)))",
+         "u2": f"atan({1 - _F!r}D * tan(radians(`{lat2}`)))"},
+        {"s1": "sin(_g_u1)", "c1": "cos(_g_u1)", "s2": "sin(_g_u2)", "c2": "cos(_g_u2)", "lam0": "_g_L"},
+    ]
+    for i in range(iterations):
+        x, y = f"(_g_c2 * _g_sl{i})", f"(_g_c1 * _g_s2 - _g_s1 * _g_c2 * _g_cl{i})"
+        ss, cs, sa, csq, mid = (f"_g_{n}{i}" for n in ("ss", "cs", "sa", "csq", "mid"))
+        steps += [
+            {f"sl{i}": f"sin(_g_lam{i})", f"cl{i}": f"cos(_g_lam{i})"},
+            {f"ss{i}": f"sqrt({x} * {x} + {y} * {y})",
+             f"cs{i}": f"_g_s1 * _g_s2 + _g_c1 * _g_c2 * _g_cl{i}"},
+            {f"sig{i}": f"atan2({ss}, {cs})",
+             f"sa{i}": f"CASE WHEN {ss} = 0 THEN 0D ELSE _g_c1 * _g_c2 * _g_sl{i} / {ss} END"},
+            {f"csq{i}": f"1 - {sa} * {sa}"},
+            {f"mid{i}": f"CASE WHEN {csq} <= 1e-15 THEN 0D ELSE {cs} - 2 * _g_s1 * _g_s2 / {csq} END"},
+            {f"lam{i + 1}": f"_g_L + {_longitude(sa, csq, f'_g_sig{i}', ss, cs, mid)}"},
+        ]
+    k = iterations - 1
+    steps += [{"usq": f"_g_csq{k} * {_EP2!r}D"}, {"A": _BIG_A, "B": _BIG_B}]
+    delta = _delta(f"_g_ss{k}", f"_g_cs{k}", f"_g_mid{k}")
+    dist = f"CASE WHEN _g_ss{k} = 0 THEN 0D ELSE {_B!r}D * _g_A * (_g_sig{k} - {delta}) END"
+    return staged(df, steps, {out: dist})

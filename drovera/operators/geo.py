@@ -81,31 +81,25 @@ def pixel_to_lonlat(
     out_lat: str = "lat",
     iterations: int = 2,
 ) -> DataFrame:
-    """Pixel to geographic position: offset from the frame centre, rotated by the yaw."""
-    df = df.withColumns(
+    """Pixel to geographic position: offset from the frame centre, rotated by the yaw.
+
+    ``px`` and ``py`` are SQL expressions; the other inputs are column names.
+    """
+    offset = [
         {
-            "_dx": (F.col(px) - (F.col(image_w) - 1) / 2) * F.col(mpp),
-            "_dy": ((F.col(image_h) - 1) / 2 - F.col(py)) * F.col(mpp),
-        }
-    )
-    df = df.withColumns(
+            "dx": f"(({px}) - (`{image_w}` - 1) / 2) * `{mpp}`",
+            "dy": f"((`{image_h}` - 1) / 2 - ({py})) * `{mpp}`",
+        },
         {
-            "_dist": F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")),
-            "_bearing": F.pmod(
-                90 - (F.degrees(F.atan2("_dy", "_dx")) - F.col(yaw)), F.lit(360.0)
-            ),
-        }
-    )
-    return geodesy.geodesic_direct(
+            "dist": "sqrt(_g_dx * _g_dx + _g_dy * _g_dy)",
+            "bear": f"pmod(90 - (degrees(atan2(_g_dy, _g_dx)) - `{yaw}`), 360D)",
+        },
+    ]
+    return geodesy.staged(
         df,
-        lat=lat,
-        lon=lon,
-        bearing=F.col("_bearing"),
-        distance_m=F.col("_dist"),
-        out_lat=out_lat,
-        out_lon=out_lon,
-        iterations=iterations,
-    ).drop("_dx", "_dy", "_dist", "_bearing")
+        offset + geodesy.direct_steps(lat, "_g_bear", "_g_dist", iterations),
+        geodesy.direct_result(lon, out_lat, out_lon, iterations),
+    )
 
 
 def frame_corners(df: DataFrame, **kw: str) -> DataFrame:
@@ -113,20 +107,14 @@ def frame_corners(df: DataFrame, **kw: str) -> DataFrame:
 
     The corners stay columns of the frame row, so no explode and no regrouping is needed.
     """
-    image_w, image_h = kw.get("image_w", "image_w"), kw.get("image_h", "image_h")
-    right, bottom = F.col(image_w) - 1, F.col(image_h) - 1
-    pixels = {
-        "ul": (F.lit(0), F.lit(0)),
-        "ur": (right, F.lit(0)),
-        "br": (right, bottom),
-        "bl": (F.lit(0), bottom),
-    }
+    right = f"(`{kw.get('image_w', 'image_w')}` - 1)"
+    bottom = f"(`{kw.get('image_h', 'image_h')}` - 1)"
+    pixels = {"ul": ("0", "0"), "ur": (right, "0"), "br": (right, bottom), "bl": ("0", bottom)}
     for name in CORNERS:
-        x, y = pixels[name]
-        df = df.withColumns({"_cx": x, "_cy": y})
+        px, py = pixels[name]
         df = pixel_to_lonlat(
-            df, px="_cx", py="_cy", out_lon=f"{name}_lon", out_lat=f"{name}_lat", **kw
-        ).drop("_cx", "_cy")
+            df, px=px, py=py, out_lon=f"{name}_lon", out_lat=f"{name}_lat", **kw
+        )
     return df
 
 
