@@ -127,7 +127,7 @@ def alert_cooldown(
     winners = points.join(passed, [*keys, ts], "left_semi")
     return candidates.join(
         winners.withColumnRenamed("_o", order), [*keys, ts, order], "left_semi"
-    )
+    ).select(*df.columns)
 
 
 # ---------------------------------------------------------------- summaries

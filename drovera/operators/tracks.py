@@ -273,9 +273,8 @@ def knn_features(
     """
     frame = list(frame)
     rest = [c for c in tracks.columns if c not in frame and c not in _POINT]
-    big = (
-        tracks.groupBy(*frame).count().filter(F.col("count") > max_in_memory).select(*frame)
-    )
+    limit = max(max_in_memory, k + 1)  # the cell search needs k + 1 tracks to search among
+    big = tracks.groupBy(*frame).count().filter(F.col("count") > limit).select(*frame)
     # one cell for everything, then halves from 4096 pixels down to a 64th of a pixel
     levels = [float(2 ** 21), *(float(2 ** e) for e in range(12, -7, -1))]
     size = float(max(width, height))
