@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR  input folder (default /root/testdata/sf0.1)
 BENCH_CPUS    local cores (default 8)
-BENCH_REPEATS timed runs per query after one warm-up (default 3, the median counts)
+BENCH_REPEATS timed runs per query after one warm-up (default 2, the median counts)
 BENCH_QUERIES comma-separated names instead of the headline list
 """
 
@@ -36,7 +36,7 @@ def run(query, spark, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     spark = build_session(
         "bench", master=f"local[{cpus}]",
         **{"spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"), "spark.sql.shuffle.partitions": cpus},

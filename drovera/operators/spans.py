@@ -34,6 +34,19 @@ def box_geometry(
     )
 
 
+def _circles(
+    boxes: DataFrame, width: int, height: int, keys: Sequence[str], cx: str, cy: str, radius: str
+) -> DataFrame:
+    """Distinct circles that reach into the frame, as _x, _y, _r."""
+    r, x, y = F.col("_r"), F.col("_x"), F.col("_y")
+    return (
+        boxes.select(*keys, F.col(cx).alias("_x"), F.col(cy).alias("_y"), F.col(radius).alias("_r"))
+        .filter(r > 0)
+        .filter((y + r >= 0) & (y - r < height) & (x + r >= 0) & (x - r < width))
+        .distinct()
+    )
+
+
 def safety_spans(
     boxes: DataFrame,
     *,
@@ -52,12 +65,7 @@ def safety_spans(
     bounded by its pixel count even if one frame holds most of the boxes.
     """
     r, x, y = F.col("_r"), F.col("_x"), F.col("_y")
-    circles = (
-        boxes.select(*keys, F.col(cx).alias("_x"), F.col(cy).alias("_y"), F.col(radius).alias("_r"))
-        .filter(r > 0)
-        .filter((y + r >= 0) & (y - r < height) & (x + r >= 0) & (x - r < width))
-        .distinct()
-    )
+    circles = _circles(boxes, width, height, keys, cx, cy, radius)
     lines = spread(circles, *keys, "_x", "_y").withColumn(
         "y", F.explode(F.sequence(F.greatest(y - r, F.lit(0)), F.least(y + r, F.lit(height - 1))))
     )
@@ -203,11 +211,20 @@ def danger_flags(
     cols = {"_safe": F.lit(0), **{f"_l_{n}": (F.col("layer") == n).cast("int") for n in names}}
     only = {"_safe": F.lit(1), **{f"_l_{n}": F.lit(0) for n in names}}
     ev = _events([(layers.filter(F.col("layer").isin(*names)), cols), (safety, only)], keys)
-    w = Window.partitionBy(*keys, "y").orderBy("x")
-    seg = ev.select(
+    return _flag_sweep(ev, keys, names, [*keys, "y"])
+
+
+def _flag_sweep(
+    events: DataFrame, keys: Sequence[str], names: Sequence[str], row: Sequence[str]
+) -> DataFrame:
+    cols = ["_safe", *[f"_l_{n}" for n in names]]
+    w = Window.partitionBy(*row).orderBy("x")
+    # of several events at one position only the last has a length, and it has seen them all
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seg = events.select(
         *keys,
         (F.lead("x").over(w) - F.col("x")).alias("_len"),
-        *[(F.sum(c).over(w) > 0).alias(c) for c in cols],
+        *[(F.sum(c).over(so_far) > 0).alias(c) for c in cols],
     ).filter(F.col("_len") > 0)
     danger = F.lit(False)
     for n in names:
@@ -221,6 +238,68 @@ def danger_flags(
     )
 
 
+def circle_danger_flags(
+    boxes: DataFrame,
+    layers: DataFrame,
+    *,
+    width: int = C.PROCESSING_SHAPE[0],
+    height: int = C.PROCESSING_SHAPE[1],
+    keys: Sequence[str] = FRAME,
+    cx: str = "cx",
+    cy: str = "cy",
+    radius: str = "safety_radius_px",
+    names: Sequence[str] = tuple(n for n, _ in C.DANGER_LABELS),
+    band: int = 64,
+) -> DataFrame:
+    """``danger_flags`` straight from boxes: circles are shuffled whole and drawn afterwards.
+
+    A frame is cut into bands of ``band`` image rows. A circle goes to the bands it touches (two,
+    mostly) instead of travelling as one span per image row, and one crowded frame still spreads
+    over several tasks.
+    """
+    keys = list(keys)
+    r, x, y = F.col("_r"), F.col("_x"), F.col("_y")
+    top, bottom = F.greatest(y - r, F.lit(0)), F.least(y + r, F.lit(height - 1))
+    per_band = F.sequence(F.floor(top / band), F.floor(bottom / band))
+    layer_cols = [f"_l_{n}" for n in names]
+    drawn = _circles(boxes, width, height, keys, cx, cy, radius).select(
+        *keys, F.explode(per_band).alias("_band"), F.lit(1).alias("_safe"),
+        *[F.lit(0).alias(c) for c in layer_cols], "_x", "_y", "_r",
+        *[F.lit(None).cast("int").alias(c) for c in ("y", "x0", "x1")],
+    )
+    given = layers.filter(F.col("layer").isin(*names)).select(
+        *keys, F.floor(F.col("y") / band).alias("_band"), F.lit(0).alias("_safe"),
+        *[(F.col("layer") == n).cast("int").alias(c) for n, c in zip(names, layer_cols)],
+        *[F.lit(None).cast("int").alias(c) for c in ("_x", "_y", "_r")], "y", "x0", "x1",
+    )
+    rows = spread(drawn.unionByName(given), *keys, "_band")
+    first = F.greatest(top, F.col("_band") * band).cast("int")
+    last = F.least(bottom, F.col("_band") * band + (band - 1)).cast("int")
+
+    def line(at: Column) -> Column:
+        half = F.floor(F.sqrt((r * r - (at - y) * (at - y)).cast("double"))).cast("int")
+        return F.struct(
+            at.alias("y"), F.greatest(x - half, F.lit(0)).cast("int").alias("x0"),
+            F.least(x + half, F.lit(width - 1)).cast("int").alias("x1"),
+        )
+
+    span = F.struct(*[F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")])
+    drawn_lines = F.when(r.isNotNull(), F.transform(F.sequence(first, last), line))
+    rows = rows.withColumn("_s", F.explode(F.coalesce(drawn_lines, F.array(span))))
+    rows = rows.filter(F.col("_s.x0") <= F.col("_s.x1"))
+    ends = F.array(
+        F.struct(F.col("_s.x0").alias("x"), F.lit(1).alias("s")),
+        F.struct((F.col("_s.x1") + 1).alias("x"), F.lit(-1).alias("s")),
+    )
+    cols = ["_safe", *layer_cols]
+    events = rows.select(
+        *keys, "_band", F.col("_s.y").alias("y"), *cols, F.explode(ends).alias("_e")
+    ).select(
+        *keys, "_band", "y", F.col("_e.x").alias("x"), *[(F.col(c) * F.col("_e.s")).alias(c) for c in cols]
+    )
+    return _flag_sweep(events, keys, names, [*keys, "_band", "y"])
+
+
 def danger_types(labels: Sequence[tuple[str, str]] = C.DANGER_LABELS) -> Column:
     """Labels of the raised flags in their fixed order."""
     return F.array_compact(

@@ -83,7 +83,7 @@ def danger_detection(
     boxes = detections.select(*keys, "cx", "cy").join(
         located.select(*keys, "safety_radius_px"), keys
     )
-    safety = cut(spans.safety_spans(boxes, width=width, height=height))
+    boxes = cut(boxes)
     layers = spans.segmentation_layers(label_spans, suppress=suppress)
 
     posed = located.filter(F.col("rel_alt").isNotNull())
@@ -98,12 +98,15 @@ def danger_detection(
                 padded, pixel_m=dem_pixel_m, threshold_deg=settings.slope_threshold_deg
             )
         )
-        looked = safety.join(
+        looked = spans.safety_spans(boxes, width=width, height=height).join(
             posed.select(*keys, *[f"aff_{k}" for k in "abcdef"]), keys
         ).withColumn("dem_id", F.lit(dem_id))
         layers = layers.unionByName(raster.cell_layer_spans(looked, dem_meta, steep))
-    layers = cut(layers)
-    flags = spans.danger_message(spans.danger_flags(safety, layers))
+    flags = cut(
+        spans.danger_message(
+            spans.circle_danger_flags(boxes, layers, width=width, height=height)
+        )
+    )
     hits = flags.filter("alert_msg <> ''").select(*keys, "alert_msg")
     timed = hits.join(located.select(*keys, "ts_us"), keys)
     return DangerResult(

@@ -126,8 +126,7 @@ def difference(spark, d) -> DataFrame:
 _NAMES = [n for n, _ in C.DANGER_LABELS]
 
 
-@query(
-    "danger_flags",
+_FLAG_SQL = (
     f"""WITH {V.SAFETY_PX}, {V.LAYER_PX}, d AS (SELECT * FROM lay WHERE layer <> 'other'),
     hit AS (SELECT d.*, s.x IS NOT NULL AS safe FROM d LEFT JOIN safe s USING (flight_id, frame_id, y, x)),
     px AS (SELECT flight_id, frame_id, y, x, bool_or(safe) AS safe FROM hit GROUP BY 1, 2, 3, 4),
@@ -143,9 +142,20 @@ _NAMES = [n for n, _ in C.DANGER_LABELS]
       array_to_string(list_filter(["""
     + ", ".join(f"CASE WHEN {n} THEN '{t}' END" for n, t in C.DANGER_LABELS)
     + """], lambda v: v IS NOT NULL), ' & ') AS alert_msg
-    FROM fr LEFT JOIN area USING (flight_id, frame_id) LEFT JOIN flag USING (flight_id, frame_id)""",
+    FROM fr LEFT JOIN area USING (flight_id, frame_id) LEFT JOIN flag USING (flight_id, frame_id)"""
 )
+
+
+@query("danger_flags", _FLAG_SQL)
 def flags(spark, d) -> DataFrame:
+    f = spans.circle_danger_flags(
+        V.boxes(spark, d), V.layer_spans(spark, d), width=V.MASK_W, height=V.MASK_H
+    )
+    return spans.danger_message(f)
+
+
+@query("danger_flags_from_spans", _FLAG_SQL)
+def flags_from_spans(spark, d) -> DataFrame:
     f = spans.danger_flags(safety(spark, d), V.layer_spans(spark, d))
     return spans.danger_message(f)
 
