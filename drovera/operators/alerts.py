@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import constants as C
+from ..session import cut
 from . import ordered as O
 
 
@@ -59,12 +60,13 @@ def alert_cooldown(
     The rule is sequential only through the time of the last alert. A block of time is therefore
     summarised by what it makes of that time: the few candidate first alerts inside the first
     cooldown, each with the last alert it leads to. The summaries are chained per flight (one row
-    per block), and every block then lists its own alerts.
+    per block), and every block then lists its own alerts. All of these read the distinct alert
+    times, which are therefore cut first.
     """
     keys = list(keys)
     candidates = df.filter(F.coalesce(F.col(message), F.lit("")) != "")
     # of several alerts at one instant only the first can pass
-    points = candidates.groupBy(*keys, ts).agg(F.min(order).alias("_o"))
+    points = cut(candidates.groupBy(*keys, ts).agg(F.min(order).alias("_o")))
     width = block_us or max(256 * cooldown_us, 600_000_000)
     blocked = O.time_blocks(points, keys, ts, width_us=width, target_rows=target_rows)
 
