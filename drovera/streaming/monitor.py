@@ -41,9 +41,17 @@ class _Animal:
     vectors: list = field(default_factory=list)
     ae: list = field(default_factory=list)
     soc: list = field(default_factory=list)
-    missed: int = 0
+    seen: int = 0  # keyframe of the last sighting
+    upto: int = 0  # keyframe of the last vector
     flagged_for: int = 0
 
+    def add(self, vector: np.ndarray, kf_seq: int) -> None:
+        """A keyframe number that never arrived breaks the history, as an absence does."""
+        if self.vectors and self.upto != kf_seq - 1:
+            self.vectors, self.ae, self.soc, self.flagged_for = [], [], [], 0
+        self.vectors.append(vector)
+        self.upto = kf_seq
+
 
 @dataclass
 class _Herd:
@@ -81,7 +89,7 @@ class _Monitor(StatefulProcessor):
 
     def step(self, herd: _Herd, kf) -> list[tuple]:
         seen = sorted((int(t["track_id"]), t["cx"], t["cy"]) for t in (kf.tracks if kf.tracks is not None else []))
-        self._observe(herd, seen, kf.h)
+        self._observe(herd, seen, int(kf.kf_seq), kf.h)
         if not herd.animals:
             return []
         self._update_statistics(herd)
@@ -91,18 +99,17 @@ class _Monitor(StatefulProcessor):
             for i, scored in self._score(herd)
         ]
 
-    def _observe(self, herd: _Herd, seen: list, h) -> None:
+    def _observe(self, herd: _Herd, seen: list, kf_seq: int, h) -> None:
         """Append this keyframe's vectors; absent animals repeat theirs until they expire."""
         ids = np.array([t[0] for t in seen], dtype=np.int64)
         pos = np.array([t[1:] for t in seen], dtype=float).reshape(-1, 2)
-        gone = set(herd.animals) - set(ids.tolist())
-        for i in gone:
-            a = herd.animals[i]
-            a.missed += 1
-            if a.missed > self.s.max_age:
+        here = set(ids.tolist())
+        for i, a in list(herd.animals.items()):
+            absent = kf_seq - a.seen - (1 if i in here else 0)
+            if absent > self.s.max_age:
                 del herd.animals[i]
-            else:
-                a.vectors.append(a.vectors[-1])
+            elif i not in here:
+                a.add(a.vectors[-1], kf_seq)
         if len(ids):
             vel = np.array([
                 p - _warp(herd.animals[i].centre, h) if i in herd.animals else np.zeros(2)
@@ -110,8 +117,8 @@ class _Monitor(StatefulProcessor):
             ])
             for i, p, f in zip(ids.tolist(), pos, feature_vectors(pos, vel, self.s.knn_k, self.size)):
                 a = herd.animals.setdefault(i, _Animal(p))
-                a.centre, a.missed = p, 0
-                a.vectors.append(f)
+                a.centre, a.seen = p, kf_seq
+                a.add(f, kf_seq)
         for a in herd.animals.values():
             del a.vectors[: -self.s.sequence_length]
 
