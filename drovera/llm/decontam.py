@@ -8,10 +8,11 @@ on the text around it with Myers' bit-parallel edit distance.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,16 +124,33 @@ def contaminated(benchmark: DataFrame, text: Column, item_col: str = "item_id",
     spark = benchmark.sparkSession
     out = F.lit(False)
     for items in _blocks(benchmark, item_col, text_col):
-        shared = spark.sparkContext.broadcast(items)
+        out = out | _holds(spark.sparkContext.broadcast(items))(text)
+    return out
 
-        @F.pandas_udf("boolean")
-        def hit(texts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            matcher = Matcher(shared.value)
-            for s in texts:
-                yield pd.Series([bool(matcher.find(t, first=True)) for t in s], dtype=bool)
 
-        out = out | hit(text)
-    return out
+def _holds(items: Broadcast) -> Callable[[Column], Column]:
+    @F.pandas_udf("boolean")
+    def hit(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(items.value)
+        for s in texts:
+            yield pd.Series([bool(matcher.find(t, first=True)) for t in s], dtype=bool)
+
+    return hit
+
+
+def _leaks(items: Broadcast, error_rate: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(items.value, error_rate)
+        budget = {i: k for i, _, k in matcher.items}
+        for b in batches:
+            found = [
+                (doc, item, d, budget[item], end)
+                for doc, text in zip(b["doc_id"].astype("Int64"), b["text"])
+                for item, d, end in matcher.find(text)
+            ]
+            yield pd.DataFrame(found, columns=["doc_id", "item_id", "distance", "budget", "end"]).astype("Int64")
+
+    return work
 
 
 def find_leaks(
@@ -152,19 +170,6 @@ def find_leaks(
     schema = "doc_id long, item_id long, distance int, budget int, end long"
     out = None
     for items in _blocks(benchmark, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(items)
-
-        def work(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(shared.value, error_rate)
-            budget = {i: k for i, _, k in matcher.items}
-            for b in batches:
-                found = [
-                    (doc, item, d, budget[item], end)
-                    for doc, text in zip(b["doc_id"].astype("Int64"), b["text"])
-                    for item, d, end in matcher.find(text)
-                ]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "distance", "budget", "end"]).astype("Int64")
-
-        own = rows.mapInPandas(work, schema)
+        own = rows.mapInPandas(_leaks(spark.sparkContext.broadcast(items), error_rate), schema)
         out = own if out is None else out.unionAll(own)
     return out
