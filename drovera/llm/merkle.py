@@ -123,9 +123,9 @@ def audit(a: DataFrame, b: DataFrame, id_col: str = "id") -> DataFrame:
         low, high = low // FANOUT, high // FANOUT
 
     def differing(nodes: DataFrame) -> DataFrame:
-        x = nodes.where("replica = 'a'").select("file", "node", F.col("digest").alias("da"))
-        y = nodes.where("replica = 'b'").select("file", "node", F.col("digest").alias("db"))
-        return x.join(y, ["file", "node"], "full").where(~F.col("da").eqNullSafe(F.col("db"))).select("file", "node")
+        of = lambda r: F.max(F.when(F.col("replica") == r, F.col("digest")))  # noqa: E731  one row per replica and node
+        both = nodes.groupBy("file", "node").agg(of("a").alias("da"), of("b").alias("db"))
+        return both.where(~F.col("da").eqNullSafe(F.col("db"))).select("file", "node")
 
     def descend(bad: DataFrame, nodes: DataFrame) -> DataFrame:
         under = bad.select("file", F.col("node").alias("up"))
