@@ -38,7 +38,7 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """Encoder with a bounded memory of known chunks; one per process and file."""
 
-    MEMORY = 400_000
+    MEMORY = 700_000
     BATCH = 2_000_000
 
     def __init__(self, path: str) -> None:
@@ -59,7 +59,6 @@ class WordBpe:
         for side in (0, 1):
             np.minimum.at(first, pairs[:, side], np.arange(len(pairs)))
         self.ahead = first[self.made] > np.arange(len(pairs))
-        self.known: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
     @staticmethod
@@ -135,12 +134,16 @@ class WordBpe:
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode chunks (runs without white space, normalised) that are not known."""
-        cut = [_PIECES.findall(c) for c in chunks]
-        fresh = list({p for ps in cut for p in ps if p not in self.known})
+        cut = [
+            [c] if c.isalpha() else [c[:-1], c[-1]] if c[-1] in ".,;:!?" and c[:-1].isalpha() else _PIECES.findall(c)
+            for c in chunks
+        ]
+        # A piece is a chunk too, and its own only piece.
+        fresh = list(set().union(*cut).difference(self.chunks))
         for i in range(0, len(fresh), 100_000):
-            self.known.update(zip(fresh[i : i + 100_000], self.encode_pieces(fresh[i : i + 100_000])))
-        known = self.known
-        self.chunks.update(zip(chunks, (b"".join([known[p] for p in ps]) for ps in cut)))
+            self.chunks.update(zip(fresh[i : i + 100_000], self.encode_pieces(fresh[i : i + 100_000])))
+        ids = self.chunks
+        ids.update((c, b"".join([ids[p] for p in ps])) for c, ps in zip(chunks, cut) if len(ps) > 1)
 
     @staticmethod
     def _words(text: str) -> list[str]:
@@ -180,10 +183,8 @@ class WordBpe:
                 i += 1
             if len(self.chunks) > self.MEMORY:
                 self.chunks.clear()
-            if len(self.known) > self.MEMORY:
-                self.known.clear()
-            words = {w for segments in group for ws in segments if not ws or ws[0] for w in ws}
-            self._learn([w for w in words if w not in self.chunks])
+            words = set().union(*(ws for segments in group for ws in segments if ws and ws[0]))
+            self._learn(list(words.difference(self.chunks)))
             for segments in group:
                 yield self._ids(segments[0]) if len(segments) == 1 else b"".join(map(self._ids, segments))
 

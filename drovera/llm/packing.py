@@ -197,8 +197,10 @@ def pack_items(items: DataFrame, room: int = SIZE) -> DataFrame:
             "shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), "sizes",
             F.lit(None).cast("binary").alias("genome"),
         )
+        # Populations are small and their work is not, so adaptive execution must not merge them into few tasks.
+        tasks = min(shards * ISLANDS, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         for e in range(EPOCHS):
-            state = state.groupBy("shard", "island").applyInPandas(_epoch(1000 * turn + e, room), _STATE)
+            state = state.repartition(tasks, "shard", "island").groupBy("shard", "island").applyInPandas(_epoch(1000 * turn + e, room), _STATE)
         chosen = state.select("shard", "genome").join(dealt, "shard").groupBy("shard").applyInPandas(
             _best(room), "rid long, length int, sequence_id long, offset long, room int"
         )
