@@ -335,7 +335,7 @@ def link_similar(nodes: DataFrame, similarity: float) -> DataFrame:
 
     Sparse buckets are searched pairwise. In dense ones every member meets ``PIVOTS`` members; those
     near a pivot are connected through it, so only members of different pivots, or of none, still
-    have to meet.
+    have to meet. A link to a pivot says that the two hang together, not that they are near.
     """
     limit = most_bits(similarity)
     total, both = bit_counts(nodes, BITS * WIDE)
@@ -388,11 +388,17 @@ def link_similar(nodes: DataFrame, similarity: float) -> DataFrame:
     )
     through = labelled.select(F.col("node").alias("a"), F.explode("near").alias("b")).where("a <> b")
     asks = labelled.select("bucket", "node", "check", F.explode(F.filter(
-        F.sequence(F.lit(0), F.lit(PIVOTS)), lambda x: (x < F.col("label")) | ((x == PIVOTS) & (F.col("label") == PIVOTS))
+        F.sequence(F.lit(0), F.lit(PIVOTS - 1)), lambda x: x < F.col("label")
     )).alias("label"))
-    across = (
-        asks.alias("p").join(labelled.alias("i"), ["bucket", "label"])
-        .where(f"p.node <> i.node and {_apart('p.check', 'i.check')} <= {limit}")
+    # Members of one pivot hang together, so whether one of them is near is all that counts.
+    near = " and p.node <> i.node and %s <= %d" % (_apart("p.check", "i.check"), limit)
+    same = "p.bucket = i.bucket and p.label = i.label"
+    reach = asks.where(F.col("label") < PIVOTS).alias("p").join(labelled.alias("i"), F.expr(same + near), "left_semi")
+    pivot = heads.select("bucket", F.explode("heads").alias("h")).select("bucket", F.col("h.slot").alias("label"), F.col("h.node").alias("b"))
+    across = reach.join(pivot, ["bucket", "label"]).select(F.col("node").alias("a"), "b")
+    alone = labelled.where(F.col("label") == PIVOTS)
+    across = across.unionAll(
+        alone.alias("p").join(alone.alias("i"), F.expr(same + near))
         .select(F.col("p.node").alias("a"), F.col("i.node").alias("b"))
     )
     return pairs.unionAll(through).unionAll(across)
