@@ -39,8 +39,12 @@ def safety_radius_px(
     mpp: str = "meters_per_pixel",
     out: str = "safety_radius_px",
 ) -> DataFrame:
-    """Truncated towards zero; null where the resolution is unknown."""
-    return df.withColumn(out, (F.lit(float(radius_m)) / F.col(mpp)).cast("int"))
+    """Truncated towards zero; null where the resolution is unknown or not positive (on the ground).
+
+    A radius beyond the int range is its end, so that no row ends the job.
+    """
+    size = F.when(F.col(mpp) > 0, F.least(F.try_divide(F.lit(float(radius_m)), F.col(mpp)), F.lit(2147483647.0)))
+    return df.withColumn(out, size.cast("int"))
 
 
 def fallback_radius(

@@ -12,7 +12,7 @@ def aspect_ok(
     width: str = "orig_w", height: str = "orig_h", *, expected: float = C.ASPECT_RATIO,
     tolerance: float = C.ASPECT_TOLERANCE,
 ) -> Column:
-    return F.abs(F.col(width) / F.col(height) - F.lit(expected)) < tolerance
+    return F.abs(F.try_divide(F.col(width), F.col(height)) - F.lit(expected)) < tolerance
 
 
 def aspect_ratio_check(
@@ -33,8 +33,8 @@ def aspect_rejects(frames: DataFrame, *, width: str = "orig_w", height: str = "o
 
 def sensor_aspect_ok(cameras: DataFrame, *, rel_tol: float = 1e-3, out: str = "aspect_ok") -> DataFrame:
     """Physical and pixel aspect ratios of a camera agree within a relative tolerance."""
-    phys = F.col("sensor_w_mm") / F.col("sensor_h_mm")
-    pix = F.col("sensor_w_px") / F.col("sensor_h_px")
+    phys = F.try_divide("sensor_w_mm", "sensor_h_mm")
+    pix = F.try_divide("sensor_w_px", "sensor_h_px")
     return cameras.withColumn(
         out, F.abs(phys - pix) <= rel_tol * F.greatest(F.abs(phys), F.abs(pix))
     )

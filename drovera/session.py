@@ -59,13 +59,12 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a stage that several later branches read, so none of them recomputes it.
 
-    Uses a reliable checkpoint; on a cluster without ``spark.checkpoint.dir`` the plan is returned
-    unchanged, which is slower but gives the same rows.
+    Uses a reliable checkpoint; on a cluster ``spark.checkpoint.dir`` must name its folder.
     """
     spark = df.sparkSession
     folder = checkpoint_dir(spark)
     if folder is None:
-        return df
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

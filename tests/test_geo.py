@@ -129,3 +129,13 @@ def test_aspect_ratio(spark):
     assert quality.aspect_rejects(df).first().orig_w == 640
     with pytest.raises(Exception, match="unexpected frame size"):
         quality.aspect_ratio_check(df, strict=True).collect()
+
+
+def test_rows_on_the_ground_do_not_end_the_job(spark):
+    from drovera.operators import geo, quality
+
+    rows = spark.createDataFrame([(0, 0.0), (1, -1.0), (2, None), (3, 1e-12), (4, 0.5)], "id int, meters_per_pixel double")
+    got = {r.id: r.safety_radius_px for r in geo.safety_radius_px(rows, radius_m=2.0).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: 2147483647, 4: 4}
+    sizes = spark.createDataFrame([(16, 0), (16, 9)], "orig_w int, orig_h int")
+    assert quality.aspect_rejects(sizes).count() == 1
