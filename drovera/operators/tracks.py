@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import constants as C
@@ -138,95 +135,77 @@ def _relative(df: DataFrame, nb: str, size: float) -> dict[str, Column]:
 _POINT = ("track_id", "cx", "cy", "vx", "vy")
 
 
-def _frame_features(df: DataFrame, frame: Sequence[str], k: int, rest: Sequence[str], size: float) -> DataFrame:
-    """Frames of bounded size: one distance matrix per frame, over Arrow batches of many frames."""
-    frame = list(frame)
-    kept = [*frame, *_POINT, *rest]
-    schema = T.StructType(
-        [df.schema[c] for c in kept] + [T.StructField(f, T.FloatType()) for f in FEATURES]
-    )
+#: Cells are squares of 2^level pixels; none is smaller than this.
+FINEST_LEVEL = -6
 
-    def features(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf[frame].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)])
-        pos, vel = pdf[["cx", "cy"]].to_numpy(float), pdf[["vx", "vy"]].to_numpy(float)
-        out = np.empty((len(pdf), len(FEATURES)), dtype=np.float32)
-        for s, e in zip(starts, np.r_[starts[1:], len(pdf)]):
-            out[s:e] = motion.feature_vectors(pos[s:e], vel[s:e], k, size)
-        return pd.concat([pdf, pd.DataFrame(out, columns=list(FEATURES), index=pdf.index)], axis=1)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_frame = None  # a frame may continue in the next batch
-        for pdf in batches:
-            if open_frame is not None:
-                pdf = pd.concat([open_frame, pdf], ignore_index=True)
-            ids = pdf[frame].to_numpy()
-            last = int(np.flatnonzero((ids != ids[-1]).any(axis=1))[-1]) + 1 if (ids != ids[-1]).any() else 0
-            if last:
-                yield features(pdf.iloc[:last])
-            open_frame = pdf.iloc[last:]
-        if open_frame is not None and len(open_frame):
-            yield features(open_frame)
-
-    ordered = df.select(*kept).repartition(*frame).sortWithinPartitions(*frame, "track_id")
-    return ordered.mapInPandas(run, schema)
-
-
-def _neighbours_by_cell(
-    df: DataFrame, frame: Sequence[str], k: int, rest: Sequence[str], levels: Sequence[float]
-) -> DataFrame:
-    """Frames of any size: exact k nearest through a pyramid of square cells.
+
+def _neighbour_lists(df: DataFrame, frame: Sequence[str], k: int, one_level: int) -> DataFrame:
+    """Per distinct position its k + 1 nearest tracks, through a pyramid of square cells.
 
     Work is per distinct position, which needs its k + 1 nearest candidates (a track then leaves
     itself out); of the tracks sharing one position only the k + 1 smallest ids can ever be
-    candidates. A position searches at the finest level whose own cell holds k + 1 candidates: the
-    (k+1)-th distance is then at most the cell diagonal, sqrt(2) cells, and the surrounding 5 x 5
-    cells reach at least 2 cells far, so nothing nearer is missed. Positions that search at a level
-    have fewer than k + 1 candidates in their next finer cell, hence at most 4k of them per cell,
-    and each cell is read by 25 cells: a level costs at most 100 * k rows per candidate, linear in
-    the size of the frame however dense a cluster is.
+    candidates. Cells start at the smallest coordinates of the keyframe and the top level is one
+    cell around all of it, so there is no border that splits a keyframe for good.
+
+    A position searches at the finest level whose own cell holds k + 1 candidates: the (k+1)-th
+    distance is then at most the cell diagonal, sqrt(2) cells, and the surrounding 5 x 5 cells
+    reach at least 2 cells far, so nothing nearer is missed. Positions that search at a level have
+    fewer than k + 1 candidates in their next finer cell, hence at most 4k of them per cell, and
+    each cell is read by 25 cells: a level costs at most 100 * k rows per candidate, linear in the
+    size of the keyframe however dense a cluster is. Keyframes of ``one_level`` tracks or fewer have
+    the top level only, which is the same search with one cell.
     """
     frame = list(frame)
-    point = F.struct(F.col("track_id"), F.col("cx"), F.col("cy"), F.col("vx"), F.col("vy"))
-    w = Window.partitionBy(*frame, "cx", "cy").orderBy("track_id")
+    extent = df.groupBy(*frame).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("cx").alias("_ox"), F.min("cy").alias("_oy"),
+        F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy")).alias("_span"),
+    )
+    finest = F.lit(FINEST_LEVEL)
+    # two above the logarithm rounded down: the whole keyframe fits, whatever the rounding
+    top = F.greatest(F.coalesce(F.floor(F.log2("_span")).cast("int") + 2, finest), finest)
+    extent = extent.withColumn("_top", top).withColumn(
+        "_low", F.when(F.col("_n") <= one_level, F.col("_top")).otherwise(finest)
+    )
+
+    def in_cells(rows: DataFrame, *kept: str) -> DataFrame:
+        def cell(level: Column) -> Column:
+            edge = F.pow(F.lit(2.0), level)
+            return F.struct(
+                level.alias("lv"),
+                F.floor((F.col("cx") - F.col("_ox")) / edge).alias("gx"),
+                F.floor((F.col("cy") - F.col("_oy")) / edge).alias("gy"),
+            )
+
+        placed = rows.join(extent, frame)
+        placed = placed.withColumn("_c", F.explode(F.transform(F.sequence("_low", "_top"), cell)))
+        return placed.select(*frame, *kept, "_top", "_c.lv", "_c.gx", "_c.gy")
+
+    point = F.struct(*[F.col(c) for c in _POINT])
+    same_place = Window.partitionBy(*frame, "cx", "cy").orderBy("track_id")
     cand = (
         df.select(*frame, *_POINT)
-        .withColumn("_rn", F.row_number().over(w))
+        .withColumn("_rn", F.row_number().over(same_place))
         .filter(F.col("_rn") <= k + 1)
         .select(*frame, "cx", "cy", point.alias("_o"))
     )
-    far = float(2 ** 20)
-
-    def cells(x: str, y: str) -> Column:
-        return F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("lv"),
-                    F.floor((F.col(x) + far) / s).alias("gx"),
-                    F.floor((F.col(y) + far) / s).alias("gy"),
-                )
-                for i, s in enumerate(levels)
-            ]
-        )
-
-    leveled = cand.withColumn("_c", F.explode(cells("cx", "cy"))).select(
-        *frame, "_c.lv", "_c.gx", "_c.gy", "_o"
-    )
+    leveled = in_cells(cand, "_o").drop("_top")
     full = (
         leveled.groupBy(*frame, "lv", "gx", "gy")
-        .count()
-        .filter(F.col("count") >= k + 1)
-        .drop("count")
+        .agg(F.count(F.lit(1)).alias("_held"))
+        .filter(F.col("_held") >= k + 1)
     )
     spots = df.select(*frame, "cx", "cy").distinct()
     at = (
-        spots.withColumn("_c", F.explode(cells("cx", "cy")))
-        .select(*frame, "cx", "cy", "_c.lv", "_c.gx", "_c.gy")
-        .join(full, [*frame, "lv", "gx", "gy"], "left_semi")
+        in_cells(spots, "cx", "cy")
+        .join(full, [*frame, "lv", "gx", "gy"], "left")
+        .filter(F.col("_held").isNotNull() | (F.col("lv") == F.col("_top")))
         .groupBy(*frame, "cx", "cy")
-        .agg(F.max(F.struct("lv", "gx", "gy")).alias("_c"))
+        .agg(F.min(F.struct("lv", "gx", "gy")).alias("_c"), F.first("_top").alias("_top"))
+    )
+    # the top level is a single cell
+    steps = F.when(F.col("_c.lv") == F.col("_top"), F.array(F.lit(0))).otherwise(
+        F.array(*[F.lit(i) for i in range(-2, 3)])
     )
-    steps = F.array(*[F.lit(i) for i in range(-2, 3)])
     around = (
         at.withColumn("_i", F.explode(steps))
         .withColumn("_j", F.explode(steps))
@@ -241,18 +220,14 @@ def _neighbours_by_cell(
         F.struct((dx * dx + dy * dy).alias("d2"), *[F.col(f"_o.{c}").alias(c) for c in _POINT])
         .alias("_p"),
     )
-    top = Window.partitionBy(*frame, "_qx", "_qy").orderBy("_p.d2", "_p.track_id")
-    lists = (
-        near.withColumn("_rn", F.row_number().over(top))
+    nearest = Window.partitionBy(*frame, "_qx", "_qy").orderBy("_p.d2", "_p.track_id")
+    return (
+        near.withColumn("_rn", F.row_number().over(nearest))
         .filter(F.col("_rn") <= k + 1)
         .groupBy(*frame, "_qx", "_qy")
         .agg(F.array_sort(F.collect_list("_p")).alias("_l"))
         .withColumnsRenamed({"_qx": "cx", "_qy": "cy"})
     )
-    out = df.join(lists, [*frame, "cx", "cy"], "left")
-    me = F.col("track_id")
-    mine = F.slice(F.filter("_l", lambda o: o["track_id"] != me), 1, k)
-    return out.select(*frame, *_POINT, *rest, mine.alias("_nb"))
 
 
 def knn_features(
@@ -262,28 +237,26 @@ def knn_features(
     width: int = C.PROCESSING_SHAPE[0],
     height: int = C.PROCESSING_SHAPE[1],
     frame: Sequence[str] = KEYFRAME,
-    max_in_memory: int = 512,
+    one_level: int = 64,
 ) -> DataFrame:
     """Nine motion features per track from its min(k, N - 1) nearest tracks of the same keyframe.
 
-    Distance ties go to the smaller track id. A keyframe of a tracker holds at most a few hundred
-    tracks, so its distances fit one small matrix; keyframes above ``max_in_memory`` tracks take
-    the cell search instead, which finds the same neighbours. Whether there are any is looked up
-    first (one count per keyframe), so pass a stage that is already materialised.
+    Distance ties go to the smaller track id. One exact search serves keyframes of any size and any
+    coordinates; ``one_level`` only says up to how many tracks cells are not worth it, the rows are
+    the same for every value. A track whose position is null, NaN or beyond 2^52 has no neighbours
+    and is nobody's: its offsets and distance are 0, its own motion stays.
     """
     frame = list(frame)
     rest = [c for c in tracks.columns if c not in frame and c not in _POINT]
-    limit = max(max_in_memory, k + 1)  # the cell search needs k + 1 tracks to search among
-    big = tracks.groupBy(*frame).count().filter(F.col("count") > limit).select(*frame)
-    # one cell for everything, then halves from 4096 pixels down to a 64th of a pixel
-    levels = [float(2 ** 21), *(float(2 ** e) for e in range(12, -7, -1))]
-    size = float(max(width, height))
-    if big.isEmpty():
-        return _frame_features(tracks, frame, k, rest, size)
-    small = _frame_features(tracks.join(big, frame, "left_anti"), frame, k, rest, size)
-    large = _neighbours_by_cell(tracks.join(big, frame, "left_semi"), frame, k, rest, levels)
-    large = large.withColumns(_relative(large, "_nb", size)).drop("_nb")
-    return small.unionByName(large)
+    bound = float(2 ** 52)
+    known = F.col("cx").between(-bound, bound) & F.col("cy").between(-bound, bound)
+    lists = _neighbour_lists(tracks.filter(known), frame, k, one_level)
+    out = tracks.join(lists, [*frame, "cx", "cy"], "left")
+    me = F.col("track_id")
+    mine = F.slice(F.filter("_l", lambda o: o["track_id"] != me), 1, k)
+    none = F.array().cast(lists.schema["_l"].dataType)
+    out = out.select(*frame, *_POINT, *rest, F.coalesce(mine, none).alias("_nb"))
+    return out.withColumns(_relative(out, "_nb", float(max(width, height)))).drop("_nb")
 
 
 def bridge_gaps(

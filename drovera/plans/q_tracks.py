@@ -64,7 +64,7 @@ def velocity_query(spark, d) -> DataFrame:
 
 def features(spark, d) -> DataFrame:
     cols = ("flight_id", "frame_id", "kf_seq", "track_id", "cx", "cy", "vx", "vy")
-    # keyframe sizes, small keyframes and large keyframes all read the velocities
+    # extents, candidates, places and rows all read the velocities
     return T.knn_features(cut(velocity(spark, d).select(*cols)), k=V.KNN_K)
 
 
@@ -81,9 +81,9 @@ def knn(spark, d) -> DataFrame:
     f"WITH {V.FEATURE_SQL} SELECT flight_id, kf_seq, track_id, {', '.join(_R)} FROM feat",
 )
 def knn_large(spark, d) -> DataFrame:
-    """The cell search for keyframes of any size, here taken by every keyframe above 8 tracks."""
+    """The same search with cells of every level for every keyframe."""
     v = velocity(spark, d).select("flight_id", "frame_id", "kf_seq", "track_id", "cx", "cy", "vx", "vy")
-    f = T.knn_features(cut(v), k=V.KNN_K, max_in_memory=8)
+    f = T.knn_features(cut(v), k=V.KNN_K, one_level=0)
     return f.select("flight_id", "kf_seq", "track_id", *rounded(*T.FEATURES))
 
 

@@ -74,12 +74,12 @@ def brute(rows, kf, max_age, k_near, size):
     return out
 
 
-@pytest.mark.parametrize("seed,max_age,in_memory", [(1, 3, 512), (2, 0, 2), (3, 1, 1)])
-def test_features_and_bridging_match_a_simulation(spark, seed, max_age, in_memory):
+@pytest.mark.parametrize("seed,max_age,one_level", [(1, 3, 64), (2, 0, 2), (3, 1, 0)])
+def test_features_and_bridging_match_a_simulation(spark, seed, max_age, one_level):
     rows, kf = herd(seed)
     tr, k = spark.createDataFrame(rows, TR), spark.createDataFrame(kf, KF)
     v = T.world_velocity(tr, k, max_age=max_age, block=8)
-    f = T.knn_features(v, k=3, width=64, height=36, max_in_memory=in_memory)
+    f = T.knn_features(v, k=3, width=64, height=36, one_level=one_level)
     b = T.bridge_gaps(f, k, max_age=max_age, block=8).collect()
     want = brute(rows, kf, max_age, 3, 64)
     assert len(b) == len(want)
@@ -107,11 +107,49 @@ def test_nearest_by_cells_in_a_dense_cluster(spark):
     pts = np.r_[rng.normal(100, 0.4, (300, 2)), rng.random((60, 2)) * 1200, np.tile([[5.0, 5.0]], (40, 1)), [[1279.0, 719.0]]]
     rows = [(1, 0, 0, i, float(x), float(y), float(i % 7), float(i % 5)) for i, (x, y) in enumerate(pts)]
     df = spark.createDataFrame(rows, TR + ", vx DOUBLE, vy DOUBLE")
-    slow = {r.track_id: r for r in T.knn_features(df, k=5).collect()}
-    fast = {r.track_id: r for r in T.knn_features(df, k=5, max_in_memory=10).collect()}
-    assert len(slow) == len(fast) == len(rows)
-    for i, r in slow.items():
-        np.testing.assert_allclose([r[c] for c in T.FEATURES], [fast[i][c] for c in T.FEATURES], atol=1e-6)
+    check_neighbours(T.knn_features(df, k=5), rows)
+    check_neighbours(T.knn_features(df, k=5, one_level=1000), rows)
+
+
+def check_neighbours(features, rows, k=5):
+    """Against a brute force: all distances of a track, sorted by (distance, id)."""
+    got = {r.track_id: [r[c] for c in T.FEATURES] for r in features.collect()}
+    assert len(got) == len(rows)
+    p, v = (np.array([[np.nan if x is None else x for x in r[a:a + 2]] for r in rows], float) for a in (4, 6))
+    ok = np.isfinite(p).all(axis=1)
+    ids, speed = np.array([r[3] for r in rows]), np.hypot(*v.T)
+    for i in range(0, len(rows), max(1, len(rows) // 800)):
+        want = [*v[i], 0, 0, speed[i], 0, 0, 0, 0]
+        with np.errstate(invalid="ignore"):
+            d2 = np.where(ok & (ids != ids[i]), ((p - p[i]) ** 2).sum(axis=1), np.inf)
+        if ok[i] and np.isfinite(d2).any():
+            near = np.lexsort((ids, d2))[: min(k, int(np.isfinite(d2).sum()))]
+            want = [*v[i], *(v[i] - v[near].mean(axis=0)), speed[i], speed[i] - speed[near].mean(),
+                    *(p[i] - p[near].mean(axis=0)), np.sqrt(d2[near]).mean()]
+        np.testing.assert_allclose(got[int(ids[i])], np.array(want) / 1280, rtol=1e-5, atol=1e-5)
+
+
+@pytest.mark.parametrize("n", [1, 3, 600, 50_000])
+def test_neighbours_in_keyframes_of_any_size(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(1, 0, 0, i, float(x), float(y), float(i % 7), float(i % 5)) for i, (x, y) in enumerate(rng.random((n, 2)) * 3000)]
+    check_neighbours(T.knn_features(spark.createDataFrame(rows, TR + ", vx DOUBLE, vy DOUBLE"), k=5), rows)
+
+
+@pytest.mark.parametrize("one_level", [0, 64])
+def test_neighbours_of_far_and_unknown_positions(spark, one_level):
+    xs = [1_048_560.0 + 7 * i for i in range(12)] + [-3e9, 4e12, float("nan"), None, float("inf")]
+    rows = [(1, 0, 0, i, x, 5.0, 1.0, float(i)) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, TR + ", vx DOUBLE, vy DOUBLE")
+    check_neighbours(T.knn_features(df, k=5, one_level=one_level), rows)
+
+
+def test_neighbours_need_no_job_to_be_planned(spark):
+    df = spark.range(9).selectExpr("1L flight_id", "0L frame_id", "0L kf_seq", "id track_id", "id * 1d cx", "0d cy", "0d vx", "0d vy")
+    spark.sparkContext.setJobGroup("plan", "plan")
+    T.knn_features(df)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan")
+    spark.sparkContext.setJobGroup("rest", "rest")
 
 
 @pytest.mark.parametrize("length,window,duration,both", [(3, 4, 3, False), (2, 5, 2, True), (1, 1, 1, False)])
