@@ -67,6 +67,15 @@ MIN_HERD = 5
 VARIANCE_FLOOR = 1e-8
 MAX_TRACKS_PER_FRAME = 450
 
+# texts and colours drawn on frames; colours are (blue, green, red)
+SUMMARY_LINE = "Frame %d | tracks=%d | elevated=%d | confirmed=%d"
+STATE_COLOURS = {
+    "unscored": (180, 130, 70),
+    "ok": (0, 200, 0),
+    "elevated": (0, 220, 220),
+    "confirmed": (0, 0, 255),
+}
+
 # alerts
 ALERT_COOLDOWN_US = 1_000_000
 SESSION_GAP = "30 minutes"

@@ -388,18 +388,29 @@ def _in_states(prefix: str) -> Column:
 
 
 def frame_summary(
-    states: DataFrame, *, keys: Sequence[str] = ("flight_id", "frame_id")
+    states: DataFrame,
+    frames: DataFrame | None = None,
+    *,
+    keys: Sequence[str] = ("flight_id", "frame_id"),
 ) -> DataFrame:
-    """Visible tracks per frame and how many are elevated or confirmed."""
-    visible = states.filter("is_visible") if "is_visible" in states.columns else states
-    return visible.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("tracks"),
-        F.count_if(_in_states("elevated")).alias("elevated"),
-        F.count_if(_in_states("confirmed")).alias("confirmed"),
+    """Visible tracks per frame and how many are elevated or confirmed.
+
+    Every frame with a state has a row, also one whose tracks are all bridged; ``frames`` adds
+    those without any state. They count 0.
+    """
+    seen = F.col("is_visible") if "is_visible" in states.columns else F.lit(True)
+    rows = states.select(*keys, "state", seen.alias("_seen"))
+    if frames is not None:
+        bare = frames.select(*keys, F.lit("").alias("state"), F.lit(False).alias("_seen"))
+        rows = rows.unionByName(bare)
+    return rows.groupBy(*keys).agg(
+        F.count_if("_seen").alias("tracks"),
+        F.count_if(F.col("_seen") & _in_states("elevated")).alias("elevated"),
+        F.count_if(F.col("_seen") & _in_states("confirmed")).alias("confirmed"),
     ).withColumn(
         "hud",
         F.format_string(
-            "Frame %d | tracks=%d | elevated=%d | confirmed=%d",
+            C.SUMMARY_LINE,
             F.col(list(keys)[-1]), F.col("tracks"), F.col("elevated"), F.col("confirmed"),
         ),
     )
@@ -434,13 +445,8 @@ def elevated_sets(states: DataFrame) -> DataFrame:
     return states.withColumns({"both": ae & soc, "only_ae": ae & ~soc, "only_soc": soc & ~ae})
 
 
-# state to drawing colour (blue, green, red)
-COLOURS = {
-    "unscored": "180,130,70",
-    "ok": "0,200,0",
-    "elevated": "0,220,220",
-    "confirmed": "0,0,255",
-}
+# state to drawing colour as text
+COLOURS = {state: ",".join(map(str, bgr)) for state, bgr in C.STATE_COLOURS.items()}
 
 
 def track_label(states: DataFrame) -> DataFrame:

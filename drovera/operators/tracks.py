@@ -237,7 +237,7 @@ def knn_features(
     width: int = C.PROCESSING_SHAPE[0],
     height: int = C.PROCESSING_SHAPE[1],
     frame: Sequence[str] = KEYFRAME,
-    one_level: int = 64,
+    one_level: int = 128,
 ) -> DataFrame:
     """Nine motion features per track from its min(k, N - 1) nearest tracks of the same keyframe.
 

@@ -225,13 +225,16 @@ def events(spark, d) -> DataFrame:
 
 @query(
     "frame_summary",
-    f"""WITH {V.STATE_SQL} SELECT flight_id, frame_id, count(*) AS tracks, count(*) FILTER (WHERE state LIKE 'elevated%') AS elevated,
-      count(*) FILTER (WHERE state LIKE 'confirmed%') AS confirmed, 'Frame ' || frame_id || ' | tracks=' || count(*) ||
-      ' | elevated=' || count(*) FILTER (WHERE state LIKE 'elevated%') || ' | confirmed=' || count(*) FILTER (WHERE state LIKE 'confirmed%') AS hud
-    FROM state WHERE is_visible GROUP BY 1, 2""",
+    f"""WITH {V.STATE_SQL}, n AS (SELECT kf.flight_id, kf.frame_id, count(state) AS tracks,
+        count(*) FILTER (WHERE state LIKE 'elevated%') AS elevated, count(*) FILTER (WHERE state LIKE 'confirmed%') AS confirmed
+      FROM kf LEFT JOIN (SELECT * FROM state WHERE is_visible) s ON s.flight_id = kf.flight_id AND s.frame_id = kf.frame_id
+      GROUP BY 1, 2)
+    SELECT *, 'Frame ' || frame_id || ' | tracks=' || tracks || ' | elevated=' || elevated || ' | confirmed=' || confirmed AS hud
+    FROM n""",
 )
 def summary(spark, d) -> DataFrame:
-    return anomaly.frame_summary(states(spark, d))
+    """Every keyframe, those without a visible track with zeros."""
+    return anomaly.frame_summary(states(spark, d), V.keyframes(spark, d))
 
 
 _LISTS = [f"{s}_tracks" for s in anomaly.STATES]

@@ -21,12 +21,21 @@ def read_telemetry_messages(
 
 
 def telemetry_from_kafka(kafka: DataFrame) -> DataFrame:
-    """Shape rows of a Kafka source (key = flight id) into telemetry messages."""
+    """Shape rows of a Kafka source into telemetry messages.
+
+    One Kafka topic carries the telemetry of all flights with the flight id as key, so a flight
+    lies in one partition and the offset orders it without repeats. The message topic travels in
+    the header ``topic`` (a Kafka topic name cannot hold its slashes); read the source with
+    ``includeHeaders``. Records without that header keep a null topic and drop out on decoding.
+    """
+    if "headers" not in kafka.columns:
+        raise ValueError("read the Kafka source with includeHeaders=true")
+    named = F.filter("headers", lambda h: h["key"] == "topic")
     return kafka.select(
-        F.col("key").cast("string").cast("bigint").alias("flight_id"),
+        F.col("key").cast("string").try_cast("bigint").alias("flight_id"),
         F.col("offset").alias("seq"),
         F.unix_micros("timestamp").alias("ts_us"),
-        "topic",
+        F.get(named, F.lit(0))["value"].cast("string").alias("topic"),
         F.col("value").cast("string").alias("payload"),
     )
 

@@ -113,6 +113,20 @@ def test_geofence_layer(spark, name, corners, ring, inside, outside):
         assert len(layer) == 480 and all((r.x0, r.x1) == (0, 639) for r in layer)
 
 
+def test_geofence_text(spark):
+    texts = {
+        "( -3.5,+12 ) , (.25, 7.0)\n(4,\t-8)": [(-3.5, 12.0), (0.25, 7.0), (4.0, -8.0)],
+        "(1,2)(3,4);x(5,6,7)(5.,6)(1e1,2)((8,9)": [(1.0, 2.0), (3.0, 4.0), (8.0, 9.0)],
+        "(1,2) (3,4)": "fewer than 3 pairs", "(1,2) (3,4) (NaN,5)": "fewer than 3 pairs",
+        "(1,2) (3,4) (181,5)": "coordinate out of range", "None": None, "  ": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    for r in geo.parse_geofence(df, text_col="t").collect():
+        want = texts[r.t]
+        assert r.ring_error == (want if isinstance(want, str) else None)
+        assert (r.ring and [tuple(p) for p in r.ring]) == (want if isinstance(want, list) else None)
+
+
 def test_settings_checks():
     Camera().check_aspect()
     with pytest.raises(ValueError):

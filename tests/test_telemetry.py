@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from drovera import constants as C
 from drovera.operators import telemetry as T
+from drovera.sources import readers
 
 MSG = "flight_id BIGINT, seq BIGINT, ts_us BIGINT, topic STRING, payload STRING"
 
@@ -79,3 +82,17 @@ def test_streak_and_last_n(spark):
     assert q == {f: (200, sum(m is None for g, _, m in rows if g == f)) for f in (1, 2)}
     top = T.last_n(df, order=("frame_id",), n=3).collect()
     assert sorted((r.flight_id, r.frame_id) for r in top) == [(f, i) for f in (1, 2) for i in (591, 594, 597)]
+
+
+def test_kafka_records_become_messages(spark):
+    rows = [("4", "12.5", 0, [("other", "x"), ("topic", "telemetry/latitude")]), ("4", "31", 1, [("topic", "telemetry/rel_alt")]),
+            ("4", "9", 2, None), ("4", "9", 3, [])]
+    kafka = spark.createDataFrame(rows, "key STRING, value STRING, offset BIGINT, h ARRAY<STRUCT<key: STRING, value: STRING>>").selectExpr(
+        "CAST(key AS BINARY) AS key", "CAST(value AS BINARY) AS value", "'flights' AS topic", "offset",
+        "timestamp_seconds(offset) AS timestamp", "CAST(h AS ARRAY<STRUCT<key: STRING, value: BINARY>>) AS headers")
+    messages = readers.telemetry_from_kafka(kafka)
+    assert [(r.flight_id, r.seq, r.ts_us) for r in messages.collect()] == [(4, i, i * 1_000_000) for i in range(4)]
+    got = sorted((r.seq, r.field, r.value) for r in T.decode_telemetry(messages).collect())
+    assert got == [(0, "latitude", 12.5), (1, "rel_alt", 31.0)]
+    with pytest.raises(ValueError):
+        readers.telemetry_from_kafka(kafka.drop("headers"))
