@@ -215,7 +215,8 @@ def danger_flags(
 
 
 def _flag_sweep(
-    events: DataFrame, keys: Sequence[str], names: Sequence[str], row: Sequence[str]
+    events: DataFrame, keys: Sequence[str], names: Sequence[str], row: Sequence[str],
+    partial: Collection[str] = (),
 ) -> DataFrame:
     cols = ["_safe", *[f"_l_{n}" for n in names]]
     w = Window.partitionBy(*row).orderBy("x")
@@ -226,15 +227,20 @@ def _flag_sweep(
         (F.lead("x").over(w) - F.col("x")).alias("_len"),
         *[(F.sum(c).over(so_far) > 0).alias(c) for c in cols],
     ).filter(F.col("_len") > 0)
-    danger = F.lit(False)
+    whole, part = F.lit(False), F.lit(False)
     for n in names:
-        danger = danger | F.col(f"_l_{n}")
+        if n in partial:
+            part = part | F.col(f"_l_{n}")
+        else:
+            whole = whole | F.col(f"_l_{n}")
+    danger, safe = whole | part, F.col("_safe")
     return seg.groupBy(*keys).agg(
         *[F.max(F.col("_safe") & F.col(f"_l_{n}")).alias(n) for n in names],
         F.sum(F.when(danger & F.col("_safe"), F.col("_len")).otherwise(0))
         .cast("bigint").alias("intersection_px"),
-        F.sum(F.when(danger & ~F.col("_safe"), F.col("_len")).otherwise(0))
-        .cast("bigint").alias("danger_px"),
+        F.sum(
+            F.when(whole & ~part & ~safe, F.col("_len")).when(part & safe, -F.col("_len")).otherwise(0)
+        ).cast("bigint").alias("danger_px"),
     )
 
 
@@ -249,6 +255,7 @@ def circle_danger_flags(
     cy: str = "cy",
     radius: str = "safety_radius_px",
     names: Sequence[str] = tuple(n for n, _ in C.DANGER_LABELS),
+    partial: Collection[str] = (),
     band: int = 64,
 ) -> DataFrame:
     """``danger_flags`` straight from boxes: circles are shuffled whole and drawn afterwards.
@@ -256,6 +263,10 @@ def circle_danger_flags(
     A frame is cut into bands of ``band`` image rows. A circle goes to the bands it touches (two,
     mostly) instead of travelling as one span per image row, and one crowded frame still spreads
     over several tasks.
+
+    Layers named in ``partial`` need spans only under circles and under the other layers. Their
+    area enters ``danger_px`` as what it adds to the area of their union over the whole frame,
+    which the caller adds (and which may be negative before that).
     """
     keys = list(keys)
     r, x, y = F.col("_r"), F.col("_x"), F.col("_y")
@@ -297,7 +308,7 @@ def circle_danger_flags(
     ).select(
         *keys, "_band", "y", F.col("_e.x").alias("x"), *[(F.col(c) * F.col("_e.s")).alias(c) for c in cols]
     )
-    return _flag_sweep(events, keys, names, [*keys, "_band", "y"])
+    return _flag_sweep(events, keys, names, [*keys, "_band", "y"], partial)
 
 
 def danger_types(labels: Sequence[tuple[str, str]] = C.DANGER_LABELS) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +14,21 @@ from ..operators import alerts, geo, raster, spans, telemetry
 from ..session import cut
 from ..settings import Camera, HazardSettings
 
+POSE = ("latitude", "longitude", "rel_alt", "gb_yaw")
+
 
 @dataclass(frozen=True)
 class DangerResult:
     frames: DataFrame  # pose, resolution and safety radius per frame
-    layers: DataFrame  # hazard spans; raster layers only where a safety circle looks
-    flags: DataFrame  # touched layers and mask areas per frame
-    alerts: DataFrame  # rate-limited alerts
+    layers: DataFrame  # hazard spans; raster layers only under safety circles and segments
+    flags: DataFrame  # touched layers and mask areas, one row for every frame
+    cooldown_us: int
+
+    @cached_property
+    def alerts(self) -> DataFrame:
+        """Rate-limited alerts; their jobs run only when they are asked for."""
+        hits = self.flags.filter("alert_msg <> ''").select(*spans.FRAME, "alert_msg", "ts_us")
+        return alerts.alert_cooldown(hits, cooldown_us=self.cooldown_us)
 
 
 def locate_frames(
@@ -70,9 +80,10 @@ def danger_detection(
 ) -> DangerResult:
     """Hazard layers against safety circles.
 
-    Slope is computed once per raster cell, not per frame; frames then only look cells up, and
-    only under their safety circles. ``dem_pixel_m`` is the cell width in metres (a number, or a
-    column of ``dem_cells``). Frames without telemetry get no geographic layers.
+    Slope is computed once per raster cell, not per frame. What the fence and the raster cover of a
+    whole frame depends on the pose alone and is measured once per distinct pose; the frames then
+    look cells up only under their circles and segments. Frames without telemetry, or on the
+    ground, get no geographic layers; every frame has a row in ``flags``.
     """
     located = cut(
         locate_frames(
@@ -80,38 +91,70 @@ def danger_detection(
         )
     )
     keys = list(spans.FRAME)
-    boxes = detections.select(*keys, "cx", "cy").join(
-        located.select(*keys, "safety_radius_px"), keys
-    )
-    boxes = cut(boxes)
-    layers = spans.segmentation_layers(label_spans, suppress=suppress)
-
-    posed = located.filter(F.col("rel_alt").isNotNull())
-    posed = geo.frame_affine(geo.frame_corners(posed))
-    if ring is not None:
-        fence = geo.geofence_layer(posed, ring=ring)
-        layers = layers.unionByName(fence)
+    affine = [f"aff_{k}" for k in "abcdef"]
+    steep = None
     if dem_cells is not None:
-        padded = raster.pad_raster(dem_cells, dem_meta)
         steep = cut(
             raster.slope_mask(
-                padded, pixel_m=dem_pixel_m, threshold_deg=settings.slope_threshold_deg
+                raster.pad_raster(dem_cells, dem_meta), pixel_m=dem_pixel_m,
+                threshold_deg=settings.slope_threshold_deg,
             )
         )
-        looked = spans.safety_spans(boxes, width=width, height=height).join(
-            posed.select(*keys, *[f"aff_{k}" for k in "abcdef"]), keys
-        ).withColumn("dem_id", F.lit(dem_id))
-        layers = layers.unionByName(raster.cell_layer_spans(looked, dem_meta, steep))
-    flags = cut(
-        spans.danger_message(
-            spans.circle_danger_flags(boxes, layers, width=width, height=height)
+
+    def ground_layers(posed: DataFrame, looked: DataFrame, by: Sequence[str]) -> DataFrame:
+        """Fence spans of the posed rows, and raster spans under the looked-at ones."""
+        found = []
+        if ring is not None:
+            found.append(geo.geofence_layer(posed, ring=ring, keys=by))
+        if steep is not None:
+            under = looked.join(posed.select(*by, *affine), list(by))
+            found.append(
+                raster.cell_layer_spans(
+                    under.withColumn("dem_id", F.lit(dem_id)), dem_meta, steep, frame=by
+                )
+            )
+        return reduce(DataFrame.unionByName, found)
+
+    def ground_cover(poses: DataFrame) -> DataFrame:
+        """The affine of each pose and the pixels its ground layers cover together."""
+        # a filter on the affine itself would copy the geodesic expressions into its condition
+        known = poses.filter(F.col("meters_per_pixel") > 0)
+        posed = cut(geo.frame_affine(geo.frame_corners(known)))
+        whole = posed.select(
+            *POSE, F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"),
+            F.lit(0).alias("x0"), F.lit(width - 1).alias("x1"),
         )
+        union = spans.mask_union(ground_layers(posed, whole, POSE), keys=POSE)
+        area = spans.mask_area(union, keys=POSE).withColumnRenamed("area_px", "ground_px")
+        return posed.join(area, list(POSE), "left").select(*posed.columns, "ground_px")
+
+    boxes = cut(detections.select(*keys, "cx", "cy").join(
+        located.select(*keys, "safety_radius_px"), keys
+    ))
+    layers = spans.segmentation_layers(label_spans, suppress=suppress)
+    if ring is not None or steep is not None:
+        located = cut(raster.compute_once_per_pose(
+            located, ground_cover, pose=(*POSE, "meters_per_pixel", "image_w", "image_h")
+        ))
+        looked = spans.safety_spans(boxes, width=width, height=height).unionByName(layers)
+        posed = located.filter(F.col("meters_per_pixel") > 0)
+        layers = layers.unionByName(ground_layers(posed, looked.drop("layer"), keys))
+    else:
+        located = located.withColumn("ground_px", F.lit(None).cast("bigint"))
+    touched = spans.circle_danger_flags(
+        boxes, layers, width=width, height=height, partial=("nodata", "geofence", "slope")
     )
-    hits = flags.filter("alert_msg <> ''").select(*keys, "alert_msg")
-    timed = hits.join(located.select(*keys, "ts_us"), keys)
-    return DangerResult(
-        located, layers, flags, alerts.alert_cooldown(timed, cooldown_us=settings.cooldown_us)
+    every = located.select(*keys, "ts_us", "ground_px").join(touched, keys, "left")
+    names = [n for n, _ in C.DANGER_LABELS]
+    flags = every.select(
+        *keys, "ts_us",
+        *[F.coalesce(n, F.lit(False)).alias(n) for n in names],
+        F.coalesce("intersection_px", F.lit(0).cast("bigint")).alias("intersection_px"),
+        (F.coalesce("danger_px", F.lit(0)) + F.coalesce("ground_px", F.lit(0)))
+        .cast("bigint").alias("danger_px"),
     )
+    flags = cut(spans.danger_message(flags))
+    return DangerResult(located, layers, flags, settings.cooldown_us)
 
 
 def cell_width_m(dem_meta: DataFrame, *, out: str = "pixel_m") -> DataFrame:

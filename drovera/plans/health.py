@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,12 @@ class HealthResult:
     states: DataFrame  # one row per (keyframe, visible or bridged track)
     events: DataFrame  # anomalous episodes
     messages: DataFrame  # alert text per keyframe
-    alerts: DataFrame  # rate-limited alerts
+    cooldown_us: int
+
+    @cached_property
+    def alerts(self) -> DataFrame:
+        """Rate-limited alerts; their jobs run only when they are asked for."""
+        return alerts.alert_cooldown(self.messages, cooldown_us=self.cooldown_us)
 
 
 def track_features(
@@ -100,6 +106,4 @@ def health_monitoring(
     )
     events = anomaly.anomaly_events(states, keyframes, min_duration=settings.min_duration)
     messages = alerts.anomaly_message(states, keys=("flight_id", "frame_id", "ts_us"))
-    return HealthResult(
-        states, events, messages, alerts.alert_cooldown(messages, cooldown_us=cooldown_us)
-    )
+    return HealthResult(states, events, messages, cooldown_us)

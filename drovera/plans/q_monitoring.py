@@ -106,23 +106,39 @@ W, H = V.MASK_W, V.MASK_H
 # a fence over part of the raster, in its coordinates
 RING = [(8.8803, 44.4199), (8.8847, 44.4197), (8.8841, 44.4163), (8.8809, 44.4166)]
 CELL_M = 8.0
-HAZARD = HazardSettings(tolerance_us=V.TOL_US, cooldown_us=6 * V.HOUR_US, slope_threshold_deg=66.0)
+HAZARD = HazardSettings(cooldown_us=600_000_000, slope_threshold_deg=66.0)
+
+# Orders act as frames, one a second over all flights, their lines as detections and labels. Most
+# orders bring four messages; those without have stale telemetry or none. The yaw of every third
+# comes too late for its own frame, which then has the yaw before it.
+_FRAME_US = f"{V.BASE_US} + o_orderkey * 1000000"
+_QUIET = "o_custkey % 6 = 0"
+_MESSAGES = [  # topic, field, when, payload
+    ("telemetry/latitude", "latitude", "-50000", "44.4163 + (o_custkey % 7) * 0.0006"),
+    ("telemetry/longitude", "longitude", "-40000", "8.8803 + (o_custkey % 5) * 0.0010"),
+    ("telemetry/rel_alt", "rel_alt", "-30000", "60 + (o_custkey % 3) * 40"),
+    ("telemetry/gb_yaw", "gb_yaw", "CASE WHEN o_orderkey % 3 = 0 THEN 120000 ELSE 20000 END",
+     "15 + (o_custkey % 4) * 90"),
+]
 
 
 def danger_inputs(spark, d) -> dict:
-    e = V.events(spark, d)
-    frames = e.filter("event_type = 'purchase'").select(
-        "flight_id", F.col("event_id").alias("frame_id"), "ts_us"
-    )
-    value = """CASE event_type WHEN 'click' THEN 44.4163 + (event_id % 37) * 0.0001
-      WHEN 'view' THEN 8.8803 + (event_id % 43) * 0.0001 WHEN 'error' THEN 20 + event_id % 40
-      ELSE (event_id * 7) % 360 END"""
-    messages = e.select(
-        "flight_id", F.col("event_id").alias("seq"), "ts_us", F.expr(V._TOPIC).alias("topic"),
-        F.expr(f"cast({value} AS string)").alias("payload"),
-    )
-    lines = V.box_lines(spark, d, "frame_id", "cx", "cy", "w", "h", "layer_no", "ly", "lx0", "lx1")
-    lines = lines.join(frames.select("flight_id", "frame_id"), "frame_id")
+    orders = V.table(spark, d, "orders").select(
+        F.expr("o_orderkey % 10").alias("flight_id"), "o_orderkey", "o_custkey",
+        F.expr(_FRAME_US).alias("ts_us"),
+    )
+    frames = orders.select("flight_id", F.col("o_orderkey").alias("frame_id"), "ts_us")
+    sent = ", ".join(
+        f"struct(o_orderkey * 4 + {i} AS seq, ts_us + {at} AS ts_us, '{topic}' AS topic, "
+        f"cast({value} AS string) AS payload)"
+        for i, (topic, _, at, value) in enumerate(_MESSAGES)
+    )
+    messages = orders.filter(f"NOT ({_QUIET})").select(
+        "flight_id", F.expr(f"inline(array({sent}))")
+    )
+    lines = V.box_lines(
+        spark, d, "flight_id", "frame_id", "cx", "cy", "w", "h", "layer_no", "ly", "lx0", "lx1"
+    )
     detections = lines.select(
         "flight_id", "frame_id", "cx", "cy", (F.col("cx") - F.col("w")).alias("x1"),
         F.col("cx").alias("x2"), (F.col("cy") - F.col("h")).alias("y1"), F.col("cy").alias("y2"),
@@ -153,48 +169,44 @@ _RES = (
     f"((m.rel_alt / {C.FOCAL_LENGTH_MM}) * (CAST({C.SENSOR_WIDTH_MM} AS DOUBLE) / {C.SENSOR_WIDTH_PX}.0) "
     f"* least({C.SENSOR_WIDTH_PX}.0::DOUBLE / {W}, {C.SENSOR_HEIGHT_PX}.0::DOUBLE / {H}))"
 )
-_EDGES = ", ".join(
-    f"({x}::DOUBLE, {y}::DOUBLE, {RING[(i + 1) % len(RING)][0]}::DOUBLE, {RING[(i + 1) % len(RING)][1]}::DOUBLE)"
-    for i, (x, y) in enumerate(RING)
-)
 _DANGER = (
-    V.EVENTS
-    + """, decoded AS (
-      SELECT flight_id, event_id AS seq, ts_us, CASE event_type WHEN 'click' THEN 'latitude' WHEN 'view' THEN 'longitude'
-          WHEN 'error' THEN 'rel_alt' WHEN 'signup' THEN 'gb_yaw' END AS field,
-        CAST(CASE event_type WHEN 'click' THEN CAST(44.4163 + (event_id % 37) * 0.0001 AS DECIMAL(12, 4))
-          WHEN 'view' THEN CAST(8.8803 + (event_id % 43) * 0.0001 AS DECIMAL(12, 4)) WHEN 'error' THEN 20 + event_id % 40
-          ELSE (event_id * 7) % 360 END AS DOUBLE) AS value FROM ev WHERE event_type <> 'purchase')"""
+    f"""ord AS (SELECT o_orderkey % 10 AS flight_id, o_orderkey, o_custkey, {_FRAME_US} AS ts_us FROM orders),
+    fr AS (SELECT flight_id, o_orderkey AS frame_id, ts_us FROM ord),
+    decoded AS ("""
+    + " UNION ALL ".join(
+        f"SELECT flight_id, o_orderkey * 4 + {i} AS seq, ts_us + {at} AS ts_us, '{field}' AS field, "
+        f"CAST({value} AS DOUBLE) AS value FROM ord WHERE NOT ({_QUIET})"
+        for i, (_, field, at, value) in enumerate(_MESSAGES)
+    )
+    + ")"
     + V.SNAPSHOT[len(V.DECODED):]
-    + V.MATCHED[len(V.SNAPSHOT):]
-    + ", " + V.BOXES
+    + f""", pairs AS (
+      SELECT f.frame_id, s.*, abs(s.ts_us - f.ts_us) AS d FROM fr f JOIN snap s ON s.flight_id = f.flight_id
+        AND s.ts_us BETWEEN f.ts_us - {C.MATCH_TOLERANCE_US} AND f.ts_us + {C.MATCH_TOLERANCE_US}),
+    near AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY d, ts_us, seq) = 1),
+    m AS (SELECT fr.*, d AS match_dt_us, latitude, longitude, rel_alt, gb_yaw FROM fr LEFT JOIN near USING (frame_id)),
+    """
+    + V.BOXES
     + f""", fb AS (SELECT frame_id, median(greatest(w, h)) AS med FROM bx GROUP BY 1),
-    loc AS (SELECT m.*, {W} AS image_w, {H} AS image_h, {_RES} AS meters_per_pixel,
-        CASE WHEN m.match_dt_us IS NOT NULL THEN CAST(trunc(2.0 / {_RES}) AS BIGINT)
+    pose AS (SELECT *, row_number() OVER () AS pose_id FROM (
+      SELECT DISTINCT latitude, longitude, rel_alt, gb_yaw, {W} AS image_w, {H} AS image_h, {_RES} AS meters_per_pixel
+      FROM m WHERE match_dt_us IS NOT NULL) q),
+    loc AS MATERIALIZED (SELECT m.flight_id, m.frame_id, m.ts_us, p.pose_id,
+        CASE WHEN m.match_dt_us IS NOT NULL THEN CAST(trunc(2.0 / p.meters_per_pixel) AS BIGINT)
           WHEN med > 0 THEN CAST(trunc(2.0::DOUBLE / (1.3::DOUBLE / med)) AS BIGINT) ELSE -1 END AS r
-      FROM matched m LEFT JOIN fb ON fb.frame_id = m.frame_id),
-    sp AS (SELECT DISTINCT loc.frame_id, cx, cy, loc.r FROM loc JOIN bx ON bx.frame_id = loc.frame_id WHERE loc.r > 0),
-    safe AS (SELECT DISTINCT frame_id, y, x FROM (
-        SELECT frame_id, cx, cy, r, y, unnest(range(cx - r, cx + r + 1)) AS x FROM (
-          SELECT *, unnest(range(cy - r, cy + r + 1)) AS y FROM sp) a) b
-      WHERE (x - cx) * (x - cx) + (y - cy) * (y - cy) <= r * r AND x BETWEEN 0 AND {W - 1} AND y BETWEEN 0 AND {H - 1}),
-    seg AS (SELECT DISTINCT frame_id, CASE layer_no WHEN 1 THEN 'roads' ELSE 'vehicles' END AS layer, ly AS y,
-      unnest(range(lx0, lx1 + 1)) AS x FROM bx WHERE layer_no IN (1, 2)),
-    pc AS (SELECT loc.*, corner, CASE corner WHEN 'ul' THEN 0 WHEN 'bl' THEN 0 ELSE image_w - 1 END AS cpx,
+      FROM m LEFT JOIN fb ON fb.frame_id = m.frame_id LEFT JOIN pose p USING (latitude, longitude, rel_alt, gb_yaw)),
+    pc AS (SELECT pose.*, corner, CASE corner WHEN 'ul' THEN 0 WHEN 'bl' THEN 0 ELSE image_w - 1 END AS cpx,
         CASE corner WHEN 'ul' THEN 0 WHEN 'ur' THEN 0 ELSE image_h - 1 END AS cpy
-      FROM loc, (VALUES ('ul'), ('ur'), ('bl')) v(corner) WHERE match_dt_us IS NOT NULL),
-    {direct_sql('pc', 'g', 'cpx', 'cpy', 'frame_id, corner')},
-    wide AS (SELECT frame_id, """
+      FROM pose, (VALUES ('ul'), ('ur'), ('bl')) v(corner)),
+    {direct_sql('pc', 'g', 'cpx', 'cpy', 'pose_id, corner')},
+    wide AS (SELECT pose_id, """
     + ", ".join(
         f"max(CASE WHEN corner = '{c}' THEN {a} END) AS {c}_{a}" for c in ("ul", "ur", "bl") for a in ("lon", "lat")
     )
     + f""" FROM g GROUP BY 1),
-    geo AS (SELECT s.*, ul_lon + (x + 0.5) * (ur_lon - ul_lon) / {W - 1} + (y + 0.5) * (bl_lon - ul_lon) / {H - 1} AS lon,
+    px AS (SELECT pose_id, y, x, ul_lon + (x + 0.5) * (ur_lon - ul_lon) / {W - 1} + (y + 0.5) * (bl_lon - ul_lon) / {H - 1} AS lon,
         ul_lat + (x + 0.5) * (ur_lat - ul_lat) / {W - 1} + (y + 0.5) * (bl_lat - ul_lat) / {H - 1} AS lat
-      FROM safe s JOIN wide USING (frame_id)),
-    ring AS (SELECT * FROM (VALUES {_EDGES}) v(ax, ay, bx_, by_)),
-    fence AS (SELECT frame_id, y, x FROM geo, ring GROUP BY frame_id, y, x
-      HAVING sum(CASE WHEN (ay > lat) <> (by_ > lat) AND lon < ax + (lat - ay) * (bx_ - ax) / (by_ - ay) THEN 1 ELSE 0 END) % 2 = 0),
+      FROM wide, range({H}) ys(y), range({W}) xs(x)),
     {V.DEM}, ext AS (SELECT max("row") AS rm FROM dem),
     pr AS (SELECT unnest(range(-2, rm + 3)) AS "row" FROM ext), pcl AS (SELECT unnest(range(-2, {V.DEM_COLS + 2})) AS col),
     pad AS (SELECT p."row", c.col, coalesce(elev, 0.0) AS elev, coalesce(nodata, 1) AS nodata
@@ -205,44 +217,68 @@ _DANGER = (
       FROM pad c, (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc), ext, pad n
       WHERE n."row" = least(greatest(c."row" + dr, -2), rm + 2) AND n.col = least(greatest(c.col + dc, -2), {V.DEM_COLS + 1})
       GROUP BY 1, 2),
-    cell AS (SELECT frame_id, y, x, coalesce(nodata, 1) AS nodata,
+    ground AS MATERIALIZED (SELECT pose_id, y, x, ("""
+    + " + ".join(
+        f"CASE WHEN ({ay} > lat) <> ({by} > lat) AND lon < {ax} + (lat - {ay}) * ({bx} - {ax}) / ({by} - {ay}) THEN 1 ELSE 0 END"
+        for (ax, ay), (bx, by) in zip([(f"{x}::DOUBLE", f"{y}::DOUBLE") for x, y in RING],
+                                      [(f"{x}::DOUBLE", f"{y}::DOUBLE") for x, y in RING[1:] + RING[:1]])
+    )
+    + f""") % 2 = 0 AS geofence, coalesce(nodata, 1) = 1 AS nodata,
         coalesce(dx * dx + dy * dy > power(tan(radians({HAZARD.slope_threshold_deg})), 2), false) AS slope
-      FROM geo LEFT JOIN grad ON grad.col = CAST(floor((lon - {META['c']}) / {META['a']}) AS BIGINT)
+      FROM px LEFT JOIN grad ON grad.col = CAST(floor((lon - {META['c']}) / {META['a']}) AS BIGINT)
         AND grad."row" = CAST(floor((lat - {META['f']}) / {META['e']}) AS BIGINT)),
-    hit AS (
-      SELECT frame_id, layer, y, x FROM safe JOIN seg USING (frame_id, y, x)
-      UNION ALL SELECT frame_id, 'geofence', y, x FROM fence
-      UNION ALL SELECT frame_id, 'nodata', y, x FROM cell WHERE nodata = 1
-      UNION ALL SELECT frame_id, 'slope', y, x FROM cell WHERE slope),
+    cover AS (SELECT pose_id, count(*) AS n FROM ground WHERE geofence OR nodata OR slope GROUP BY 1),
+    sp AS (SELECT DISTINCT loc.frame_id, pose_id, cx, cy, loc.r FROM loc JOIN bx ON bx.frame_id = loc.frame_id WHERE loc.r > 0),
+    safe AS (SELECT DISTINCT frame_id, pose_id, y, x FROM (
+        SELECT frame_id, pose_id, cx, cy, r, y, unnest(range(cx - r, cx + r + 1)) AS x FROM (
+          SELECT *, unnest(range(cy - r, cy + r + 1)) AS y FROM sp) a) b
+      WHERE (x - cx) * (x - cx) + (y - cy) * (y - cy) <= r * r AND x BETWEEN 0 AND {W - 1} AND y BETWEEN 0 AND {H - 1}),
+    seg AS (SELECT frame_id, y, x, bool_or(layer_no = 1) AS roads, bool_or(layer_no = 2) AS vehicles FROM (
+        SELECT frame_id, layer_no, ly AS y, unnest(range(lx0, lx1 + 1)) AS x FROM bx WHERE layer_no IN (1, 2)) q GROUP BY 1, 2, 3),
+    beside AS (SELECT s.frame_id, count(*) AS n FROM seg s JOIN loc USING (frame_id)
+        LEFT JOIN ground g ON g.pose_id = loc.pose_id AND g.y = s.y AND g.x = s.x
+      WHERE NOT coalesce(geofence OR nodata OR slope, false) GROUP BY 1),
+    hit AS (SELECT s.frame_id, coalesce(roads, false) AS roads, coalesce(vehicles, false) AS vehicles,
+        coalesce(geofence, false) AS geofence, coalesce(nodata, false) AS nodata, coalesce(slope, false) AS slope
+      FROM safe s LEFT JOIN seg USING (frame_id, y, x)
+        LEFT JOIN ground g ON g.pose_id = s.pose_id AND g.y = s.y AND g.x = s.x),
     flag AS (SELECT frame_id, """
-    + ", ".join(f"bool_or(layer = '{n}') AS {n}" for n, _ in C.DANGER_LABELS)
-    + """, count(DISTINCT y * 100000 + x) AS intersection_px FROM hit GROUP BY 1),
-    danger AS (SELECT loc.flight_id, loc.frame_id, loc.ts_us, flag.* EXCLUDE (frame_id), array_to_string(list_filter(["""
+    + ", ".join(f"bool_or({n}) AS {n}" for n, _ in C.DANGER_LABELS)
+    + ", count(*) FILTER (WHERE "
+    + " OR ".join(n for n, _ in C.DANGER_LABELS)
+    + """) AS intersection_px FROM hit GROUP BY 1),
+    shown AS (SELECT flight_id, loc.frame_id, ts_us, """
+    + ", ".join(f"coalesce({n}, false) AS {n}" for n, _ in C.DANGER_LABELS)
+    + """, coalesce(intersection_px, 0) AS intersection_px,
+        coalesce(cover.n, 0) + coalesce(beside.n, 0) - coalesce(intersection_px, 0) AS danger_px
+      FROM loc LEFT JOIN flag ON flag.frame_id = loc.frame_id LEFT JOIN cover ON cover.pose_id = loc.pose_id
+        LEFT JOIN beside ON beside.frame_id = loc.frame_id),
+    danger AS MATERIALIZED (SELECT *, array_to_string(list_filter(["""
     + ", ".join(f"CASE WHEN {n} THEN '{t}' END" for n, t in C.DANGER_LABELS)
-    + """], lambda v: v IS NOT NULL), ' & ') AS alert_msg FROM loc JOIN flag USING (frame_id))"""
+    + """], lambda v: v IS NOT NULL), ' & ') AS alert_msg FROM shown)"""
 )
 _NAMES = [n for n, _ in C.DANGER_LABELS]
 
 
 @query(
     "danger_detection",
-    f"WITH {_DANGER} SELECT flight_id, frame_id, {', '.join(_NAMES)}, intersection_px, alert_msg FROM danger",
+    f"WITH {_DANGER} SELECT flight_id, frame_id, {', '.join(_NAMES)}, intersection_px, danger_px, alert_msg FROM danger",
 )
 def danger_flags(spark, d) -> DataFrame:
-    """Frames in which an animal's safety circle touches a hazard."""
-    return herd_danger(spark, d).flags.filter("intersection_px > 0").select(
-        "flight_id", "frame_id", *_NAMES, "intersection_px", "alert_msg"
+    """What every frame's hazard layers cover, and which of them safety circles touch."""
+    return herd_danger(spark, d).flags.select(
+        "flight_id", "frame_id", *_NAMES, "intersection_px", "danger_px", "alert_msg"
     )
 
 
 @query(
     "danger_alerts",
-    f"""WITH RECURSIVE {_DANGER}, walk AS (
-      SELECT flight_id, min(ts_us) AS ts_us FROM danger GROUP BY 1
+    f"""WITH RECURSIVE {_DANGER}, cand AS (SELECT * FROM danger WHERE alert_msg <> ''), walk AS (
+      SELECT flight_id, min(ts_us) AS ts_us FROM cand GROUP BY 1
       UNION ALL
-      SELECT w.flight_id, (SELECT min(c.ts_us) FROM danger c WHERE c.flight_id = w.flight_id
+      SELECT w.flight_id, (SELECT min(c.ts_us) FROM cand c WHERE c.flight_id = w.flight_id
         AND c.ts_us >= w.ts_us + {HAZARD.cooldown_us}) FROM walk w WHERE w.ts_us IS NOT NULL)
-    SELECT c.flight_id, c.frame_id, c.ts_us, c.alert_msg FROM danger c JOIN walk w USING (flight_id, ts_us)""",
+    SELECT c.flight_id, c.frame_id, c.ts_us, c.alert_msg FROM cand c JOIN walk w USING (flight_id, ts_us)""",
 )
 def danger_alerts(spark, d) -> DataFrame:
     return herd_danger(spark, d).alerts.select("flight_id", "frame_id", "ts_us", "alert_msg")
