@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import motion
 from ..operators import alerts, anomaly, scoring, tracks
 from ..session import cut
 from ..settings import AnomalySettings
@@ -80,14 +81,22 @@ def health_monitoring(
     make_predict_fn: Callable | None = None,
     ae_mean: float = 0.0,
     ae_std: float = 1.0,
+    feature_mean: Sequence[float] | None = None,
+    feature_std: Sequence[float] | None = None,
     cooldown_us: int = C.ALERT_COOLDOWN_US,
     width: int = C.PROCESSING_SHAPE[0],
     height: int = C.PROCESSING_SHAPE[1],
 ) -> HealthResult:
-    """The whole chain. Stages that several later ones read are cut into the checkpoint folder."""
-    bridged = cut(
-        track_features(track_rows, keyframes, settings=settings, width=width, height=height)
-    )
+    """The whole chain. Stages that several later ones read are cut into the checkpoint folder.
+
+    ``feature_mean`` and ``feature_std``, one number per feature in the order of
+    ``tracks.FEATURES``, normalise features before the herd statistics and both scores see them.
+    """
+    bridged = track_features(track_rows, keyframes, settings=settings, width=width, height=height)
+    if feature_mean is not None and feature_std is not None:
+        scaled = motion.standardize(tracks.FEATURES, feature_mean, feature_std)
+        bridged = bridged.withColumns({c: e.cast("float") for c, e in scaled.items()})
+    bridged = cut(bridged)
     scored = score_tracks(
         bridged, settings=settings, make_predict_fn=make_predict_fn, ae_mean=ae_mean, ae_std=ae_std
     )

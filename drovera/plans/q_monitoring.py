@@ -41,8 +41,20 @@ _STATES = V.state_sql(
     _SCORES, _L, SETTINGS.smoothing_window, SETTINGS.min_duration, SETTINGS.ae_threshold,
     SETTINGS.social_threshold,
 )
-_STATE_QUERY = f"""WITH RECURSIVE {_STATES} SELECT flight_id, track_id, kf_seq, is_visible, eligible,
+# the batch job's features are normalised before anything is scored
+FEATURE_MEAN = [0.01 * i for i in range(len(T.FEATURES))]
+FEATURE_STD = [0.9 + 0.05 * i for i in range(len(T.FEATURES))]
+_SCALED = ", bn AS (SELECT * REPLACE (" + ", ".join(
+    f"CAST((CAST({f} AS DOUBLE) - {m!r}::DOUBLE) / {s!r}::DOUBLE AS FLOAT) AS {f}"
+    for f, m, s in zip(T.FEATURES, FEATURE_MEAN, FEATURE_STD)
+) + ") FROM bf), batch AS ("
+_BATCH_CTE = ", batch AS ("
+_NORMAL_STATES = _STATES.replace(_BATCH_CTE, _SCALED).replace(" FROM bf GROUP BY", " FROM bn GROUP BY").replace(
+    "AS bseg FROM bf)", "AS bseg FROM bn)"
+)
+_SELECT_STATES = """SELECT flight_id, track_id, kf_seq, is_visible, eligible,
   round(ae_smooth, 3) AS ae_smooth, round(soc_smooth, 4) AS soc_smooth, confirmed, state FROM state"""
+_STATE_QUERY = f"WITH RECURSIVE {_STATES} {_SELECT_STATES}"
 _STATE_COLS = ("flight_id", "track_id", "kf_seq", "is_visible", "eligible")
 
 
@@ -57,18 +69,18 @@ def herd_health(spark, d) -> health.HealthResult:
     return health.health_monitoring(
         V.tracks(spark, d).drop("ts_us"), V.keyframes(spark, d), settings=SETTINGS,
         make_predict_fn=scoring.mean_square_speed(), ae_mean=AE_MEAN, ae_std=AE_STD,
-        cooldown_us=2 * V.KEYFRAME_US,
+        feature_mean=FEATURE_MEAN, feature_std=FEATURE_STD, cooldown_us=2 * V.KEYFRAME_US,
     )
 
 
-@query("health_monitoring", _STATE_QUERY)
+@query("health_monitoring", f"WITH RECURSIVE {_NORMAL_STATES} {_SELECT_STATES}")
 def health_states(spark, d) -> DataFrame:
     return _shown(herd_health(spark, d).states)
 
 
 @query(
     "health_alerts",
-    f"""WITH RECURSIVE {_STATES}, g AS (SELECT flight_id, frame_id, ts_us, string_agg(CASE WHEN is_visible AND state LIKE 'confirmed%'
+    f"""WITH RECURSIVE {_NORMAL_STATES}, g AS (SELECT flight_id, frame_id, ts_us, string_agg(CASE WHEN is_visible AND state LIKE 'confirmed%'
       THEN CAST(track_id AS VARCHAR) END, ', ' ORDER BY track_id) AS ids FROM state GROUP BY 1, 2, 3),
     cand AS (SELECT *, 'Anomaly: tracks [' || ids || ']' AS alert_msg FROM g WHERE ids IS NOT NULL),
     walk AS (
