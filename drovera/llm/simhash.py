@@ -220,8 +220,7 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     masks = _masks(groups)
     index = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("part", "v"))
     counts = index.groupBy("part", "v").agg(F.count("*").alias("n"))
-    held = counts.where(F.col("n") > 1)
-    dense = held.where(F.col("n") > DENSE).select("part", "v")
+    dense = counts.where(F.col("n") > DENSE).select("part", "v")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -243,7 +242,8 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
             })
 
     probes = distinct.select("fp").mapInPandas(probe, "part int, v long, q long, flip long")
-    sparse = index.join(held.where(F.col("n") <= DENSE), ["part", "v"], "left_semi")
+    # Buckets of one member too: a probe with a flipped bit asks for another fingerprint's value.
+    sparse = index.join(dense, ["part", "v"], "left_anti")
     pairs = (
         probes.alias("p").join(sparse.alias("i"), ["part", "v"])
         .where("q <> fp and bit_count(q ^ fp) <= %d" % MAX_DISTANCE)

@@ -116,6 +116,20 @@ def test_dense_buckets_lose_no_link(spark):
     assert got == seen
 
 
+def test_flipped_probes_find_lone_members(spark):
+    """28 fingerprints share one part and differ in two bits by pairs: the thresholds leave that part out."""
+    rng = random.Random(11)
+    shared = rng.getrandbits(22)
+    pairs = []
+    for _ in range(14):
+        p = rng.getrandbits(42) << 22 | shared
+        a, b = rng.sample(range(22, 64), 2)
+        pairs.append((p, p ^ (1 << a) ^ (1 << b)))
+    signed = [[x - (1 << 64) if x >> 63 else x for x in pair] for pair in pairs]
+    links = simhash.link_fingerprints(spark.createDataFrame([(x,) for pair in signed for x in pair], "fp long")).collect()
+    assert {frozenset(r) for r in links} == {frozenset(pair) for pair in signed}
+
+
 def test_thresholds_are_the_cheapest():
     rng = np.random.default_rng(0)
     cost = rng.random((50, 3, 3)).cumsum(axis=2)
