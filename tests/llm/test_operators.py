@@ -160,6 +160,18 @@ def test_near_duplicates_find_similar_texts(spark):
     assert sum(got[i] != want[i] for i in want) == 0
 
 
+def test_near_duplicates_with_passages_near_the_limit(spark):
+    """Passages put in or taken out: shingle similarity 400/499 or 400/500 is a near copy, 400/501 is none."""
+    texts = []
+    for k in range(120):
+        word = iter(f"p{k}w{i}" for i in range(505))
+        own = [next(word) for _ in range(404)]
+        other = own + [next(word) for _ in range((99, 100, 101, 101)[k % 4])]
+        texts += [" ".join(x) for x in ((own, other) if k % 3 else (other, own))]
+    got = dict(simhash.near_duplicates(frame(spark, texts)).collect())
+    assert got == {i: i - (i % 2 if i // 2 % 4 < 2 else 0) for i in range(240)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_with_sql(spark, name):
     assert compare(queries.QUERIES[name](spark, SF), connect(SF), queries.ORACLES[name]) is None
