@@ -87,10 +87,39 @@ FORMS = (
     ("", 0.6),
 )
 
+#: Short names, which count only after words of ``_CALLS``, also as a later one of several.
+SHORT = (
+    ("mit", "mit"), ("mit-0", "mit 0"), ("mit", "x11"), ("mit", "expat"), ("isc", "isc"), ("zlib", "zlib( libpng)?"), ("libpng", "libpng( 2 0)?"),
+    ("mpl-2", "mpl ?v?2( 0)?"), ("mpl-1.1", "mpl ?v?1 1"), ("mpl", "mpl"), ("epl-2", "epl ?v?2( 0)?"), ("epl-1", "epl ?v?1( 0)?"), ("epl", "epl"),
+    ("boost", "bsl( 1 0)?"), ("boost", "boost"), ("ofl", "ofl( 1 [01])?"), ("cddl", "cddl( 1 [01])?"), ("gfdl", "gfdl( 1 [123])?( only| or later)?"),
+    ("artistic", "artistic( [12] 0)?"), ("odbl", "odbl( 1 0)?"), ("python", "psf( 2 0)?"), ("python", "python 2 0( 1)?"), ("php", "php( 3 01?)?"), ("openssl", "openssl"),
+    ("apache-1.1", "apache 1 1"), ("apache", "apache"), ("gpl", "gpl"), ("agpl", "agpl"), ("bsd-0", "0bsd"), ("bsd", "bsd"), ("ncsa", "ncsa"),
+    ("postgresql", "postgresql"), ("ms-pl", "ms pl"), ("afl-3", "afl ?v?3( 0)?"), ("osl-3", "osl ?v?3( 0)?"), ("ecl-2", "ecl 2( 0)?"), ("upl-1", "upl( 1 0)?"),
+    ("unlicense", "unlicen[sc]e"), ("public-domain", "public domain"),
+)
+#: Texts of licenses that do not name themselves, and a keyword of each.
+BODIES = (
+    ("isc", "permission to use copy modify (and|and or|or) distribute this software( and its documentation)? for any purpose with or without fee is hereby granted", "hereby granted"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy", "hereby granted"),
+    ("zlib", "in no event will the authors? be held liable for any damages arising from the use of this software", "held liable"),
+    ("unlicense", "this is free and unencumbered software", "unencumbered"),
+    ("bsd-3", "neither the names? of [^ ]+( [^ ]+){0,12} nor the names of (its|their|the) contributors may be used to endorse", "nor the names of"),
+    ("wtfpl", "do what the fuck you want to", "you want to"),
+)
+_CALLS = (
+    "spdx license identifier|licen[sc]e|licen[sc]ed(?: as)?|(?:licen[sc]ed|released|distributed|available|published|provided|issued) under(?: the terms of)?(?: the| an| a)?"
+)
+_NAME = (
+    "mit(?: 0)?|x11|isc|zlib|[al]?gpl(?: v?[23](?: [01])?)?(?: only| or later)?|apache(?: software)?(?: licen[sc]e)?(?: version)?(?: v?[12](?: [01])?)?|0?bsd(?: [0-4] clause)?"
+    "|[me]pl(?: v?[12](?: [01])?)?|bsl(?: 1 0)?|boost|unlicen[sc]e|cc0(?: 1 0)?|artistic(?: [12] 0)?|cddl(?: 1 [01])?"
+)
+
 #: Words one of which every rule needs; documents without them skip the rules.
 _GATE = (
     "(?i)licen[sc]e|(a|l)?gpl|apache|bsd|eupl|wtfpl|creative[^0-9a-z]+commons|cc[^0-9a-z]*0|cc[^0-9a-z]+by"
     "|public[^0-9a-z]+domain|rights[^0-9a-z]+reserved|proprietary|redistribution|hereby[^0-9a-z]+granted"
+    "|(released|distributed|available|published|provided|issued)[^0-9a-z]+under[^0-9a-z]"
+    "|held[^0-9a-z]+liable|unencumbered|nor[^0-9a-z]+the[^0-9a-z]+names|you[^0-9a-z]+want[^0-9a-z]+to"
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -98,9 +127,17 @@ _WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, label, keyword, pattern, sureness): every family in every form, surest forms first."""
-    ordered = [(form, sure, fam) for form, sure in FORMS for fam in FAMILIES]
-    return [(k, fam[0], fam[2], f"(?<= ){form}{fam[1]}(?= )", sure) for k, (form, sure, fam) in enumerate(ordered)]
+    """(priority, label, keyword, pattern, sureness): every family in every form, surest forms first, then
+    short names after words that call for one, then license texts."""
+    found = [(fam[0], fam[2], f"(?<= ){form}{fam[1]}(?= )", sure) for form, sure in FORMS for fam in FAMILIES]
+    # A short name's match is the name alone, so that one name of several does not cover another.
+    other = f"(?:(?:{_NAME}) (?:(?:or|and|with) (?:the )?)?)?"
+    before = f"(?<= (?:{_CALLS}) {other}{other})"
+    for label, name in SHORT:
+        plain = name.split("(")[0].split("[")[0].split("?")[0].rstrip()
+        found.append((label, f" {plain}", f"(?<= )(?={name} ){before}{name}(?= )", 0.9))
+    found += [(label, key, f"(?<= ){text}(?= )", 0.9) for label, text, key in BODIES]
+    return [(k, *rule) for k, rule in enumerate(found)]
 
 
 def _normal(text: Column) -> Column:

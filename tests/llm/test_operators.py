@@ -338,6 +338,20 @@ def test_license_base(spark, sample):
     assert len(licenses.rules()) > 300
 
 
+def test_short_license_names_and_bodies(spark):
+    want = {
+        "// SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: ISC": "isc", "# SPDX-License-Identifier: MPL-2.0": "mpl-2",
+        "SPDX-License-Identifier: EPL-2.0": "epl-2", "SPDX-License-Identifier: Zlib": "zlib", "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2,mit",
+        "SPDX-License-Identifier: BSL-1.0": "boost", "SPDX-License-Identifier: OFL-1.1": "ofl", "Licensed under MIT.": "mit", "released under the ISC": "isc",
+        "dual licensed MIT/Apache-2.0": "apache-2,mit", "licensed under the GPL": "gpl", '{"license": "MIT"}': "mit", "SPDX-License-Identifier: Python-2.0": "python",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "In no event will the authors be held liable for any damages arising from the use of this software.": "zlib",
+        "She studied at MIT and read the ISC notes.": "", "the commit was under review at zlib": "",
+    }
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(frame(spark, list(want))).collect()}
+    assert {t: got[i] for i, t in enumerate(want)} == want
+
+
 def test_rules_of_documents(spark, sample):
     texts = [r.text for r in sample.values()] + ["a b c d e f g h i " * 4, "x\nx\n \n \nx", "é# <|>", "", None, "one\x1cword\x85here " * 30]
     got = {r.doc_id: r for r in hostrules.apply_host_rules(frame(spark, texts)).collect()}
