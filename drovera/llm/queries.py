@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontam, hostrules, licenses, linededup, merkle, packing, quality, simhash, tokens
+from . import brown, decontam, hostrules, licenses, linededup, manifest, merkle, packing, pii, pii_examples, quality, simhash, tokens, whitening
 
 
 def vocabulary() -> str:
@@ -76,12 +76,44 @@ def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, checked against a leaf whose ``n_chars`` was raised for one document in seven."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    # Beyond 64 bits only in the sum, so that the largest count can be raised as well.
+    raised = [(F.col(c).cast("decimal(20,0)") + 1).cast("decimal(20,0)") if c == "n_chars" else F.col(c) for c in fields]
+    tampered = F.when(remainder(F.col("doc_id"), 7) == 0, manifest.leaf_digest(raised))
+    found = manifest.manifest(docs, fields, carry={"tampered": tampered})
+    checked = manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"),
+        checked.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pii.fit(pii_examples.examples(spark))
+    found = pii.find_personal(table(spark, sf_dir, "documents"), model)
+    exact = F.filter("spans", lambda s: s["exact"])
+    each = [F.size(F.filter(exact, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return found.select("doc_id", *each, F.sha2(pii.listed(exact), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_line_dedup, op3_brown_lm, op4_token_counts, op5_decontamination, op6_quality, op7_packing,
-    op8_license_scan, op9_host_rules, op10_merkle_audit,
+    op8_license_scan, op9_host_rules, op10_merkle_audit, op11_merkle_manifest, op12_whitening, op13_pii_crf,
 )}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+# crc32 of the decimal doc_id, bit by bit.
+_CRC32 = """xor(list_reduce(
+    [4294967295] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))
+), 4294967295)"""
 ORACLES: dict[str, str] = {
     "op2_line_dedup": f"""
         with l as (
@@ -117,4 +149,53 @@ ORACLES: dict[str, str] = {
             case when page_id % 211 <> 5 then sha256(replace(record, 'Content-Type: text/html', 'Content-Type: text/htmx')) end as digest_b,
             case when page_id % 211 = 5 then 'missing' else 'changed' end as status
         from s where page_id % 211 = 5 or page_id % 97 = 13""",
+    "op11_merkle_manifest": f"""
+        with recursive field as (
+            select doc_id, lang, crc32 % 7 = 0 as hit, n_chars,
+                coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-')
+                || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') as head,
+                coalesce(octet_length(encode(text)) || ':' || text, '-') as tail
+            from (select *, {_CRC32} as crc32 from documents)
+        ), leaf as (
+            select *, row_number() over () as id, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos
+            from (
+                select *, sha256(head || coalesce(length(n_chars::varchar) || ':' || n_chars, '-') || tail) as leaf,
+                    sha256(head || coalesce(length((n_chars::hugeint + 1)::varchar) || ':' || (n_chars::hugeint + 1), '-') || tail) as raised
+                from field
+            )
+        ), tree as (
+            select lang, 0 as level, pos, leaf as h, count(*) over (partition by lang) as nodes from leaf
+            union all
+            select lang, level + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (any_value(nodes) + 1) // 2
+            from tree where nodes > 1 group by lang, level, pos // 2
+        ), subroot as (
+            select lang, level as height, h as subroot, row_number() over (order by lang nulls first) - 1 as place, count(*) over () as trees
+            from tree where nodes = 1
+        ), top as (
+            select 0 as level, place as pos, subroot as h, trees as nodes from subroot
+            union all
+            select level + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (any_value(nodes) + 1) // 2
+            from top where nodes > 1 group by level, pos // 2
+        ), hop as (
+            select l.id, t.level as step, o.h as other, (l.pos >> t.level) & 1 = 1 as is_right
+            from leaf l join (select distinct lang, level from tree where nodes > 1) t on l.lang is not distinct from t.lang
+            left join tree o on o.lang is not distinct from t.lang and o.level = t.level and o.pos = xor(l.pos >> t.level, 1)
+            union all
+            select l.id, s.height + t.level, o.h, (s.place >> t.level) & 1 = 1
+            from leaf l join subroot s on l.lang is not distinct from s.lang
+            cross join (select distinct level from top where nodes > 1) t
+            left join top o on o.level = t.level and o.pos = xor(s.place >> t.level, 1)
+        ), fold as (
+            select id, 0 as step, case when hit then raised else leaf end as h from leaf
+            union all
+            select f.id, f.step + 1, sha256(case when is_right then coalesce(other, '') || h else h || coalesce(other, '') end)
+            from fold f join hop p on p.id = f.id and p.step = f.step
+        ), proof as (
+            select id, sha256(string_agg(coalesce(other, ''), '' order by step)) as proof_sha256 from hop group by id
+        )
+        select doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root, folded_root = root as verified
+        from leaf l join subroot s on l.lang is not distinct from s.lang
+        cross join (select h as root from top where nodes = 1)
+        left join proof p on p.id = l.id
+        join (select id, arg_max(h, step) as folded_root from fold group by id) f on f.id = l.id""",
 }

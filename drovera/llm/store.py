@@ -4,22 +4,44 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from drovera.session import checkpoint_dir
 
 
+def root(spark: SparkSession) -> str:
+    """The folder of this application's stages."""
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{folder.rstrip('/')}/drovera-llm/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
 
-    The files survive lost executors and give later plans real sizes. They stay until the folder is
-    cleared: a lazy result may still read them.
+    The files survive lost executors and give later plans real sizes. They stay until ``discard``
+    or until the folder is cleared: a lazy result may still read them.
     """
     spark = df.sparkSession
-    folder = checkpoint_dir(spark)
-    if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    path = f"{folder.rstrip('/')}/drovera-llm/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete the files of stages that no result read later depends on.
+
+    Only folders that ``stage`` wrote for this application are touched; other inputs of a plan stay.
+    """
+    for df in staged:
+        spark = df.sparkSession
+        base = root(spark)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+        # Spark names files with their scheme, the setting may lack it.
+        marker = "/" + base.partition("://")[2].lstrip("/") if "://" in base else base.removeprefix("file:")
+        for folder in folders:
+            if marker + "/" in folder:
+                path = hadoop(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
