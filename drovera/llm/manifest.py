@@ -10,7 +10,7 @@ over its pointer, so the distance doubles and all leaves hold their whole path a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -67,32 +67,35 @@ def place(rows: DataFrame, group: str | None, order: Sequence[str], label: str)
     return placed, starts
 
 
-def _climb(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+def _climb(levels: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Levels above a run of neighbours: each node's sibling, then what the next round goes on with."""
-    group = group.sort_values("pos")
-    tree, level, count = int(group["tree"].iloc[0]), int(group["level"].iloc[0]), int(group["nodes"].iloc[0])
-    at, hashes = int(group["pos"].iloc[0]), [x.hex() for x in group["digest"]]
-    rows = []
-    for _ in range(LEVELS):
-        if count == 1:
-            break
-        for i, _h in enumerate(hashes):
-            other = hashes[i ^ 1] if i ^ 1 < len(hashes) else None
-            rows.append((tree, level, at + i, count, _INNER, other and bytes.fromhex(other)))
-        hashes = [hashlib.sha256("".join(hashes[i : i + 2]).encode()).hexdigest() for i in range(0, len(hashes), 2)]
-        level, at, count = level + 1, at >> 1, (count + 1) >> 1
-    kind = _ROOT if count == 1 else _CARRIED
-    rows.extend((tree, level, at + i, count, kind, bytes.fromhex(h)) for i, h in enumerate(hashes))
-    return pd.DataFrame(rows, columns=["tree", "level", "pos", "nodes", "kind", "digest"])
-
-
-def grow(leaves: DataFrame, largest: int, label: str) -> tuple[list[DataFrame], DataFrame]:
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos")
+        tree, level, count = int(group["tree"].iloc[0]), int(group["level"].iloc[0]), int(group["nodes"].iloc[0])
+        at, hashes = int(group["pos"].iloc[0]), [x.hex() for x in group["digest"]]
+        rows = []
+        for _ in range(levels):
+            if count == 1:
+                break
+            for i in range(len(hashes)):
+                other = hashes[i ^ 1] if i ^ 1 < len(hashes) else None
+                rows.append((tree, level, at + i, count, _INNER, other and bytes.fromhex(other)))
+            hashes = [hashlib.sha256("".join(hashes[i : i + 2]).encode()).hexdigest() for i in range(0, len(hashes), 2)]
+            level, at, count = level + 1, at >> 1, (count + 1) >> 1
+        kind = _ROOT if count == 1 else _CARRIED
+        rows.extend((tree, level, at + i, count, kind, bytes.fromhex(h)) for i, h in enumerate(hashes))
+        return pd.DataFrame(rows, columns=["tree", "level", "pos", "nodes", "kind", "digest"])
+
+    return work
+
+
+def grow(leaves: DataFrame, largest: int, label: str, levels: int) -> tuple[list[DataFrame], DataFrame]:
     """All nodes over ``leaves(tree, level, pos, nodes, digest)`` with their siblings, and the trees' roots."""
     found, here, height = [], leaves, 0
     while True:
-        up = stage(here.groupBy("tree", F.shiftright("pos", LEVELS).alias("run")).applyInPandas(_climb, _NODE), label)
+        up = stage(here.groupBy("tree", F.shiftright("pos", levels).alias("run")).applyInPandas(_climb(levels), _NODE), label)
         found.append(up)
-        height += LEVELS
+        height += levels
         if largest <= 1 << height:
             break
         here = up.where(F.col("kind") == _CARRIED).drop("kind")
@@ -107,7 +110,7 @@ def _height(leaves: int) -> int:
     return (leaves - 1).bit_length()
 
 
-def jump(nodes: DataFrame, height: int) -> DataFrame:
+def jump(nodes: DataFrame, height: int, levels: int = LEVELS) -> DataFrame:
     """Segments of all leaves up to the root: ``(tree, pos, path)``, a null where a node has no sibling.
 
     ``nodes``: ``(tree, level, pos, to_tree, to_level, to_pos, path)``; a pointer without ``to_tree``
@@ -117,7 +120,7 @@ def jump(nodes: DataFrame, height: int) -> DataFrame:
     reach = 1
     for _ in range(height.bit_length()):
         # Up to 2**reach nodes of a level point at one ancestor: it is copied, they are dealt to its copies.
-        copies = 1 << max(0, reach - LEVELS)
+        copies = 1 << max(0, reach - levels)
         ancestors = nodes.where(~leaf).select(
             F.col("tree").alias("to_tree"), F.col("level").alias("to_level"), F.col("pos").alias("to_pos"),
             F.struct("to_tree", "to_level", "to_pos").alias("next"), F.col("path").alias("more"),
@@ -136,7 +139,8 @@ def jump(nodes: DataFrame, height: int) -> DataFrame:
 
 
 def manifest(
-    rows: DataFrame, fields: Sequence[str], id_col: str = "doc_id", group_col: str = "lang", carry: dict[str, Column] | None = None
+    rows: DataFrame, fields: Sequence[str], id_col: str = "doc_id", group_col: str = "lang", carry: dict[str, Column] | None = None,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """One row per row: ``id grp leaf subroot root proof`` and the ``carry`` columns.
 
@@ -169,9 +173,9 @@ def manifest(
         "placed",
     )
     level = F.lit(0).alias("level")
-    inner, roots = grow(leaves.select("tree", level, "pos", F.col("leaves").alias("nodes"), "digest"), tall[0], "nodes")
+    inner, roots = grow(leaves.select("tree", level, "pos", F.col("leaves").alias("nodes"), "digest"), tall[0], "nodes", levels)
     roots = stage(roots, "subroots")
-    top, root = grow(roots.select(F.lit(TOP).cast("long").alias("tree"), level, F.col("tree").alias("pos"), F.lit(tall[1]).alias("nodes"), "digest"), tall[1], "top")
+    top, root = grow(roots.select(F.lit(TOP).cast("long").alias("tree"), level, F.col("tree").alias("pos"), F.lit(tall[1]).alias("nodes"), "digest"), tall[1], "top", levels)
     whole = root.first()["digest"].hex()
     # Parents: in the tree, the tree's leaf of the tree above, or nothing at the root.
     ends, above = F.col("nodes") <= 2, F.col("tree") == TOP
@@ -188,7 +192,7 @@ def manifest(
         "tree", level, "pos", F.lit(None if lone else TOP).cast("long").alias("to_tree"), F.lit(0).alias("to_level"),
         F.col("tree").alias("to_pos"), F.array().cast("array<binary>").alias("path"),
     )
-    paths = jump(stage(nodes.unionAll(single), "pointers"), _height(tall[0]) + _height(tall[1]))
+    paths = jump(stage(nodes.unionAll(single), "pointers"), _height(tall[0]) + _height(tall[1]), levels)
     subs = local.join(roots.withColumnRenamed("digest", "subroot"), "tree").select("part", "tree", "subroot")
     named = leaves.join(subs, ["part", "tree"]).join(paths, ["tree", "pos"])
     high = F.when(F.col("leaves") > 1, F.length(F.bin(F.col("leaves") - 1))).otherwise(0)

@@ -99,8 +99,8 @@ def op13_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pii.fit(pii_examples.examples(spark))
     found = pii.find_personal(table(spark, sf_dir, "documents"), model)
     exact = F.filter("spans", lambda s: s["exact"])
-    each = [F.size(F.filter(exact, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
-    return found.select("doc_id", *each, F.sha2(pii.listed(exact), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    number = lambda k: F.size(F.filter(exact, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(number, pii.KINDS[:4]), F.sha2(pii.listed(exact), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
 QUERIES = {f.__name__: f for f in (
