@@ -301,3 +301,37 @@ def test_personal_data_in_odd_rows(spark, model):
     assert pii.find_personal(df.limit(0), model).count() == 0
     nothing = pii.fit(spark.createDataFrame([(None, "email:0:3"), ("plain words", None)], "text string, spans string"))
     assert [s.kind for r in pii.find_personal(df.where("doc_id = 1"), nothing).collect() for s in r.spans] == ["card", "card"]
+
+
+def test_near_duplicate_stage_decides_by_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    a, b, c, e = (" ".join(f"w{rng.randrange(500)}" for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, e), (None, e), (None, a), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, "s", "en", 1, t) for i, t in rows], DOCS)
+    docs = store.stage(docs, "docs")
+    step = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    kept = step(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id, r.text) for r in kept.collect())
+    assert got == sorted([(1, a), (2, b), (3, c), (3, e), (4, None)], key=lambda t: (t[0], t[1] or ""))
+    assert step(spark, docs.limit(0), SF).count() == 0
+
+
+def test_steps_free_what_earlier_steps_staged(spark):
+    made = []
+
+    def keep(spark, docs, sf_dir):
+        made.append(store.stage(docs.withColumn("k", F.lit(len(made))), "inner"))
+        return made[-1]
+
+    step = store.chained(keep)
+    first = step(spark, spark.range(3), "")
+    second = step(spark, first, "")  # not written: its files must stay
+    assert second.count() == 3 and made[0].count() == 3
+    step(spark, spark.range(1), "")
+    for df in made[:2]:
+        with pytest.raises(Exception, match="(?i)exist|not find|not found"):
+            df.count()
+    assert made[2].count() == 1
