@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ERROR_RATE = 0.08
-#: Items of fewer normalised bytes are too common to count as a leak.
+#: Items of fewer normalised bytes have no budget: they must stand there exactly, on word borders.
 MIN_BYTES = 40
+#: Short items of fewer words ("yes", "new york") are no evidence and never found.
+MIN_WORDS = 3
 #: Bytes of items that one pass over the documents looks for; more items make more passes.
 BLOCK_BYTES = 4_000_000
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -62,7 +64,10 @@ class Matcher:
     """Finds the items of one block in texts."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE) -> None:
-        self.items = [(i, t, int(len(t) * rate)) for i, t in items if len(t) >= MIN_BYTES]
+        self.items = [
+            (i, t, int(len(t) * rate) if len(t) >= MIN_BYTES else 0)
+            for i, t in items if len(t) >= MIN_BYTES or t.count(" ") + 1 >= MIN_WORDS
+        ]
         self.rate = rate
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for at, (_, t, k) in enumerate(self.items):
@@ -91,6 +96,12 @@ class Matcher:
             for at, a in owners:
                 start = e - size + 1 - a
                 _, t, k = self.items[at]
+                if len(t) < MIN_BYTES:
+                    if at not in best and text[start - 1 : start] in ("", " ") and text[e + 1 : e + 2] in ("", " "):
+                        best[at] = (0, e + 1)
+                        if first:
+                            break
+                    continue
                 # Places up to k away were inside the last window.
                 if at in tried and abs(start - tried[at]) <= k:
                     continue
@@ -120,7 +131,10 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
 
 
 def contaminated(benchmark: DataFrame, text: Column, item_col: str = "item_id", text_col: str = "text") -> Column:
-    """Whether ``text`` holds an item within its budget; null and empty texts hold none."""
+    """Whether ``text`` holds an item within its budget; null and empty texts hold none.
+
+    Short items count as in ``find_leaks``; repeated items are as one, and an empty benchmark gives false.
+    """
     spark = benchmark.sparkSession
     out = F.lit(False)
     for items in _blocks(benchmark, item_col, text_col):
@@ -160,8 +174,9 @@ def find_leaks(
     """One row per document and item it holds: ``doc_id item_id distance budget end``.
 
     An item of n normalised bytes may differ by ``int(n * error_rate)`` edits. ``distance`` is of its
-    nearest place, ``end`` where that ends in the normalised text. Items without id or text, or of
-    under ``MIN_BYTES``, are never found. Null and empty texts hold nothing. Repeated documents and
+    nearest place, ``end`` where that ends in the normalised text. Items of under
+    ``MIN_BYTES`` must stand there unchanged between words; of those, items under ``MIN_WORDS`` words
+    are never found, nor are items without id or text. Null and empty texts hold nothing. Repeated documents and
     items each come back; empty tables give no rows; other columns are not read. Items are taken in
     blocks of ``BLOCK_BYTES``, so what is broadcast is bounded; texts are not shuffled.
     """

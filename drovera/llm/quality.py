@@ -68,11 +68,12 @@ def fit_ranking(x: np.ndarray, good: np.ndarray, seed: int = 7) -> Ranking:
     """Strengths from pairs of a good and a bad document by logistic loss on feature differences.
 
     Each document stands in at least ``_PAIRS_EACH`` pairs. The cut is the quantile of the strengths
-    of the bad and good rows that errs least. With one class only, every score is above ``CUT``.
+    of the bad and good rows that errs least. With one class only, every score tells that class;
+    without rows every score is above ``CUT``.
     """
     a, b = x[good], x[~good]
     if not len(a) or not len(b):
-        return Ranking(np.zeros(x.shape[1] if x.ndim == 2 else FEATURES), -1.0, 1.0)
+        return Ranking(np.zeros(x.shape[1] if x.ndim == 2 else FEATURES), 1.0 if len(b) else -1.0, 1.0)
     rng = np.random.default_rng(seed)
     n = _PAIRS_EACH * max(len(a), len(b))
     fill = lambda k: np.concatenate([rng.permutation(k) for _ in range(-(-n // k))])[:n]
@@ -137,8 +138,8 @@ def score_quality(
     """One row per document: ``doc_id``, ``score`` from 0 to 1 and ``predicted`` (1 from ``CUT`` on).
 
     Only documents whose id ``learn`` admits are learnt from. Null and empty texts are scored as
-    having no words. Null labels are ignored, several labels of a document all count, and without
-    labels of both kinds every document is good. Repeated rows each come back; other columns are
+    having no words. Null labels are ignored, several labels of a document all count. With
+    labels of one kind every document gets that kind, without labels every document is good. Repeated rows each come back; other columns are
     not read; an empty table gives no rows.
     """
     ranking = fit_ranking(*training_rows(docs, labels, label, learn, id_col, text_col, sample))

@@ -290,7 +290,7 @@ def edits(a, b):
 def test_leaks_against_edit_distance(spark):
     rng = random.Random(8)
     letters = "abcdefgh "
-    items = ["".join(rng.choice(letters) for _ in range(rng.randrange(50, 120))) for _ in range(6)] + ["short", "", None]
+    items = ["".join(rng.choice(letters) for _ in range(rng.randrange(50, 120))) for _ in range(6)] + ["short", "", None, "What is the capital of France?", "new york"]
     texts = []
     for k in range(60):
         body = list(decontam.normal(items[k % 6]))
@@ -298,7 +298,7 @@ def test_leaks_against_edit_distance(spark):
             at = rng.randrange(len(body))
             body[at : at + 1] = rng.choice([[], ["z"], ["z", body[at]]])
         texts.append(prose(rng, 20) + " " + "".join(body).upper() + "! " + prose(rng, 20))
-    texts += [None, "", "short"]
+    texts += [None, "", "short", "Quiz: what is\nthe capital of FRANCE? Paris.", "thewhat is the capital of france", "new york"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in decontam.find_leaks(frame(spark, texts), bench).collect()}
     want = {}
@@ -307,7 +307,9 @@ def test_leaks_against_edit_distance(spark):
             n = decontam.normal(item)
             if len(n) >= decontam.MIN_BYTES and (d := edits(n, decontam.normal(t))) <= int(len(n) * decontam.ERROR_RATE):
                 want[i, j] = d
-    assert got == want and 5 < len(want) < 60
+            elif decontam.MIN_WORDS <= len(n.split()) and f" {n} " in f" {decontam.normal(t)} ":
+                want[i, j] = 0
+    assert (63, 9) in want and (64, 9) not in want and got == want and 5 < len(want) < 60
     flags = frame(spark, texts).select("doc_id", decontam.contaminated(bench, F.col("text")).alias("hit")).collect()
     assert {r.doc_id for r in flags if r.hit} == {i for i, _ in want}
 

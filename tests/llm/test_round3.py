@@ -335,3 +335,13 @@ def test_steps_free_what_earlier_steps_staged(spark):
         with pytest.raises(Exception, match="(?i)exist|not find|not found"):
             df.count()
     assert made[2].count() == 1
+
+
+def test_one_kind_of_label_tells_that_kind():
+    from drovera.llm import quality
+
+    x = np.random.default_rng(0).normal(size=(20, quality.FEATURES))
+    for kind in (False, True):
+        ranking = quality.fit_ranking(x, np.full(20, kind))
+        assert ((ranking.score(x) >= quality.CUT) == kind).all()
+    assert (quality.fit_ranking(x[:0], np.zeros(0, bool)).score(x) >= quality.CUT).all()
