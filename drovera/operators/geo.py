@@ -257,6 +257,57 @@ def geofence_points(
     return df.withColumn(out, F.pmod(hits, F.lit(2)) == 1)
 
 
+def pixel_fence(frames: DataFrame, *, ring: Column, out: str = "fence") -> DataFrame:
+    """Edges of the ring in each frame's pixel coordinates, by the inverse of the frame's affine."""
+    a, b, c, d, e, f = (F.col(f"aff_{k}") for k in "abcdef")
+    det = a * e - b * d
+    to_px = F.transform(
+        ring,
+        lambda p: F.struct(
+            ((e * (p["lon"] - c) - b * (p["lat"] - f)) / det).alias("lon"),
+            ((a * (p["lat"] - f) - d * (p["lon"] - c)) / det).alias("lat"),
+        ),
+    )
+    return frames.withColumn("_ring", to_px).withColumn(out, _edges(F.col("_ring"))).drop("_ring")
+
+
+def inside_runs(lines: DataFrame, *, fence: str, y: str, width: str, out: str) -> DataFrame:
+    """Runs ``(s, e)``, end exclusive, of pixels of an image row inside a fence of pixel edges.
+
+    The row is cut at its sorted crossings; pixel i is inside when its centre i + 0.5 lies in
+    [cut 2j, cut 2j + 1). A per-row expression.
+    """
+    yc, w = F.col(y) + 0.5, F.col(width).cast("bigint")
+    cuts = F.sort_array(
+        F.transform(
+            F.filter(fence, lambda g: (g["ay"] > yc) != (g["by"] > yc)), lambda g: F.ceil(_crossing_x(g, yc) - 0.5)
+        )
+    )
+    run = lambda i: F.struct(
+        F.greatest(F.get("_cut", i), F.lit(0).cast("bigint")).alias("s"), F.least(F.get("_cut", i + 1), w).alias("e")
+    )
+    pairs = F.transform(F.sequence(F.lit(0), F.size("_cut") - 2, F.lit(2)), run)
+    runs = F.when(F.size("_cut") >= 2, F.filter(pairs, lambda r: r["s"] < r["e"])).otherwise(
+        F.array().cast("array<struct<s:bigint,e:bigint>>")
+    )
+    return lines.withColumn("_cut", cuts).withColumn(out, runs).drop("_cut")
+
+
+def inside_px(runs: str | Column, x0: Column, x1: Column) -> Column:
+    """How many pixels of x0..x1 lie in the runs."""
+    shared = lambda r: F.greatest(F.least(r["e"], x1 + 1) - F.greatest(r["s"], x0), F.lit(0).cast("bigint"))
+    return F.aggregate(runs, F.lit(0).cast("bigint"), lambda n, r: n + shared(r))
+
+
+def outside_runs(runs: str, x0: Column, x1: Column) -> Column:
+    """The gaps ``(x0, x1)``, both inclusive, that the runs leave in x0..x1."""
+    lo, hi = x0.cast("bigint"), x1.cast("bigint")
+    starts = F.concat(F.array(lo), F.transform(runs, lambda r: F.greatest(r["e"], lo)))
+    ends = F.concat(F.transform(runs, lambda r: F.least(r["s"] - 1, hi)), F.array(hi))
+    gaps = F.zip_with(starts, ends, lambda s, e: F.struct(s.cast("int").alias("x0"), e.cast("int").alias("x1")))
+    return F.filter(gaps, lambda g: g["x0"] <= g["x1"])
+
+
 def geofence_layer(
     frames: DataFrame,
     *,
@@ -273,54 +324,16 @@ def geofence_layer(
     layer. Everything is a per-row expression; only the frames themselves are shuffled, to give
     every task its share of scan lines.
     """
-    a, b, c, d, e, f = (F.col(f"aff_{k}") for k in "abcdef")
-    det = a * e - b * d
-    to_px = F.transform(
-        ring,
-        lambda p: F.struct(
-            ((e * (p["lon"] - c) - b * (p["lat"] - f)) / det).alias("lon"),
-            ((a * (p["lat"] - f) - d * (p["lon"] - c)) / det).alias("lat"),
-        ),
-    )
     # the ring is transformed once per frame, before its lines are listed
-    moved = spread(frames, *keys).withColumn("_ring", to_px)
-    moved = moved.withColumn("_edges", _edges(F.col("_ring")))
+    moved = pixel_fence(spread(frames, *keys), ring=ring, out="_edges")
     lines = moved.select(
         *keys,
         F.col(image_w).alias("_w"),
         "_edges",
         F.explode(F.sequence(F.lit(0), F.col(image_h) - 1)).alias("y"),
     )
-    yc = F.col("y") + 0.5
-    cuts = F.sort_array(
-        F.transform(
-            F.filter("_edges", lambda g: (g["ay"] > yc) != (g["by"] > yc)),
-            lambda g: _crossing_x(g, yc),
-        )
-    )
-    lines = lines.select(*keys, "_w", "y", cuts.alias("_x"))
-    # pixel i is inside when its centre i + 0.5 lies in [cut 2j, cut 2j+1)
-    runs = F.transform(
-        F.sequence(F.lit(0), F.size("_x") - 2, F.lit(2)),
-        lambda j: F.struct(
-            F.greatest(F.ceil(F.get("_x", j) - 0.5), F.lit(0)).alias("s"),
-            F.least(F.ceil(F.get("_x", j + 1) - 0.5), F.col("_w")).alias("e"),
-        ),
-    )
-    runs = F.when(F.size("_x") >= 2, runs).otherwise(
-        F.array().cast("array<struct<s:bigint,e:bigint>>")
-    )
-    lines = lines.withColumn("_in", F.filter(runs, lambda r: r["s"] < r["e"]))
-    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_in", lambda r: r["e"]))
-    ends = F.concat(F.transform("_in", lambda r: r["s"]), F.array(F.col("_w").cast("bigint")))
-    gaps = F.filter(
-        F.zip_with(starts, ends, lambda s, t: F.struct(s.alias("s"), t.alias("e"))),
-        lambda r: r["s"] < r["e"],
-    )
+    lines = inside_runs(lines, fence="_edges", y="y", width="_w", out="_in")
+    gaps = outside_runs("_in", F.lit(0), F.col("_w") - 1)
     return lines.select(*keys, "y", F.explode(gaps).alias("_g")).select(
-        *keys,
-        F.lit(layer).alias("layer"),
-        "y",
-        F.col("_g.s").cast("int").alias("x0"),
-        (F.col("_g.e") - 1).cast("int").alias("x1"),
+        *keys, F.lit(layer).alias("layer"), "y", "_g.x0", "_g.x1"
     )

@@ -11,8 +11,7 @@ from pyspark.sql.window import Window
 
 from .. import constants as C
 from ..session import spread
-
-TILE = 256
+from .tiles import TILE, with_meta
 
 
 def raster_profile(
@@ -184,7 +183,8 @@ def dem_window(
     ``pose`` carries the frame corners (``ul_lon`` ...) and the raster's key. Adds the cell range,
     its geographic bounds and whether it stays on the raster.
     """
-    df = pose.join(dem_meta, list(keys), "inner")
+    described = [c for c in dem_meta.columns if c not in keys]
+    df = with_meta(pose, dem_meta, described, by=[lon, lat, "ul_lon", "ul_lat"], keys=keys)
     centre_col, centre_row = _invert(F.col(lon), F.col(lat))
     rows, cols = [], []
     for k in ("ul", "ur", "br", "bl"):
@@ -260,7 +260,7 @@ def pixel_to_cell(
     x, y = F.col(px) + 0.5, F.col(py) + 0.5
     lon = F.col("aff_a") * x + F.col("aff_b") * y + F.col("aff_c")
     lat = F.col("aff_d") * x + F.col("aff_e") * y + F.col("aff_f")
-    df = points.join(dem_meta.select(*keys, *"abcdef"), list(keys), "inner")
+    df = with_meta(points, dem_meta, list("abcdef"), by=[px, py, "aff_c", "aff_f"], keys=keys)
     col, row = _invert(lon, lat)
     return df.withColumns({"row": F.floor(row), "col": F.floor(col)}).drop(*"abcdef")
 
@@ -331,22 +331,19 @@ def pad_raster(
                         F.col("col").cast("int").alias("col"), "elev", "nodata").unionByName(border)
 
 
-def cell_layer_spans(
+def cell_runs(
     spans: DataFrame,
     dem_meta: DataFrame,
-    cells: DataFrame,
     *,
     frame: Sequence[str] = ("flight_id", "frame_id"),
     keys: Sequence[str] = ("dem_id",),
-    layers: Sequence[str] = ("nodata", "slope"),
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Raster layers under the given spans, as spans.
+    """The given spans (with the frame's affine on their rows), cut where the nearest cell changes.
 
-    Each span (with the frame's affine on its row) is cut where the nearest cell changes, so what
-    is shuffled to the cells is one row per run instead of one per pixel. Cells the raster does not
-    have are nodata and not steep.
+    One row per run of pixels inside a cell: ``frame keys y x0 x1 row col`` and the carried columns.
     """
-    s = spread(spans, *frame, "y").join(dem_meta.select(*keys, *"abcdef"), list(keys), "inner")
+    s = with_meta(spans, dem_meta, list("abcdef"), by=[*frame, "y"], keys=keys)
 
     # along one image row the cell coordinates are linear in x: start + slope * x
     def cell_at(x: Column) -> tuple[Column, Column]:
@@ -379,12 +376,30 @@ def cell_layer_spans(
     s = s.withColumn("_b", F.sort_array(F.array_distinct(F.concat(F.array(x0), inner))))
     ends = F.concat(F.transform(F.slice("_b", 2, F.size("_b")), lambda x: x - 1), F.array(x1))
     runs = s.withColumn("_e", ends).withColumn("_r", F.explode(F.arrays_zip("_b", "_e")))
-    runs = runs.select(
-        *frame, *keys, "y",
+    return runs.select(
+        *frame, *keys, *carry, "y",
         F.col("_r._b").cast("int").alias("x0"), F.col("_r._e").cast("int").alias("x1"),
         F.floor(F.col("_rs") + F.col("_rk") * F.col("_r._b")).alias("row"),
         F.floor(F.col("_cs") + F.col("_ck") * F.col("_r._b")).alias("col"),
     )
+
+
+def cell_layer_spans(
+    spans: DataFrame,
+    dem_meta: DataFrame,
+    cells: DataFrame,
+    *,
+    frame: Sequence[str] = ("flight_id", "frame_id"),
+    keys: Sequence[str] = ("dem_id",),
+    layers: Sequence[str] = ("nodata", "slope"),
+) -> DataFrame:
+    """Raster layers under the given spans, as spans.
+
+    Each span (with the frame's affine on its row) is cut where the nearest cell changes, so what
+    is shuffled to the cells is one row per run instead of one per pixel. Cells the raster does not
+    have are nodata and not steep.
+    """
+    runs = cell_runs(spread(spans, *frame, "y"), dem_meta, frame=frame, keys=keys)
     hit = runs.join(cells.select(*keys, "row", "col", *layers), [*keys, "row", "col"], "left")
     default = {name: F.lit(1 if name == "nodata" else 0) for name in layers}
     named = F.array_compact(

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..operators import alerts, geo, raster, spans, telemetry
-from ..session import cut
+from ..operators import alerts, geo, raster, spans, telemetry, tiles
+from ..session import cut, spread
 from ..settings import Camera, HazardSettings
 
 POSE = ("latitude", "longitude", "rel_alt", "gb_yaw")
+AFFINE = tuple(f"aff_{k}" for k in "abcdef")
+#: Bits of the ground tiles; a cell the raster does not have counts as unsurveyed and flat.
+GROUND = {"nodata": 1, "slope": 2}
 
 
 @dataclass(frozen=True)
@@ -61,6 +63,90 @@ def locate_frames(
     ).drop("_fallback")
 
 
+@dataclass(frozen=True)
+class Ground:
+    """What lies under frames whatever they see: a fence, and a raster as tiles of ``GROUND`` bits."""
+
+    ring: Column | None
+    tiles: DataFrame | None
+    dem_meta: DataFrame | None
+    dem_id: str | None
+    width: int
+    height: int
+
+    def _runs(self, lines: DataFrame, by: list[str]) -> DataFrame:
+        """Pixel runs of one cell (whole lines without a raster), with the fence's inside runs as ``_in``."""
+        if self.ring is not None:
+            lines = geo.inside_runs(lines.withColumn("_w", F.lit(self.width)), fence="fence", y="y", width="_w", out="_in")
+        if self.tiles is None:
+            return lines
+        carry = ["_in"] if self.ring is not None else []
+        return raster.cell_runs(lines.withColumn("dem_id", F.lit(self.dem_id)), self.dem_meta, frame=by, carry=carry)
+
+    def _bits(self, cells: DataFrame) -> DataFrame:
+        return tiles.sample_tiles(cells, self.tiles, values={"ground": F.lit(GROUND["nodata"]).cast("tinyint")})
+
+    def posed(self, poses: DataFrame) -> DataFrame:
+        """Poses with their affine and the fence in their pixels."""
+        # a filter on the affine itself would copy the geodesic expressions into its condition
+        known = poses.filter(F.col("meters_per_pixel") > 0)
+        out = cut(geo.frame_affine(geo.frame_corners(known)))
+        return out if self.ring is None else geo.pixel_fence(out, ring=self.ring)
+
+    def cover(self, poses: DataFrame) -> DataFrame:
+        """Per pose the affine, and how many pixels of a whole frame the ground layers cover together.
+
+        Cells part an image row into runs, so the union needs no sweep: a run counts whole where its
+        cell is marked, and by the pixels beyond the fence otherwise. Runs are added up per pose and
+        cell in the task that draws the pose, before they meet the tiles; no span is made.
+        """
+        posed = cut(self.posed(poses).withColumn("_pose", F.monotonically_increasing_id()))
+        fence = ["fence"] if self.ring is not None else []
+        lines = spread(posed.select("_pose", *AFFINE, *fence), "_pose").select(
+            "*", F.explode(F.sequence(F.lit(0), F.lit(self.height - 1))).alias("y"),
+            F.lit(0).alias("x0"), F.lit(self.width - 1).alias("x1"),
+        )
+        x0, x1 = F.col("x0"), F.col("x1")
+        size = (x1 - x0 + 1).cast("bigint")
+        beyond = size - geo.inside_px("_in", x0, x1) if fence else F.lit(0).cast("bigint")
+        cell = ["dem_id", "row", "col"] if self.tiles is not None else []
+        parts = self._runs(lines, ["_pose"]).groupBy("_pose", *cell).agg(
+            F.sum(size).alias("_n"), F.sum(beyond).alias("_beyond")
+        )
+        if self.tiles is not None:
+            parts = self._bits(parts).withColumn("_n", F.when(F.col("ground") > 0, F.col("_n")).otherwise(F.col("_beyond")))
+        else:
+            parts = parts.withColumn("_n", F.col("_beyond"))
+        area = parts.groupBy("_pose").agg(F.sum("_n").alias("ground_px"))
+        return posed.join(area, "_pose", "left").drop("_pose")
+
+    def under(self, looked: DataFrame, posed: DataFrame, by: list[str]) -> DataFrame:
+        """Ground layers of the posed frames as spans, only where ``looked`` spans lie."""
+        fence = ["fence"] if self.ring is not None else []
+        runs = self._runs(looked.join(posed.select(*by, *AFFINE, *fence), by), by)
+        runs = runs if self.tiles is None else self._bits(runs)
+        here = F.array(F.struct(F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1")))
+        named = lambda name, found: F.transform(found, lambda r: F.struct(F.lit(name).alias("layer"), r["x0"].alias("x0"), r["x1"].alias("x1")))
+        parts = []
+        if fence:
+            parts.append(named("geofence", geo.outside_runs("_in", F.col("x0"), F.col("x1"))))
+        if self.tiles is not None:
+            none = F.array().cast("array<struct<x0:int,x1:int>>")
+            parts.extend(
+                named(name, F.when(F.col("ground").bitwiseAND(F.lit(bit).cast("tinyint")) > 0, here).otherwise(none))
+                for name, bit in GROUND.items()
+            )
+        return runs.select(*by, "y", F.explode(F.concat(*parts)).alias("_g")).select(*by, "_g.layer", "y", "_g.x0", "_g.x1")
+
+
+def ground_tiles(cells: DataFrame, dem_meta: DataFrame, *, pixel_m: float | str, threshold_deg: float) -> DataFrame:
+    """Tiles of ``GROUND`` bits; slope is computed once per cell, with the raster's edge as a cliff."""
+    steep = raster.slope_mask(raster.pad_raster(cells, dem_meta), pixel_m=pixel_m, threshold_deg=threshold_deg)
+    bits = [F.when(F.col(n) == 1, F.lit(b)).otherwise(F.lit(0)) for n, b in GROUND.items()]
+    ground = (bits[0] + bits[1]).cast("tinyint").alias("ground")
+    return tiles.tile_raster(steep.select("dem_id", "row", "col", ground), values=["ground"])
+
+
 def danger_detection(
     frames: DataFrame,
     messages: DataFrame,
@@ -80,9 +166,9 @@ def danger_detection(
 ) -> DangerResult:
     """Hazard layers against safety circles.
 
-    Slope is computed once per raster cell, not per frame. What the fence and the raster cover of a
-    whole frame depends on the pose alone and is measured once per distinct pose; the frames then
-    look cells up only under their circles and segments. Frames without telemetry, or on the
+    Slope is computed once per raster cell, not per frame. How much of a whole frame the fence and the
+    raster cover depends on the pose alone and is counted once per distinct pose, without spans; the
+    frames then look at fence and cells only under their circles and segments. Frames without telemetry, or on the
     ground, get no geographic layers; every frame has a row in ``flags``.
     """
     located = cut(
@@ -91,54 +177,25 @@ def danger_detection(
         )
     )
     keys = list(spans.FRAME)
-    affine = [f"aff_{k}" for k in "abcdef"]
-    steep = None
-    if dem_cells is not None:
-        steep = cut(
-            raster.slope_mask(
-                raster.pad_raster(dem_cells, dem_meta), pixel_m=dem_pixel_m,
-                threshold_deg=settings.slope_threshold_deg,
-            )
-        )
-
-    def ground_layers(posed: DataFrame, looked: DataFrame, by: Sequence[str]) -> DataFrame:
-        """Fence spans of the posed rows, and raster spans under the looked-at ones."""
-        found = []
-        if ring is not None:
-            found.append(geo.geofence_layer(posed, ring=ring, keys=by))
-        if steep is not None:
-            under = looked.join(posed.select(*by, *affine), list(by))
-            found.append(
-                raster.cell_layer_spans(
-                    under.withColumn("dem_id", F.lit(dem_id)), dem_meta, steep, frame=by
-                )
-            )
-        return reduce(DataFrame.unionByName, found)
-
-    def ground_cover(poses: DataFrame) -> DataFrame:
-        """The affine of each pose and the pixels its ground layers cover together."""
-        # a filter on the affine itself would copy the geodesic expressions into its condition
-        known = poses.filter(F.col("meters_per_pixel") > 0)
-        posed = cut(geo.frame_affine(geo.frame_corners(known)))
-        whole = posed.select(
-            *POSE, F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"),
-            F.lit(0).alias("x0"), F.lit(width - 1).alias("x1"),
-        )
-        union = spans.mask_union(ground_layers(posed, whole, POSE), keys=POSE)
-        area = spans.mask_area(union, keys=POSE).withColumnRenamed("area_px", "ground_px")
-        return posed.join(area, list(POSE), "left").select(*posed.columns, "ground_px")
-
+    ground = None
+    if ring is not None or dem_cells is not None:
+        steep = None
+        if dem_cells is not None:
+            steep = cut(ground_tiles(
+                dem_cells, dem_meta, pixel_m=dem_pixel_m, threshold_deg=settings.slope_threshold_deg
+            ))
+        ground = Ground(ring, steep, dem_meta, dem_id, width, height)
     boxes = cut(detections.select(*keys, "cx", "cy").join(
         located.select(*keys, "safety_radius_px"), keys
     ))
     layers = spans.segmentation_layers(label_spans, suppress=suppress)
-    if ring is not None or steep is not None:
+    if ground is not None:
         located = cut(raster.compute_once_per_pose(
-            located, ground_cover, pose=(*POSE, "meters_per_pixel", "image_w", "image_h")
+            located, ground.cover, pose=(*POSE, "meters_per_pixel", "image_w", "image_h")
         ))
         looked = spans.safety_spans(boxes, width=width, height=height).unionByName(layers)
         posed = located.filter(F.col("meters_per_pixel") > 0)
-        layers = layers.unionByName(ground_layers(posed, looked.drop("layer"), keys))
+        layers = layers.unionByName(ground.under(looked.drop("layer"), posed, keys))
     else:
         located = located.withColumn("ground_px", F.lit(None).cast("bigint"))
     touched = spans.circle_danger_flags(

@@ -125,10 +125,12 @@ HAZARD = HazardSettings(cooldown_us=600_000_000, slope_threshold_deg=66.0)
 # comes too late for its own frame, which then has the yaw before it.
 _FRAME_US = f"{V.BASE_US} + o_orderkey * 1000000"
 _QUIET = "o_custkey % 6 = 0"
+# Sixteen customers share a place, so places and poses grow with the tables.
+_SPOT = "cast(floor(o_custkey / 16) AS bigint)"
 _MESSAGES = [  # topic, field, when, payload
-    ("telemetry/latitude", "latitude", "-50000", "44.4163 + (o_custkey % 7) * 0.0006"),
-    ("telemetry/longitude", "longitude", "-40000", "8.8803 + (o_custkey % 5) * 0.0010"),
-    ("telemetry/rel_alt", "rel_alt", "-30000", "60 + (o_custkey % 3) * 40"),
+    ("telemetry/latitude", "latitude", "-50000", f"44.4163 + ({_SPOT} * 37 % 1013) * 0.000004"),
+    ("telemetry/longitude", "longitude", "-40000", f"8.8803 + ({_SPOT} * 53 % 1009) * 0.000004"),
+    ("telemetry/rel_alt", "rel_alt", "-30000", f"60 + ({_SPOT} % 3) * 40"),
     ("telemetry/gb_yaw", "gb_yaw", "CASE WHEN o_orderkey % 3 = 0 THEN 120000 ELSE 20000 END",
      "15 + (o_custkey % 4) * 90"),
 ]
