@@ -342,6 +342,7 @@ def cell_runs(
     """The given spans (with the frame's affine on their rows), cut where the nearest cell changes.
 
     One row per run of pixels inside a cell: ``frame keys y x0 x1 row col`` and the carried columns.
+    Spans of frames without an affine stay whole, with no row and col.
     """
     s = with_meta(spans, dem_meta, list("abcdef"), by=[*frame, "y"], keys=keys)
 
@@ -373,7 +374,14 @@ def cell_runs(
     inner = F.filter(
         F.concat(cuts("_cs", "_ck"), cuts("_rs", "_rk")), lambda x: (x > x0) & (x <= x1)
     )
-    s = s.withColumn("_b", F.sort_array(F.array_distinct(F.concat(F.array(x0), inner))))
+    def stays(start: str, step: str) -> Column:
+        return F.floor(F.col(start) + F.col(step) * x0) == F.floor(F.col(start) + F.col(step) * x1)
+
+    # most spans lie in one cell, and those need no arithmetic on arrays
+    parted = F.when(
+        F.coalesce(stays("_cs", "_ck") & stays("_rs", "_rk"), F.lit(True)), F.array(x0)
+    ).otherwise(F.sort_array(F.array_distinct(F.concat(F.array(x0), inner))))
+    s = s.withColumn("_b", parted)
     ends = F.concat(F.transform(F.slice("_b", 2, F.size("_b")), lambda x: x - 1), F.array(x1))
     runs = s.withColumn("_e", ends).withColumn("_r", F.explode(F.arrays_zip("_b", "_e")))
     return runs.select(

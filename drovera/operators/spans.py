@@ -9,6 +9,7 @@ of one image row, which the frame width bounds.
 from __future__ import annotations
 
 from collections.abc import Callable, Collection, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -214,19 +215,24 @@ def danger_flags(
     return _flag_sweep(ev, keys, names, [*keys, "y"])
 
 
-def _flag_sweep(
-    events: DataFrame, keys: Sequence[str], names: Sequence[str], row: Sequence[str],
-    partial: Collection[str] = (),
-) -> DataFrame:
+def _segments(events: DataFrame, names: Sequence[str], row: Sequence[str]) -> DataFrame:
+    """Stretches of a row between events, with what covers them: ``row x _len _safe _l_...``."""
     cols = ["_safe", *[f"_l_{n}" for n in names]]
     w = Window.partitionBy(*row).orderBy("x")
     # of several events at one position only the last has a length, and it has seen them all
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seg = events.select(
-        *keys,
+    return events.select(
+        *row, "x",
         (F.lead("x").over(w) - F.col("x")).alias("_len"),
         *[(F.sum(c).over(so_far) > 0).alias(c) for c in cols],
     ).filter(F.col("_len") > 0)
+
+
+def _flag_sweep(
+    events: DataFrame, keys: Sequence[str], names: Sequence[str], row: Sequence[str],
+    partial: Collection[str] = (),
+) -> DataFrame:
+    seg = _segments(events, names, row)
     whole, part = F.lit(False), F.lit(False)
     for n in names:
         if n in partial:
@@ -244,30 +250,11 @@ def _flag_sweep(
     )
 
 
-def circle_danger_flags(
-    boxes: DataFrame,
-    layers: DataFrame,
-    *,
-    width: int = C.PROCESSING_SHAPE[0],
-    height: int = C.PROCESSING_SHAPE[1],
-    keys: Sequence[str] = FRAME,
-    cx: str = "cx",
-    cy: str = "cy",
-    radius: str = "safety_radius_px",
-    names: Sequence[str] = tuple(n for n, _ in C.DANGER_LABELS),
-    partial: Collection[str] = (),
-    band: int = 64,
+def _circle_events(
+    boxes: DataFrame, layers: DataFrame, width: int, height: int, keys: Sequence[str], cx: str, cy: str,
+    radius: str, names: Sequence[str], band: int,
 ) -> DataFrame:
-    """``danger_flags`` straight from boxes: circles are shuffled whole and drawn afterwards.
-
-    A frame is cut into bands of ``band`` image rows. A circle goes to the bands it touches (two,
-    mostly) instead of travelling as one span per image row, and one crowded frame still spreads
-    over several tasks.
-
-    Layers named in ``partial`` need spans only under circles and under the other layers. Their
-    area enters ``danger_px`` as what it adds to the area of their union over the whole frame,
-    which the caller adds (and which may be negative before that).
-    """
+    """Events of circles, drawn after the shuffle, and of layer spans, by frame and band of rows."""
     keys = list(keys)
     r, x, y = F.col("_r"), F.col("_x"), F.col("_y")
     top, bottom = F.greatest(y - r, F.lit(0)), F.least(y + r, F.lit(height - 1))
@@ -303,12 +290,71 @@ def circle_danger_flags(
         F.struct((F.col("_s.x1") + 1).alias("x"), F.lit(-1).alias("s")),
     )
     cols = ["_safe", *layer_cols]
-    events = rows.select(
+    return rows.select(
         *keys, "_band", F.col("_s.y").alias("y"), *cols, F.explode(ends).alias("_e")
     ).select(
         *keys, "_band", "y", F.col("_e.x").alias("x"), *[(F.col(c) * F.col("_e.s")).alias(c) for c in cols]
     )
-    return _flag_sweep(events, keys, names, [*keys, "_band", "y"], partial)
+
+
+def circle_danger_flags(
+    boxes: DataFrame,
+    layers: DataFrame,
+    *,
+    width: int = C.PROCESSING_SHAPE[0],
+    height: int = C.PROCESSING_SHAPE[1],
+    keys: Sequence[str] = FRAME,
+    cx: str = "cx",
+    cy: str = "cy",
+    radius: str = "safety_radius_px",
+    names: Sequence[str] = tuple(n for n, _ in C.DANGER_LABELS),
+    partial: Collection[str] = (),
+    band: int = 64,
+) -> DataFrame:
+    """``danger_flags`` straight from boxes: circles are shuffled whole and drawn afterwards.
+
+    A frame is cut into bands of ``band`` image rows. A circle goes to the bands it touches (two,
+    mostly) instead of travelling as one span per image row, and one crowded frame still spreads
+    over several tasks.
+
+    Layers named in ``partial`` need spans only under circles and under the other layers. Their
+    area enters ``danger_px`` as what it adds to the area of their union over the whole frame,
+    which the caller adds (and which may be negative before that).
+    """
+    events = _circle_events(boxes, layers, width, height, keys, cx, cy, radius, names, band)
+    return _flag_sweep(events, list(keys), names, [*keys, "_band", "y"], partial)
+
+
+def circle_segments(
+    boxes: DataFrame,
+    layers: DataFrame,
+    *,
+    width: int = C.PROCESSING_SHAPE[0],
+    height: int = C.PROCESSING_SHAPE[1],
+    keys: Sequence[str] = FRAME,
+    cx: str = "cx",
+    cy: str = "cy",
+    radius: str = "safety_radius_px",
+    names: Sequence[str] = tuple(C.SEGMENT_LAYERS.values()),
+    band: int = 64,
+) -> DataFrame:
+    """What circles and layers cover, parted into disjoint runs ``keys _band y x0 x1 safe`` and a flag per layer.
+
+    Rows are dealt by frame and band of ``band`` image rows, as ``frame_bands`` deals frames, so a
+    join with those needs no further shuffle.
+    """
+    events = _circle_events(boxes, layers, width, height, keys, cx, cy, radius, names, band)
+    seg = _segments(events, names, [*keys, "_band", "y"])
+    on = [F.col("_safe"), *[F.col(f"_l_{n}") for n in names]]
+    return seg.filter(reduce(Column.__or__, on)).select(
+        *keys, "_band", "y", F.col("x").cast("int").alias("x0"), (F.col("x") + F.col("_len") - 1).cast("int").alias("x1"),
+        F.col("_safe").alias("safe"), *[F.col(f"_l_{n}").alias(n) for n in names],
+    )
+
+
+def frame_bands(frames: DataFrame, *, height: int = C.PROCESSING_SHAPE[1], band: int = 64) -> DataFrame:
+    """Each frame once per band of image rows."""
+    return frames.withColumn("_band", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((height - 1) // band).cast("bigint"))))
 
 
 def danger_types(labels: Sequence[tuple[str, str]] = C.DANGER_LABELS) -> Column:

@@ -139,6 +139,48 @@ class Ground:
         return runs.select(*by, "y", F.explode(F.concat(*parts)).alias("_g")).select(*by, "_g.layer", "y", "_g.x0", "_g.x1")
 
 
+    def flags(self, segments: DataFrame, posed: DataFrame) -> DataFrame:
+        """Per frame the layers under safety circles, and the mask areas.
+
+        ``segments`` are disjoint (``spans.circle_segments``), so fence and cells are looked up once
+        for every pixel and everything is a sum. ``danger_px`` is what the frame adds to
+        ``ground_px``: segments beside the ground layers count, ground inside circles does not.
+        """
+        keys, by = list(spans.FRAME), [*spans.FRAME, "_band"]
+        fence = ["fence"] if self.ring is not None else []
+        bands = spans.frame_bands(posed.select(*spans.FRAME, *AFFINE, *fence), height=self.height)
+        met = segments.join(bands, by, "left")
+        names = list(C.SEGMENT_LAYERS.values())
+        x0, x1 = F.col("x0"), F.col("x1")
+        size = (x1 - x0 + 1).cast("bigint")
+        if fence:
+            met = met.withColumn("_w", F.lit(self.width))
+            met = geo.inside_runs(met, fence="fence", y="y", width="_w", out="_in")
+        carry = ["safe", *names, *(["_in"] if fence else [])]
+        if self.tiles is not None:
+            runs = raster.cell_runs(met.withColumn("dem_id", F.lit(self.dem_id)), self.dem_meta, frame=by, carry=carry)
+            posed_run = F.col("row").isNotNull()
+            runs = self._bits(runs).withColumn("ground", F.when(posed_run, F.col("ground")).otherwise(F.lit(0).cast("tinyint")))
+        else:
+            runs = met.withColumn("ground", F.lit(0).cast("tinyint"))
+        beyond = F.coalesce(size - geo.inside_px("_in", x0, x1), F.lit(0)) if fence else F.lit(0)
+        runs = runs.select(*keys, "safe", *names, "ground", size.alias("_n"), beyond.cast("bigint").alias("_beyond"))
+        part = F.when(F.col("ground") > 0, F.col("_n")).otherwise(F.col("_beyond"))
+        whole = F.lit(False)
+        for n in names:
+            whole = whole | F.col(n)
+        found = {n: F.col(n) for n in names} | {"geofence": F.col("_beyond") > 0} | {
+            n: F.col("ground").bitwiseAND(F.lit(bit).cast("tinyint")) > 0 for n, bit in GROUND.items()
+        }
+        safe = F.col("safe")
+        total = lambda c: F.sum(c).cast("bigint")
+        return runs.groupBy(*keys).agg(
+            *[F.max(safe & on).alias(n) for n, on in found.items()],
+            total(F.when(safe, F.when(whole, F.col("_n")).otherwise(part)).otherwise(0)).alias("intersection_px"),
+            total(F.when(safe, -part).when(whole, F.col("_n") - part).otherwise(0)).alias("danger_px"),
+        )
+
+
 def ground_tiles(cells: DataFrame, dem_meta: DataFrame, *, pixel_m: float | str, threshold_deg: float) -> DataFrame:
     """Tiles of ``GROUND`` bits; slope is computed once per cell, with the raster's edge as a cliff."""
     steep = raster.slope_mask(raster.pad_raster(cells, dem_meta), pixel_m=pixel_m, threshold_deg=threshold_deg)
@@ -193,14 +235,13 @@ def danger_detection(
         located = cut(raster.compute_once_per_pose(
             located, ground.cover, pose=(*POSE, "meters_per_pixel", "image_w", "image_h")
         ))
-        looked = spans.safety_spans(boxes, width=width, height=height).unionByName(layers)
         posed = located.filter(F.col("meters_per_pixel") > 0)
+        touched = ground.flags(spans.circle_segments(boxes, layers, width=width, height=height), posed)
+        looked = spans.safety_spans(boxes, width=width, height=height).unionByName(layers)
         layers = layers.unionByName(ground.under(looked.drop("layer"), posed, keys))
     else:
         located = located.withColumn("ground_px", F.lit(None).cast("bigint"))
-    touched = spans.circle_danger_flags(
-        boxes, layers, width=width, height=height, partial=("nodata", "geofence", "slope")
-    )
+        touched = spans.circle_danger_flags(boxes, layers, width=width, height=height)
     every = located.select(*keys, "ts_us", "ground_px").join(touched, keys, "left")
     names = [n for n, _ in C.DANGER_LABELS]
     flags = every.select(

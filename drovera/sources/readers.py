@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.tiles import TILE
 
 
 def _read(spark: SparkSession, path: str, schema: str, streaming: bool, fmt: str) -> DataFrame:
@@ -66,6 +67,23 @@ def read_dem_cells(
     )
 
 
+def read_dem_tiles(
+    spark: SparkSession, path: str, *, values: str = "elev array<double>, nodata array<int>",
+    rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None, tile: int = TILE,
+) -> DataFrame:
+    """Tiles written by ``write_dem_tiles``; given cell rows and columns, only the files that hold them.
+
+    Joined by ``(dem_id, tile_row, tile_col)``, files of tiles that no row asks for are pruned while
+    the query runs.
+    """
+    schema = f"{values}, dem_id STRING, tile_row INT, tile_col INT"
+    tiles = spark.read.schema(schema).parquet(path)
+    for name, ends in (("tile_row", rows), ("tile_col", cols)):
+        if ends is not None:
+            tiles = tiles.filter(F.col(name).between(ends[0] // tile, ends[1] // tile))
+    return tiles
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -97,5 +115,10 @@ def parse_flight_log(blocks: DataFrame, *, text: str = "value") -> DataFrame:
 
 
 def read_flight_log(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks are separated by an empty line; Spark splits large logs at those separators."""
-    return parse_flight_log(spark.read.text(path, lineSep="\n\n"))
+    """Records of a flight log, whatever its line ends and blank lines look like.
+
+    Every record has one arrow, between the two times it covers; all fields stand after it. Cut at the
+    arrows, a piece holds one record's fields and the number and start of the next, which are not
+    read, so Spark may split large logs anywhere.
+    """
+    return parse_flight_log(spark.read.text(path, lineSep="-->"))

@@ -25,6 +25,15 @@ def alert_log_lines(alerts: DataFrame) -> DataFrame:
     )
 
 
+def write_dem_tiles(tiles: DataFrame, path: str) -> None:
+    """Raster tiles in folders by raster and tile place, so that a reader opens only what it needs.
+
+    A raster's tiles are dealt by place; each folder gets one file.
+    """
+    place = ("dem_id", "tile_row", "tile_col")
+    tiles.repartition(*place).write.partitionBy(*place).mode("append").parquet(path)
+
+
 def write_alert_log(alerts: DataFrame, path: str) -> None:
     alert_log_lines(alerts).write.mode("append").text(path)
 
