@@ -17,9 +17,16 @@ from . import ordered as O
 
 
 def anomaly_message(
-    states: DataFrame, *, keys: Sequence[str] = ("flight_id", "frame_id"), out: str = "alert_msg"
+    states: DataFrame, *, keys: Sequence[str] = ("flight_id", "frame_id"), out: str = "alert_msg",
+    frames: DataFrame | None = None,
 ) -> DataFrame:
-    """One line per frame naming the confirmed tracks that are visible in it, else empty."""
+    """One line per frame naming the confirmed tracks that are visible in it, else empty.
+
+    With ``frames`` every one of them has a line, also those without any state. They are stacked
+    with the states and counted in one aggregation.
+    """
+    if frames is not None:
+        states = states.unionByName(frames.select(*keys), allowMissingColumns=True)
     hit = F.col("state").startswith("confirmed")
     if "is_visible" in states.columns:
         hit = hit & F.col("is_visible")

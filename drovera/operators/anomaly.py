@@ -423,10 +423,13 @@ STATES = (
 
 
 def ids_by_state(
-    states: DataFrame, *, keys: Sequence[str] = ("flight_id", "frame_id")
+    states: DataFrame, *, keys: Sequence[str] = ("flight_id", "frame_id"), frames: DataFrame | None = None
 ) -> DataFrame:
     """Sorted track ids per state, plus the tracks below each single threshold. One keyframe holds
-    at most a tracker's worth of ids, which bounds the lists."""
+    at most a tracker's worth of ids, which bounds the lists. ``frames`` adds those without any
+    state, with empty lists."""
+    if frames is not None:
+        states = states.unionByName(frames.select(*keys), allowMissingColumns=True)
 
     def ids(cond: Column) -> Column:
         return F.array_sort(F.collect_list(F.when(cond, F.col("track_id"))))

@@ -275,7 +275,7 @@ def inside_runs(lines: DataFrame, *, fence: str, y: str, width: str, out: str) -
     """Runs ``(s, e)``, end exclusive, of pixels of an image row inside a fence of pixel edges.
 
     The row is cut at its sorted crossings; pixel i is inside when its centre i + 0.5 lies in
-    [cut 2j, cut 2j + 1). A per-row expression.
+    [cut 2j, cut 2j + 1). A per-row expression; null where the row has no fence.
     """
     yc, w = F.col(y) + 0.5, F.col(width).cast("bigint")
     cuts = F.sort_array(
@@ -290,7 +290,8 @@ def inside_runs(lines: DataFrame, *, fence: str, y: str, width: str, out: str) -
     runs = F.when(F.size("_cut") >= 2, F.filter(pairs, lambda r: r["s"] < r["e"])).otherwise(
         F.array().cast("array<struct<s:bigint,e:bigint>>")
     )
-    return lines.withColumn("_cut", cuts).withColumn(out, runs).drop("_cut")
+    known = F.when(F.col(fence).isNotNull(), runs)
+    return lines.withColumn("_cut", cuts).withColumn(out, known).drop("_cut")
 
 
 def inside_px(runs: str | Column, x0: Column, x1: Column) -> Column:

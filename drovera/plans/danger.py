@@ -35,7 +35,7 @@ class DangerResult:
 
 def locate_frames(
     frames: DataFrame,
-    messages: DataFrame,
+    snapshots: DataFrame,
     detections: DataFrame,
     *,
     camera: Camera = Camera(),
@@ -43,9 +43,11 @@ def locate_frames(
     width: int = C.PROCESSING_SHAPE[0],
     height: int = C.PROCESSING_SHAPE[1],
 ) -> DataFrame:
-    """Nearest telemetry per frame, metres per pixel, and the safety radius with its fallback."""
-    snap = cut(telemetry.telemetry_snapshot(telemetry.decode_telemetry(messages)))
-    f = telemetry.asof_nearest(frames, snap, tol_us=settings.tolerance_us)
+    """Nearest telemetry per frame, metres per pixel, and the safety radius with its fallback.
+
+    The join reads ``snapshots`` several times.
+    """
+    f = telemetry.asof_nearest(frames, snapshots, tol_us=settings.tolerance_us)
     f = f.select(
         *[c for c in f.columns if c != "telemetry"], "telemetry.*",
         F.lit(width).alias("image_w"), F.lit(height).alias("image_h"),
@@ -189,44 +191,75 @@ def ground_tiles(cells: DataFrame, dem_meta: DataFrame, *, pixel_m: float | str,
     return tiles.tile_raster(steep.select("dem_id", "row", "col", ground), values=["ground"])
 
 
+def ground_of(
+    *,
+    ring: Column | None = None,
+    dem_cells: DataFrame | None = None,
+    dem_meta: DataFrame | None = None,
+    dem_id: str | None = None,
+    dem_pixel_m: float | str = 1.0,
+    settings: HazardSettings = HazardSettings(),
+    width: int = C.PROCESSING_SHAPE[0],
+    height: int = C.PROCESSING_SHAPE[1],
+) -> Ground | None:
+    """Fence and raster prepared for any number of frames; None without either."""
+    if ring is None and dem_cells is None:
+        return None
+    steep = None
+    if dem_cells is not None:
+        steep = cut(ground_tiles(
+            dem_cells, dem_meta, pixel_m=dem_pixel_m, threshold_deg=settings.slope_threshold_deg
+        ))
+    return Ground(ring, steep, dem_meta, dem_id, width, height)
+
+
 def danger_detection(
     frames: DataFrame,
     messages: DataFrame,
     detections: DataFrame,
     label_spans: DataFrame,
     *,
-    dem_cells: DataFrame | None = None,
-    dem_meta: DataFrame | None = None,
-    dem_id: str | None = None,
-    dem_pixel_m: float | str = 1.0,
-    ring: Column | None = None,
     camera: Camera = Camera(),
     settings: HazardSettings = HazardSettings(),
     suppress: tuple[int, ...] = (),
     width: int = C.PROCESSING_SHAPE[0],
     height: int = C.PROCESSING_SHAPE[1],
+    **ground: Column | DataFrame | str | float | None,
 ) -> DangerResult:
-    """Hazard layers against safety circles.
+    """Hazard layers against safety circles; ``ground`` names what ``ground_of`` takes.
 
     Slope is computed once per raster cell, not per frame. How much of a whole frame the fence and the
     raster cover depends on the pose alone and is counted once per distinct pose, without spans; the
     frames then look at fence and cells only under their circles and segments. Frames without telemetry, or on the
     ground, get no geographic layers; every frame has a row in ``flags``.
     """
+    return hazards(
+        frames, cut(telemetry.telemetry_snapshot(telemetry.decode_telemetry(messages))), detections, label_spans,
+        ground=ground_of(settings=settings, width=width, height=height, **ground),
+        camera=camera, settings=settings, suppress=suppress, width=width, height=height,
+    )
+
+
+def hazards(
+    frames: DataFrame,
+    snapshots: DataFrame,
+    detections: DataFrame,
+    label_spans: DataFrame,
+    *,
+    ground: Ground | None,
+    camera: Camera = Camera(),
+    settings: HazardSettings = HazardSettings(),
+    suppress: tuple[int, ...] = (),
+    width: int = C.PROCESSING_SHAPE[0],
+    height: int = C.PROCESSING_SHAPE[1],
+) -> DangerResult:
+    """``danger_detection`` from telemetry snapshots and a prepared ground."""
     located = cut(
         locate_frames(
-            frames, messages, detections, camera=camera, settings=settings, width=width, height=height
+            frames, snapshots, detections, camera=camera, settings=settings, width=width, height=height
         )
     )
     keys = list(spans.FRAME)
-    ground = None
-    if ring is not None or dem_cells is not None:
-        steep = None
-        if dem_cells is not None:
-            steep = cut(ground_tiles(
-                dem_cells, dem_meta, pixel_m=dem_pixel_m, threshold_deg=settings.slope_threshold_deg
-            ))
-        ground = Ground(ring, steep, dem_meta, dem_id, width, height)
     boxes = cut(detections.select(*keys, "cx", "cy").join(
         located.select(*keys, "safety_radius_px"), keys
     ))

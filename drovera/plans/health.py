@@ -20,8 +20,9 @@ from ..settings import AnomalySettings
 class HealthResult:
     states: DataFrame  # one row per (keyframe, visible or bridged track)
     events: DataFrame  # anomalous episodes
-    messages: DataFrame  # alert text per keyframe
+    messages: DataFrame  # alert text per keyframe, or per frame where frames are given
     cooldown_us: int
+    shown: DataFrame | None = None  # boxes, scores and states of the tracks on every frame, where frames are given
 
     @cached_property
     def alerts(self) -> DataFrame:
@@ -73,6 +74,28 @@ def score_tracks(
     return rows.join(ae, keys, "left").withColumn("ae", F.coalesce("ae", F.lit(0.0)))
 
 
+def tracks_on_frames(frames: DataFrame, track_rows: DataFrame, states: DataFrame) -> DataFrame:
+    """Tracks of every frame from the first to the last keyframe, with the state they are shown in.
+
+    A keyframe shows its visible tracks. A frame between two keyframes shows the tracks of both, at
+    interpolated places, with the scores and state of the earlier one. ``frames`` has ``ts_us``;
+    keyframes are those that ``track_rows`` or ``states`` name. Frames without tracks are not listed.
+    """
+    keys, boxes, copied = ["flight_id", "frame_id"], ["x1", "y1", "x2", "y2"], ["state", "ae_smooth", "soc_smooth"]
+    about = [c for c in ("confidence", "class_id") if c in track_rows.columns]
+    scored = states.filter("is_visible").select("flight_id", "kf_seq", "track_id", *copied)
+    seen = cut(
+        track_rows.select(*keys, "kf_seq", "track_id", *boxes, *about)
+        .join(scored, ["flight_id", "kf_seq", "track_id"], "left").drop("kf_seq")
+    )
+    key = seen.select(*keys).unionByName(states.select(*keys)).distinct().withColumn("is_keyframe", F.lit(True))
+    every = cut(frames.select(*keys, "ts_us").join(key, keys, "left").withColumn("is_keyframe", F.coalesce("is_keyframe", F.lit(False))))
+    between = tracks.interpolate_tracks(every, seen, boxes=boxes, copied=[*about, *copied])
+    cols = [*keys, "ts_us", "track_id", *boxes, *about, *copied]
+    at = seen.join(every.filter("is_keyframe").select(*keys, "ts_us"), keys)
+    return at.select(*cols).unionByName(between.filter("track_id is not null").select(*cols))
+
+
 def health_monitoring(
     track_rows: DataFrame,
     keyframes: DataFrame,
@@ -86,9 +109,13 @@ def health_monitoring(
     cooldown_us: int = C.ALERT_COOLDOWN_US,
     width: int = C.PROCESSING_SHAPE[0],
     height: int = C.PROCESSING_SHAPE[1],
+    frames: DataFrame | None = None,
 ) -> HealthResult:
     """The whole chain. Stages that several later ones read are cut into the checkpoint folder.
 
+    With ``frames`` (all frames, keyframes among them) the tracks are also placed on the frames
+    between keyframes, and alerts are decided on every frame; without, on keyframes.
+
     ``feature_mean`` and ``feature_std``, one number per feature in the order of
     ``tracks.FEATURES``, normalise features before the herd statistics and both scores see them.
     """
@@ -114,5 +141,9 @@ def health_monitoring(
         )
     )
     events = anomaly.anomaly_events(states, keyframes, min_duration=settings.min_duration)
-    messages = alerts.anomaly_message(states, keys=("flight_id", "frame_id", "ts_us"))
-    return HealthResult(states, events, messages, cooldown_us)
+    line = ("flight_id", "frame_id", "ts_us")
+    if frames is None:
+        return HealthResult(states, events, alerts.anomaly_message(states, keys=line), cooldown_us)
+    shown = cut(tracks_on_frames(frames, track_rows, states))
+    messages = alerts.anomaly_message(shown, keys=line, frames=frames)
+    return HealthResult(states, events, messages, cooldown_us, shown)

@@ -9,6 +9,7 @@ from .. import constants as C
 from ..operators import geo, scoring
 from ..operators import tracks as T
 from ..settings import AnomalySettings, HazardSettings
+from ..streaming import danger as live
 from ..streaming import monitor, stateful
 from ..streaming.run import drain, scratch
 from . import danger, health
@@ -94,6 +95,70 @@ def health_alerts(spark, d) -> DataFrame:
     return herd_health(spark, d).alerts.select("flight_id", "frame_id", "ts_us", "alert_msg")
 
 
+# five frames follow every keyframe, evenly in time
+_STEP_US = V.KEYFRAME_US // 6
+
+
+def all_frames(spark, d) -> DataFrame:
+    kf = V.keyframes(spark, d).select("flight_id", "frame_id", "ts_us", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
+    return kf.select("flight_id", (F.col("frame_id") + F.col("i")).alias("frame_id"), (F.col("ts_us") + F.col("i") * _STEP_US).alias("ts_us"))
+
+
+def herd_frames(spark, d) -> health.HealthResult:
+    return health.health_monitoring(
+        V.tracks(spark, d).drop("ts_us"), V.keyframes(spark, d), settings=SETTINGS,
+        make_predict_fn=scoring.mean_square_speed(), ae_mean=AE_MEAN, ae_std=AE_STD,
+        feature_mean=FEATURE_MEAN, feature_std=FEATURE_STD, cooldown_us=2 * _STEP_US, frames=all_frames(spark, d),
+    )
+
+
+_SHOWN = f"""{_NORMAL_STATES}, nx AS (SELECT flight_id, kf_seq, lead(kf_seq) OVER (PARTITION BY flight_id ORDER BY kf_seq) AS nk FROM kf),
+    seen AS (SELECT t.*, s.state FROM tr t LEFT JOIN state s ON s.flight_id = t.flight_id AND s.kf_seq = t.kf_seq
+      AND s.track_id = t.track_id AND s.is_visible),
+    fr AS (SELECT flight_id, kf_seq, i, kf_seq * 6 + i AS frame_id, {V.BASE_US} + kf_seq * {V.KEYFRAME_US} + i * {_STEP_US} AS ts_us
+      FROM kf, range(6) r(i)),
+    shown AS (
+      SELECT f.flight_id, f.frame_id, a.track_id, a.state, a.x1, a.y2 FROM fr f JOIN seen a USING (flight_id, kf_seq) WHERE f.i = 0
+      UNION ALL
+      SELECT f.flight_id, f.frame_id, a.track_id, a.state, (1 - f.i / 6.0::DOUBLE) * a.x1 + f.i / 6.0::DOUBLE * b.x1,
+        (1 - f.i / 6.0::DOUBLE) * a.y2 + f.i / 6.0::DOUBLE * b.y2
+      FROM fr f JOIN nx USING (flight_id, kf_seq) JOIN seen a USING (flight_id, kf_seq)
+        JOIN tr b ON b.flight_id = f.flight_id AND b.kf_seq = nx.nk AND b.track_id = a.track_id WHERE f.i > 0),
+    told AS (SELECT f.flight_id, f.frame_id, f.ts_us, count(s.track_id) AS tracks, round(sum(s.x1 + s.y2), 3) AS places,
+        string_agg(CASE WHEN s.state LIKE 'confirmed%' THEN CAST(s.track_id AS VARCHAR) END, ', ' ORDER BY s.track_id) AS ids
+      FROM fr f LEFT JOIN shown s USING (flight_id, frame_id) GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "health_frames",
+    f"""WITH RECURSIVE {_SHOWN} SELECT flight_id, frame_id, tracks, places,
+      coalesce('Anomaly: tracks [' || ids || ']', '') AS alert_msg FROM told""",
+)
+def health_frames(spark, d) -> DataFrame:
+    """What every frame shows: tracks at interpolated places, and the line of its confirmed ones."""
+    r = herd_frames(spark, d)
+    seen = r.shown.groupBy("flight_id", "frame_id").agg(
+        F.count(F.lit(1)).alias("tracks"), F.round(F.sum(F.col("x1") + F.col("y2")), 3).alias("places")
+    )
+    return r.messages.join(seen, ["flight_id", "frame_id"], "left").select(
+        "flight_id", "frame_id", F.coalesce("tracks", F.lit(0).cast("bigint")).alias("tracks"), "places", "alert_msg"
+    )
+
+
+@query(
+    "health_frame_alerts",
+    f"""WITH RECURSIVE {_SHOWN}, cand AS (SELECT *, 'Anomaly: tracks [' || ids || ']' AS alert_msg FROM told WHERE ids IS NOT NULL),
+    walk AS (
+      SELECT flight_id, min(ts_us) AS ts_us FROM cand GROUP BY 1
+      UNION ALL
+      SELECT w.flight_id, (SELECT min(c.ts_us) FROM cand c WHERE c.flight_id = w.flight_id
+        AND c.ts_us >= w.ts_us + {2 * _STEP_US}) FROM walk w WHERE w.ts_us IS NOT NULL)
+    SELECT c.flight_id, c.frame_id, c.ts_us, c.alert_msg FROM cand c JOIN walk w USING (flight_id, ts_us)""",
+)
+def health_frame_alerts(spark, d) -> DataFrame:
+    return herd_frames(spark, d).alerts.select("flight_id", "frame_id", "ts_us", "alert_msg")
+
+
 @query("stream_track_monitor", _STATE_QUERY)
 def stream_health(spark, d) -> DataFrame:
     """Keyframes written as a log, then scored as a stream."""
@@ -296,3 +361,38 @@ def danger_flags(spark, d) -> DataFrame:
 )
 def danger_alerts(spark, d) -> DataFrame:
     return herd_danger(spark, d).alerts.select("flight_id", "frame_id", "ts_us", "alert_msg")
+
+
+@query(
+    "stream_danger",
+    f"""WITH RECURSIVE {_DANGER}, cand AS (SELECT * FROM danger WHERE alert_msg <> ''), walk AS (
+      SELECT flight_id, min(ts_us) AS ts_us FROM cand GROUP BY 1
+      UNION ALL
+      SELECT w.flight_id, (SELECT min(c.ts_us) FROM cand c WHERE c.flight_id = w.flight_id
+        AND c.ts_us >= w.ts_us + {HAZARD.cooldown_us}) FROM walk w WHERE w.ts_us IS NOT NULL)
+    SELECT flight_id, frame_id, {', '.join(_NAMES)}, intersection_px, danger_px, alert_msg, w.ts_us IS NOT NULL AS alerted
+    FROM danger LEFT JOIN walk w USING (flight_id, ts_us)""",
+)
+def stream_danger(spark, d) -> DataFrame:
+    """The danger job as a stream of three files whose rows overlap in time by half a minute."""
+    given = danger_inputs(spark, d)
+    at = given["frames"].select("flight_id", "frame_id", "ts_us")
+    timed = {n: given[n].join(at, ["flight_id", "frame_id"]) for n in ("detections", "label_spans")}
+    rows = live.inputs(given["frames"], given["messages"], timed["detections"], timed["label_spans"], tol_us=HAZARD.tolerance_us)
+    folder = scratch(spark, "danger")
+    ends = rows.agg(F.min("due_us"), F.max("due_us")).first()
+    third = (ends[1] - ends[0]) // 3 + 1
+    # every seventh frame and message arrives half a minute late, which the delay allows
+    arrival = F.floor((F.col("due_us") - ends[0] + F.when(F.coalesce("frame_id", "seq") % 7 == 0, 30_000_000).otherwise(0)) / third)
+    for k in range(3):
+        part = rows.filter(F.least(arrival, F.lit(2)) == k)
+        part.write.mode("append").parquet(f"{folder}/part{k}")
+    ground = danger.ground_of(
+        ring=geo.ring_literal(RING), dem_cells=given["dem_cells"], dem_meta=given["dem_meta"], dem_id="dem",
+        dem_pixel_m=CELL_M, settings=HAZARD, width=W, height=H,
+    )
+    log = live.danger_log(scratch(spark, "danger-log"), ground, delay_us=60_000_000, settings=HAZARD, width=W, height=H)
+    for k in range(3):
+        log.batch(spark.read.schema(live.ROW).parquet(f"{folder}/part{k}"), k)
+    log.batch(spark.createDataFrame([], live.ROW), 3, flush=True)
+    return log.tables(spark).rows.drop("epoch", "ts_us")

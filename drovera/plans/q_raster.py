@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import raster
+from ..operators import raster, tiles
+from ..sources import readers, sinks
+from ..streaming.run import scratch
 from . import views as V
-from .registry import query
+from .registry import ORACLES, query
+
+_STORE_TILE = 32
 
 # raster georeference, north up
 META = {"a": 0.0001, "b": 0.0, "c": 8.88, "d": 0.0, "e": -0.0001, "f": 44.42}
@@ -172,6 +176,25 @@ def window_cells(spark, d) -> DataFrame:
     )
 
 
+@query("dem_tile_windows", None)
+def tile_windows(spark, d) -> DataFrame:
+    """The same windows out of a tile store; only tiles that a window meets are read."""
+    folder = scratch(spark, "tiles")
+    packed = tiles.tile_raster(V.dem_cells(spark, d), values=["elev", "nodata"], tile=_STORE_TILE)
+    sinks.write_dem_tiles(packed, folder)
+    c = tiles.window_cells(
+        windows(spark, d), readers.read_dem_tiles(spark, folder, tile=_STORE_TILE),
+        values={"elev": F.lit(0.0), "nodata": F.lit(1)}, window_keys=("frame_id",), tile=_STORE_TILE,
+    )
+    return c.groupBy("frame_id").agg(
+        F.count(F.lit(1)).alias("cells"), F.round(F.sum("elev"), 4).alias("elev_sum"),
+        F.sum("nodata").cast("bigint").alias("nodata_cells"),
+    )
+
+
+ORACLES["dem_tile_windows"] = ORACLES["dem_window_cells"]
+
+
 # one camera frame, turned by about 20 degrees, laid over the raster; irrational-looking steps keep
 # pixel centres off the cell borders
 _AFF = {"aff_a": 3.7123e-06, "aff_b": 1.3517e-06, "aff_c": 8.8802131, "aff_d": -1.2931e-06,

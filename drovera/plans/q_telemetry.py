@@ -9,6 +9,8 @@ from .. import constants as C
 from ..operators import geo, telemetry
 from ..session import cut
 from ..settings import Camera
+from ..sources import readers
+from ..streaming.run import scratch
 from . import views as V
 from .registry import query
 
@@ -172,3 +174,37 @@ def frame_geo_query(spark, d) -> DataFrame:
         F.round("meters_per_pixel", 9).alias("meters_per_pixel"),
         F.col("safety_radius_px").cast("bigint").alias("safety_radius_px"),
     )
+
+
+# ---------------------------------------------------------------- flight log
+
+_WALL = "2021-03-02 08:15:00.250"
+
+
+@query(
+    "flight_log",
+    f"""WITH {V.EVENTS} SELECT event_id AS frame_cnt, user_id AS diff_ms, '{_WALL}' AS wall,
+      CAST(event_id % 180 AS DOUBLE) / 2 AS latitude, -CAST(event_id % 360 AS DOUBLE) / 4 AS longitude,
+      CAST(user_id AS DOUBLE) AS rel_alt, CAST(user_id % 7 AS DOUBLE) AS gb_roll FROM ev""",
+)
+def flight_log(spark, d) -> DataFrame:
+    """Events written as log records, every other one with other line ends, and read again."""
+    folder = scratch(spark, "flight-log")
+    end = F.when(F.col("event_id") % 2 == 0, "\r\n").otherwise("\n")
+    lines = (
+        ("%d", "event_id"), ("00:00:00,000 --> 00:00:00,040",), ('<font size="20">FrameCnt: %d, DiffTime: %dms', "event_id", "user_id"),
+        (_WALL,),
+    )
+    text = [F.format_string(form, *cols) if cols else F.lit(form) for form, *cols in lines]
+    number = lambda e: F.expr(f"cast({e} AS string)")
+    tail = F.concat(
+        F.lit("[iso: 400] [latitude: "), number("cast(event_id % 180 AS double) / 2"), F.lit("] [longitude: "),
+        number("0 - cast(event_id % 360 AS double) / 4"), F.lit("] [rel_alt: "), number("cast(user_id AS double)"),
+        F.lit(" abs_alt: 1.0] [gb_yaw: 0.5 gb_pitch: -1.25 gb_roll: "), number("cast(user_id % 7 AS double)"), F.lit("] </font>"),
+    )
+    V.events(spark, d).select(F.concat_ws("", *[F.concat(t, end) for t in [*text, tail]], end).alias("value")).write.text(folder)
+    found = readers.read_flight_log(spark, folder)
+    return found.select(
+        "frame_cnt", F.col("diff_ms").cast("bigint").alias("diff_ms"), F.date_format("wall_ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("wall"),
+        "latitude", "longitude", "rel_alt", "gb_roll",
+    )

@@ -102,6 +102,10 @@ class EventTimeLog:
         )
         query.awaitTermination()
         self.batch(spark.createDataFrame([], stream.schema), last[0] + 1, flush=True)
+        return self.tables(spark)
+
+    def tables(self, spark: SparkSession) -> EventTimeResult:
+        """What all batches so far have written."""
         read = lambda name: spark.read.schema(f"{self.schemas[name]}, epoch INT").parquet(f"{self.folder}/{name}")
         return EventTimeResult(read("rows"), read("late"), read("closed"))
 

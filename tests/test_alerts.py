@@ -129,6 +129,16 @@ def test_frames_without_visible_tracks_count_zero(spark):
     assert got == [(1, 0, 0, 0), (2, 0, 0, 0), (3, 1, 1, 0)]
 
 
+def test_frames_without_states_have_lines_and_lists(spark):
+    df = spark.createDataFrame([(1, 2, 7, "confirmed_ae", True, False, True), (1, 2, 3, "confirmed_ae", True, False, False), (1, 3, 9, "ok", False, False, True)],
+        "flight_id BIGINT, frame_id BIGINT, track_id BIGINT, state STRING, ae_up BOOLEAN, soc_up BOOLEAN, is_visible BOOLEAN")
+    frames = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1)], "flight_id BIGINT, frame_id BIGINT")
+    got = {(r.flight_id, r.frame_id): r.alert_msg for r in A.anomaly_message(df, frames=frames).collect()}
+    assert got == {(1, 1): "", (1, 2): "Anomaly: tracks [7]", (1, 3): "", (2, 1): ""}
+    lists = {(r.flight_id, r.frame_id): (r.confirmed_ae_tracks, r.ok_tracks, r.ok_ae_tracks) for r in anomaly.ids_by_state(df, frames=frames).collect()}
+    assert lists == {(1, 1): ([], [], []), (1, 2): ([3, 7], [], []), (1, 3): ([], [9], [9]), (2, 1): ([], [], [])}
+
+
 def test_dem_sources(spark, tmp_path):
     elev = spark.createDataFrame([("d", 0, 0, 1.0), ("d", 0, 1, 2.0)], "dem_id STRING, row INT, col INT, elev DOUBLE")
     mask = spark.createDataFrame([("d", 0, 1, 1)], "dem_id STRING, row INT, col INT, nodata INT")

@@ -75,3 +75,20 @@ def test_segments_outside_ground_layers_are_added_once(spark):
     r = got[1]
     assert r.roads and r.vehicles and r.geofence
     assert r.intersection_px + r.danger_px == W * H
+
+
+def test_frames_without_a_pose_lie_in_no_ground_layer(spark):
+    from drovera.operators import geo
+
+    far = geo.ring_literal([(13.9, 43.9), (14.1, 43.9), (14.1, 44.1)])
+    boxes = [(1, i, 100, 90, 95, 105, 85, 95) for i in (1, 2, 3)]
+    labels = [(1, 2, 1, 90, 96, 120)]
+    poses = [AWAY, None, (44.0, 9.0, 0.0, 0.0)]
+    for ground in ({"ring": far}, {"ring": far, **raster(spark, 50.0)}, raster(spark, 50.0)):
+        _, got = job(spark, poses, boxes, labels, **ground)
+        assert got[1].intersection_px == 49 and got[1].intersection_px + got[1].danger_px == W * H
+        for r in (got[2], got[3]):
+            assert not (r.geofence or r.nodata or r.slope)
+        # without telemetry the circle's radius follows the boxes
+        assert got[2].roads and got[2].intersection_px + got[2].danger_px == 25
+        assert (got[3].intersection_px, got[3].danger_px) == (0, 0)
