@@ -29,6 +29,37 @@ def herd_batch_stats(
     )
 
 
+#: Updates that one task scans, however slowly the average forgets.
+SCAN_BLOCK = 10_000
+
+
+def affine_scan(
+    rows: DataFrame, keys: Sequence[str], stats: Sequence[str], *, rate: float, carry: Sequence[str] = (),
+    block: int = SCAN_BLOCK,
+) -> DataFrame:
+    """``m[n] = exp(-rate) m[n - 1] + x[n]`` for rows numbered 0, 1, ... by ``_n`` within their key.
+
+    A block is short enough that exp(rate k) stays finite and no longer than ``block``; inside it the
+    scan is a scaled running sum. What enters a block is the last result of the block before: alone
+    where anything older is scaled by exp(-300), else after a scan of the blocks' own ends, which
+    forget faster by the block's length. Each level has ``block`` times fewer rows.
+    """
+    keys, stats = list(keys), list(stats)
+    length = max(1, min(math.floor(300.0 / rate), max(block, 2)))
+    k = F.pmod(F.col("_n"), F.lit(length))
+    part = rows.select(*keys, *carry, "_n", F.expr(f"_n div {length}").alias("_b"), k.alias("_k"), *stats)
+    grow, fade = F.exp(F.col("_k") * F.lit(rate)), F.exp(-F.col("_k") * F.lit(rate))
+    w = Window.partitionBy(*keys, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    own = part.withColumns({s: fade * F.sum(F.col(s) * grow).over(w) for s in stats})
+    ends = own.filter(F.col("_k") == length - 1).select(*keys, F.col("_b").alias("_n"), *stats)
+    if length * rate < 299.0 and length > 1:
+        ends = affine_scan(ends, keys, stats, rate=rate * length, block=block)
+    entering = ends.select(*keys, (F.col("_n") + 1).alias("_b"), *[F.col(s).alias(f"_in_{s}") for s in stats])
+    rest = F.exp(-(F.col("_k") + 1) * F.lit(rate))
+    whole = lambda s: (F.col(s) + F.coalesce(F.col(f"_in_{s}"), F.lit(0.0)) * rest).alias(s)
+    return own.join(entering, [*keys, "_b"], "left").select(*keys, *carry, "_n", *[whole(s) for s in stats])
+
+
 def herd_ema(
     batches: DataFrame,
     *,
@@ -38,14 +69,13 @@ def herd_ema(
     keys: Sequence[str] = ("flight_id",),
     seq: str = "kf_seq",
     block: int = O.SEQ_BLOCK,
+    scan_block: int = SCAN_BLOCK,
 ) -> DataFrame:
     """Exponential moving mean and variance of the herd at every keyframe, after its own update.
 
     Keyframes with fewer than ``min_herd`` tracks keep the state. The recursion
-    m' = (1 - alpha) m + alpha x is affine, so updates are numbered per flight and cut into blocks
-    short enough that (1 - alpha)^-k stays finite; inside a block it is a scaled running sum. What
-    enters a block is the result of the previous one alone, because anything older is scaled by
-    exp(-300).
+    m' = (1 - alpha) m + alpha x is affine, so updates are numbered per flight and scanned in blocks
+    (``affine_scan``).
     """
     keys = list(keys)
     stats = [f"{p}_{c}" for p in ("mean", "var") for c in cols]
@@ -60,30 +90,11 @@ def herd_ema(
     if q <= 0:
         states = updates.select(*keys, "n_updates", *stats)
     else:
-        rate = -math.log(q)
-        length = max(1, math.floor(300.0 / rate))
-        part = updates.select(
-            *keys,
-            "n_updates",
-            F.expr(f"(n_updates - 1) div {length}").alias("_b"),
-            F.pmod(F.col("n_updates") - 1, F.lit(length)).alias("_k"),
-            *stats,
-        )
         weight = F.when(F.col("n_updates") == 1, F.lit(1.0)).otherwise(F.lit(float(alpha)))
-        grow, fade = F.exp(F.col("_k") * F.lit(rate)), F.exp(-F.col("_k") * F.lit(rate))
-        w = Window.partitionBy(*keys, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-        pref = part.withColumns(
-            {s: fade * F.sum(weight * F.col(s) * grow).over(w) for s in stats}
-        )
-        entering = pref.filter(F.col("_k") == length - 1).select(
-            *keys, (F.col("_b") + 1).alias("_b"), *[F.col(s).alias(f"_in_{s}") for s in stats]
-        )
-        rest = F.exp(-(F.col("_k") + 1) * F.lit(rate))
-        states = pref.join(entering, [*keys, "_b"], "left").select(
-            *keys,
-            "n_updates",
-            *[(F.col(s) + F.coalesce(F.col(f"_in_{s}"), F.lit(0.0)) * rest).alias(s) for s in stats],
+        given = updates.select(
+            *keys, "n_updates", (F.col("n_updates") - 1).alias("_n"), *[(weight * F.col(s)).alias(s) for s in stats]
         )
+        states = affine_scan(given, keys, stats, rate=-math.log(q), carry=["n_updates"], block=scan_block).drop("_n")
     return counted.select(*keys, seq, "n_tracks", "n_updates").join(
         states, [*keys, "n_updates"], "left"
     )

@@ -11,7 +11,10 @@ from pyspark.sql.window import Window
 
 from .. import constants as C
 from ..session import spread
-from .tiles import TILE, with_meta
+from .tiles import TILE, tile_of, with_meta
+
+#: Grid cells that one task of a mosaic makes, about.
+GRID_CELLS = 4_000_000
 
 
 def raster_profile(
@@ -50,7 +53,7 @@ def mosaic_dem(
 
     NaN, null and the sentinel are missing. A cell no source fills has elevation 0 and nodata 1,
     also where no source has the cell at all (``full_extent``): the empty grid joins the stack
-    before the one aggregation. Grid rows are spread over the cluster before columns multiply them.
+    before the one aggregation. It is made tile by tile, ``GRID_CELLS`` cells a task; counting them is a job.
     """
     elev = F.col("elev")
     valid = elev.isNotNull() & ~F.isnan(elev)
@@ -63,9 +66,17 @@ def mosaic_dem(
             F.min("row").alias("r0"), F.max("row").alias("r1"),
             F.min("col").alias("c0"), F.max("col").alias("c1"),
         )
-        lines = box.select(*keys, "c0", "c1", F.explode(F.sequence("r0", "r1")).alias("row"))
-        grid = lines.repartition(*keys, "row").select(
-            *keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"),
+        size = (F.col("r1") - F.col("r0") + 1).cast("bigint") * (F.col("c1") - F.col("c0") + 1)
+        total = box.agg(F.sum(size)).first()[0] or 0
+        # a directory of tiles, dealt by a stated count: none of its tasks makes more than its tiles
+        at = lambda lo, hi: F.explode(F.sequence(tile_of(lo), tile_of(hi)))
+        places = box.select("*", at("r0", "r1").alias("_tr")).select("*", at("c0", "c1").alias("_tc"))
+        dealt = places.repartition(max(1, -(-int(total) // GRID_CELLS)), *keys, "_tr", "_tc")
+        within = lambda lo, hi, t: F.sequence(
+            F.greatest(F.col(lo), F.col(t) * TILE), F.least(F.col(hi), F.col(t) * TILE + (TILE - 1))
+        )
+        grid = dealt.select("*", F.explode(within("r0", "r1", "_tr")).alias("row")).select(
+            *keys, "row", F.explode(within("c0", "c1", "_tc")).alias("col"),
             F.lit(None).cast("double").alias("elev"), F.lit(None).cast("int").alias("_rank"),
         )
         stack = stack.unionByName(grid)

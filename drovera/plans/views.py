@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as C
+
 HOUR_US = 3_600_000_000
 KEYFRAME_US = 6 * HOUR_US
 BASE_US = 1_704_067_200_000_000  # 2024-01-01 00:00:00 UTC
@@ -66,12 +68,12 @@ DECODED = (
 
 SNAPSHOT = (
     DECODED
-    + """, snap AS (
+    + f""", snap AS (
   SELECT flight_id, seq, ts_us,
-    coalesce(last_value(CASE WHEN field = 'latitude' THEN value END IGNORE NULLS) OVER w, 44.414622942776454) AS latitude,
-    coalesce(last_value(CASE WHEN field = 'longitude' THEN value END IGNORE NULLS) OVER w, 8.880484631296774) AS longitude,
-    coalesce(last_value(CASE WHEN field = 'rel_alt' THEN value END IGNORE NULLS) OVER w, 40.0) AS rel_alt,
-    coalesce(last_value(CASE WHEN field = 'gb_yaw' THEN value END IGNORE NULLS) OVER w, 270.0) AS gb_yaw
+    coalesce(last_value(CASE WHEN field = 'latitude' THEN value END IGNORE NULLS) OVER w, {C.TELEMETRY_TEMPLATE['latitude']!r}) AS latitude,
+    coalesce(last_value(CASE WHEN field = 'longitude' THEN value END IGNORE NULLS) OVER w, {C.TELEMETRY_TEMPLATE['longitude']!r}) AS longitude,
+    coalesce(last_value(CASE WHEN field = 'rel_alt' THEN value END IGNORE NULLS) OVER w, {C.TELEMETRY_TEMPLATE['rel_alt']!r}) AS rel_alt,
+    coalesce(last_value(CASE WHEN field = 'gb_yaw' THEN value END IGNORE NULLS) OVER w, {C.TELEMETRY_TEMPLATE['gb_yaw']!r}) AS gb_yaw
   FROM decoded
   WINDOW w AS (PARTITION BY flight_id ORDER BY ts_us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 )

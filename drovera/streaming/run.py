@@ -34,7 +34,7 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
 
 
 def drain_updates(stream: DataFrame, name: str) -> DataFrame:
-    """Process all available input in update mode; returns every changed row of every batch."""
+    """Process all available input in update mode; every changed row of every batch, with its ``batch``."""
     spark = stream.sparkSession
     folder = scratch(spark, name)
 
@@ -49,4 +49,4 @@ def drain_updates(stream: DataFrame, name: str) -> DataFrame:
         .start()
     )
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
+    return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")

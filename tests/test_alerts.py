@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 
 import pytest
@@ -155,3 +156,57 @@ def test_cell_width(spark):
     meta = spark.createDataFrame([("d", 0.001, 0.0, 10.0, 0.0, -0.001, 45.05, 100, 100, "x")],
         "dem_id STRING, a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE, e DOUBLE, f DOUBLE, width INT, height INT, crs STRING")
     assert danger.cell_width_m(meta).first().pixel_m == pytest.approx(78.85, abs=0.05)
+
+
+def test_ledger_publishes_a_replayed_batch_once():
+    """The statements in an in-process database; the staging rows stand for what Spark appends."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE alerts (flight_id BIGINT, frame_id BIGINT, alert_msg VARCHAR)")
+    con.execute("CREATE TABLE alerts_ledger (stream VARCHAR, epoch BIGINT)")
+    con.execute("CREATE TABLE alerts_staged AS SELECT *, '' AS stream, 0::BIGINT AS epoch FROM alerts")
+    columns = ["flight_id", "frame_id", "alert_msg"]
+
+    def batch(epoch, rows, stream="a's", publish=True):
+        for r in rows:
+            con.execute("INSERT INTO alerts_staged VALUES (?, ?, ?, ?, ?)", [*r, stream, epoch])
+        if publish:
+            con.execute("BEGIN")
+            for statement in sinks.ledger_statements("alerts", epoch, stream, columns):
+                con.execute(statement)
+            con.execute("COMMIT")
+
+    batch(0, [(1, 1, "x"), (1, 1, "x"), (1, 2, "y")])
+    batch(1, [(1, 3, "z")], publish=False)  # lost before it was published
+    batch(1, [(1, 3, "z"), (2, 1, "w")])  # and again, its old rows still staged
+    batch(1, [(1, 3, "z"), (2, 1, "w"), (9, 9, "no")])  # and again after it was
+    batch(0, [(1, 2, "other")], stream="b")  # stored by another stream
+    assert sorted(con.execute("SELECT * FROM alerts").fetchall()) == [(1, 1, "x"), (1, 2, "y"), (1, 3, "z"), (2, 1, "w")]
+    assert sorted(con.execute("SELECT * FROM alerts_ledger").fetchall()) == [("a's", 0), ("a's", 1), ("b", 0)]
+    assert con.execute("SELECT count(*) FROM alerts_staged").fetchone() == (0,)
+    conditions = sinks.key_predicates(5, 40, 4)
+    hits = [f for f in range(50) if sum(con.execute(f"SELECT {c.replace('flight_id', str(f))}").fetchone()[0] for c in conditions) == 1]
+    assert hits == list(range(5, 41))
+
+
+def test_slow_averages_scan_in_levels(spark):
+    rnd = random.Random(5)
+    rows = [(f, n, rnd.random()) for f in (1, 2) for n in range(300)]
+    df = spark.createDataFrame(rows, "flight_id BIGINT, _n BIGINT, x DOUBLE")
+    for rate, block in ((1e-6, 4), (0.01, 7), (0.5, 1000), (700.0, 3), (1.2, 1)):
+        got = {(r.flight_id, r._n): r.x for r in anomaly.affine_scan(df, ["flight_id"], ["x"], rate=rate, block=block).collect()}
+        state = {}
+        for f, n, x in rows:
+            state[f] = state.get(f, 0.0) * math.exp(-rate) + x
+            assert abs(got[f, n] - state[f]) < 1e-9 * max(1, abs(state[f])), (rate, block, n)
+
+
+def test_mosaic_grid_has_no_single_maker(spark, monkeypatch):
+    from drovera.operators import raster
+
+    monkeypatch.setattr(raster, "GRID_CELLS", 20_000)
+    cells = spark.createDataFrame([("d", -3, 5, 1.0, 1), ("d", 600, 400, 2.0, 1)], "dem_id STRING, row INT, col INT, elev DOUBLE, source_rank INT")
+    out = raster.mosaic_dem(cells)
+    assert out.count() == 604 * 396 and out.filter("nodata = 0").count() == 2
+    assert out.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first() == (-3, 600, 5, 400)
