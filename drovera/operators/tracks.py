@@ -230,6 +230,31 @@ def _neighbour_lists(df: DataFrame, frame: Sequence[str], k: int, one_level: int
     )
 
 
+def _small_keyframes(sized: DataFrame, frame: Sequence[str], rest: Sequence[str], k: int) -> DataFrame:
+    """Tracks of keyframes of few tracks, each with its neighbours ``_nb``.
+
+    The tracks of a keyframe are gathered into one list, which the caller bounds, and every track
+    sorts that list by distance: one shuffle, nothing is joined.
+    """
+    own = [*_POINT, *rest, "_known"]
+    gathered = sized.groupBy(*frame).agg(F.collect_list(F.struct(*own)).alias("_all"))
+    points = F.transform(F.filter("_all", lambda o: o["_known"]), lambda o: F.struct(*[o[c].alias(c) for c in _POINT]))
+    each = gathered.withColumn("_near", points).select(*frame, "_near", F.explode("_all").alias("_me"))
+    me = F.col("_me")
+
+    def with_distance(o: Column) -> Column:
+        dx, dy = o["cx"] - me["cx"], o["cy"] - me["cy"]
+        return F.struct((dx * dx + dy * dy).alias("d2"), *[o[c].alias(c) for c in _POINT])
+
+    others = F.filter("_near", lambda o: o["track_id"] != me["track_id"])
+    nearest = F.slice(F.array_sort(F.transform(others, with_distance)), 1, k)
+    none = F.slice(F.transform("_near", with_distance), 1, 0)
+    return each.select(
+        *frame, *[me[c].alias(c) for c in (*_POINT, *rest)],
+        F.when(F.coalesce(me["_known"], F.lit(False)), nearest).otherwise(none).alias("_nb"),
+    )
+
+
 def knn_features(
     tracks: DataFrame,
     *,
@@ -241,21 +266,26 @@ def knn_features(
 ) -> DataFrame:
     """Nine motion features per track from its min(k, N - 1) nearest tracks of the same keyframe.
 
-    Distance ties go to the smaller track id. One exact search serves keyframes of any size and any
-    coordinates; ``one_level`` only says up to how many tracks cells are not worth it, the rows are
-    the same for every value. A track whose position is null, NaN or beyond 2^52 has no neighbours
+    Distance ties go to the smaller track id. Keyframes of up to ``one_level`` tracks compare all
+    their tracks, larger ones search a pyramid of cells; the rows are the same for every value. A track whose position is null, NaN or beyond 2^52 has no neighbours
     and is nobody's: its offsets and distance are 0, its own motion stays.
     """
     frame = list(frame)
     rest = [c for c in tracks.columns if c not in frame and c not in _POINT]
     bound = float(2 ** 52)
-    known = F.col("cx").between(-bound, bound) & F.col("cy").between(-bound, bound)
-    lists = _neighbour_lists(tracks.filter(known), frame, k, one_level)
-    out = tracks.join(lists, [*frame, "cx", "cy"], "left")
+    sizes = tracks.groupBy(*frame).agg(F.count(F.lit(1)).alias("_n"))
+    sized = tracks.join(sizes, frame).withColumn(
+        "_known", F.col("cx").between(-bound, bound) & F.col("cy").between(-bound, bound)
+    )
+    small = _small_keyframes(sized.filter(F.col("_n") <= one_level), frame, rest, k)
+    large = sized.filter(F.col("_n") > one_level)
+    lists = _neighbour_lists(large.filter("_known"), frame, k, one_level)
+    met = large.select(*frame, *_POINT, *rest).join(lists, [*frame, "cx", "cy"], "left")
     me = F.col("track_id")
     mine = F.slice(F.filter("_l", lambda o: o["track_id"] != me), 1, k)
     none = F.array().cast(lists.schema["_l"].dataType)
-    out = out.select(*frame, *_POINT, *rest, F.coalesce(mine, none).alias("_nb"))
+    met = met.select(*frame, *_POINT, *rest, F.coalesce(mine, none).alias("_nb"))
+    out = small.unionByName(met)
     return out.withColumns(_relative(out, "_nb", float(max(width, height)))).drop("_nb")
 
 
