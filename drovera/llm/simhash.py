@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import stage
+from .store import discard, stage
 
 BITS = 64
 #: Near copies by similarity: buckets of ROWS least shingle digests each. Sets of Jaccard similarity
@@ -341,11 +341,10 @@ def link_similar(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     listed = nodes.select("node", F.explode(F.array_distinct("buckets")).alias("bucket"))
     heads = listed.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("head")).where("n > 1")
     shared = stage(listed.join(heads.select("bucket", "head"), "bucket"), "shared")
-    own = stage(sets.join(shared.select("node").distinct(), "node", "left_semi"), "sets")
     met = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     first = stage(
-        met.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        met.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         .where(_similar("x", "y", similarity)).select("a", "b"),
         "links",
     )
@@ -355,7 +354,8 @@ def link_similar(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
         "labelled",
     )
     mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    rest = stage(labelled.join(mixed.select("bucket"), "bucket", "left_semi").join(own, "node"), "rest")
+    rest = stage(labelled.join(mixed.select("bucket"), "bucket", "left_semi").join(sets, "node"), "rest")
+    discard(shared, labelled)
     second = (
         rest.alias("p").join(rest.alias("i"), F.expr(
             "p.bucket = i.bucket and p.root < i.root and " + _similar("p.shingles", "i.shingles", similarity)
