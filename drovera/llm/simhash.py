@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import discard, stage
+from .store import discard, free_shuffles, stage
 
 BITS = 64
 #: Near copies by similarity: buckets of ROWS least shingle digests each. Sets of Jaccard similarity
@@ -342,6 +342,7 @@ def link_similar(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     heads = listed.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("head")).where("n > 1")
     shared = stage(listed.join(heads.select("bucket", "head"), "bucket"), "shared")
     own = stage(sets.join(shared.select("node").distinct(), "node", "left_semi"), "sets")
+    free_shuffles(sets.sparkSession)
     met = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     first = stage(
         met.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -349,6 +350,7 @@ def link_similar(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
         .where(_similar("x", "y", similarity)).select("a", "b"),
         "links",
     )
+    free_shuffles(sets.sparkSession)
     labelled = stage(
         shared.select("bucket", "node").join(connected_components(first), "node", "left")
         .select("bucket", "node", F.coalesce("root", "node").alias("root")),
@@ -357,6 +359,7 @@ def link_similar(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     rest = stage(labelled.join(mixed.select("bucket"), "bucket", "left_semi").join(own, "node"), "rest")
     discard(shared, labelled, own)
+    free_shuffles(sets.sparkSession)
     second = (
         rest.alias("p").join(rest.alias("i"), F.expr(
             "p.bucket = i.bucket and p.root < i.root and " + _similar("p.shingles", "i.shingles", similarity)

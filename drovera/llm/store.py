@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -62,6 +63,16 @@ def discard(*staged: DataFrame) -> None:
                 _delete(df.sparkSession, folder)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which a driver with memory to spare may not do
+    for half an hour, while each plan's files stay on the executors' disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def chained(step: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     """A step of a chain whose results are written before the next step reads them.
 
@@ -76,6 +87,7 @@ def chained(step: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callab
             for folder in gone:
                 _delete(spark, folder)
             _left = []
+        free_shuffles(spark)
         _open_step, outer = [], _open_step
         try:
             return step(spark, docs, sf_dir)
