@@ -36,10 +36,16 @@ def byte_symbols() -> list[str]:
 
 
 class WordBpe:
-    """Encoder with a bounded memory of known chunks; one per process and file."""
+    """Encoder with a bounded memory of known chunks; one per process and file.
 
-    MEMORY = 700_000
-    BATCH = 2_000_000
+    Chunks of up to ``LONGEST`` characters are remembered until they take about ``MEMORY`` bytes, then
+    all are forgotten; longer ones, which rarely return, only for the texts that are encoded together.
+    """
+
+    MEMORY = 128_000_000
+    LONGEST = 40
+    BATCH = 1_000_000
+    _ENTRY = 200  # bytes of an entry besides its characters and ids, about
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -60,6 +66,25 @@ class WordBpe:
             np.minimum.at(first, pairs[:, side], np.arange(len(pairs)))
         self.ahead = first[self.made] > np.arange(len(pairs))
         self.chunks: dict[str, bytes] = {}
+        self.held = 0
+        self.passing: list[str] = []
+
+    def _remember(self, chunks: list[str], ids: list[bytes]) -> None:
+        """Chunks that are not known yet, with their ids."""
+        self.chunks.update(zip(chunks, ids))
+        long = [c for c in chunks if len(c) > self.LONGEST]
+        self.passing += long
+        gone = sum(len(c) + len(self.chunks[c]) + self._ENTRY for c in long)
+        self.held += sum(map(len, chunks)) + sum(map(len, ids)) + self._ENTRY * len(chunks) - gone
+
+    def _forget(self) -> None:
+        """Long chunks of earlier texts go, and all chunks where they take too much memory."""
+        for c in self.passing:
+            del self.chunks[c]
+        self.passing.clear()
+        if self.held > self.MEMORY:
+            self.chunks.clear()
+            self.held = 0
 
     @staticmethod
     def _hashed(keys: np.ndarray) -> list[tuple[np.uint64, np.ndarray]]:
@@ -141,9 +166,9 @@ class WordBpe:
         # A piece is a chunk too, and its own only piece.
         fresh = list(set().union(*cut).difference(self.chunks))
         for i in range(0, len(fresh), 100_000):
-            self.chunks.update(zip(fresh[i : i + 100_000], self.encode_pieces(fresh[i : i + 100_000])))
-        ids = self.chunks
-        ids.update((c, b"".join([ids[p] for p in ps])) for c, ps in zip(chunks, cut) if len(ps) > 1)
+            self._remember(fresh[i : i + 100_000], self.encode_pieces(fresh[i : i + 100_000]))
+        whole = [(c, ps) for c, ps in zip(chunks, cut) if len(ps) > 1 and c not in self.chunks]
+        self._remember([c for c, _ in whole], [b"".join([self.chunks[p] for p in ps]) for _, ps in whole])
 
     @staticmethod
     def _words(text: str) -> list[str]:
@@ -181,8 +206,7 @@ class WordBpe:
                 group.append(self._segments(texts[i] or ""))
                 size += len(texts[i] or "")
                 i += 1
-            if len(self.chunks) > self.MEMORY:
-                self.chunks.clear()
+            self._forget()
             words = set().union(*(ws for segments in group for ws in segments if ws and ws[0]))
             self._learn(list(words.difference(self.chunks)))
             for segments in group:

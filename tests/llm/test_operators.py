@@ -243,6 +243,23 @@ def test_tokens_equal_the_library(sample):
         assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_token_memory_is_bounded_by_bytes(sample):
+    bpe, lib, rng = WordBpe(queries.vocabulary()), library(), random.Random(2)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(1200)) for _ in range(40)]
+    texts += [f"{w}{i}, {w}!?" for i in range(40) for w in ("flock", "x" * 50, "Weide")] + [r.text for r in sample.values()][:40]
+    bpe.MEMORY, bpe.BATCH, most = 100_000, 5_000, 0
+    for text in texts:
+        ids = bpe.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+        kept = [c for c in bpe.chunks if len(c) <= bpe.LONGEST]
+        assert bpe.held == sum(len(c) + len(bpe.chunks[c]) + bpe._ENTRY for c in kept)
+        assert len(bpe.chunks) - len(kept) == len(bpe.passing) <= len(text) and bpe.held <= bpe.MEMORY + 300 * len(text)
+        most = max(most, bpe.held)
+    assert most > bpe.MEMORY  # it was emptied on the way
+    bpe.encode("")
+    assert not bpe.passing and all(len(c) <= bpe.LONGEST for c in bpe.chunks)
+
+
 def test_packing(spark, sample):
     got = packing.pack_documents(spark.read.parquet(f"{SF}/documents.parquet"), queries.vocabulary()).collect()
     lib, by_doc, by_seq = library(), defaultdict(list), defaultdict(list)
