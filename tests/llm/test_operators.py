@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from functools import partial
@@ -357,6 +358,15 @@ def test_license_base(spark, sample):
     assert len(licenses.rules()) > 300
 
 
+def test_license_places_of_a_text_with_many_matches(spark):
+    n = 64_000
+    began = time.monotonic()
+    row = licenses.scan_licenses(frame(spark, ["the mit license\n" * n + "cc by nc"])).first()
+    assert (row.n_words, row.n_base, row.first_word, row.last_word) == (3 * n + 3, n + 1, 0, 3 * n)
+    assert (row.base_labels, row.labels) == ("cc-by-nc,mit", "cc-by-nc,mit")
+    assert time.monotonic() - began < 60
+
+
 def test_short_license_names_and_bodies(spark):
     want = {
         "// SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: ISC": "isc", "# SPDX-License-Identifier: MPL-2.0": "mpl-2",
