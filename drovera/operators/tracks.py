@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .. import constants as C
@@ -139,8 +144,8 @@ _POINT = ("track_id", "cx", "cy", "vx", "vy")
 FINEST_LEVEL = -6
 
 
-def _neighbour_lists(df: DataFrame, frame: Sequence[str], k: int, one_level: int) -> DataFrame:
-    """Per distinct position its k + 1 nearest tracks, through a pyramid of square cells.
+def _neighbour_lists(df: DataFrame, spots: DataFrame, frame: Sequence[str], k: int, one_level: int) -> DataFrame:
+    """Per distinct position of ``spots`` its k + 1 nearest tracks of ``df``, through a pyramid of square cells.
 
     Work is per distinct position, which needs its k + 1 nearest candidates (a track then leaves
     itself out); of the tracks sharing one position only the k + 1 smallest ids can ever be
@@ -194,9 +199,8 @@ def _neighbour_lists(df: DataFrame, frame: Sequence[str], k: int, one_level: int
         .agg(F.count(F.lit(1)).alias("_held"))
         .filter(F.col("_held") >= k + 1)
     )
-    spots = df.select(*frame, "cx", "cy").distinct()
     at = (
-        in_cells(spots, "cx", "cy")
+        in_cells(spots.select(*frame, "cx", "cy").distinct(), "cx", "cy")
         .join(full, [*frame, "lv", "gx", "gy"], "left")
         .filter(F.col("_held").isNotNull() | (F.col("lv") == F.col("_top")))
         .groupBy(*frame, "cx", "cy")
@@ -230,6 +234,113 @@ def _neighbour_lists(df: DataFrame, frame: Sequence[str], k: int, one_level: int
     )
 
 
+#: Tracks that a tile of a large keyframe has on average, and how many its densest neighbour may have.
+PER_TILE, TILE_LIMIT = 256, 2048
+#: How far a tile looks beyond itself, in edges, inside a keyframe and at its border: 25 tracks on average either way.
+REACH, BORDER_REACH = 0.18, 0.36
+#: Distances held at once by a task.
+_PAIRS = 1_000_000
+
+
+def _tile_search(k: int, own_columns: Sequence[str], out: StructType) -> Callable[[pa.Table], pa.Table]:
+    """Neighbours of a tile's own tracks among all it was given; none for a track without k in reach."""
+    target = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out])
+
+    def work(table: pa.Table) -> pa.Table:
+        column = lambda c: table[c].to_numpy(zero_copy_only=False)
+        x, y, reach = column("cx"), column("cy"), float(table["_reach"][0].as_py()) ** 2
+        ids = np.unique(column("track_id"), return_inverse=True)[1]
+        mine = np.flatnonzero(column("_own").astype(bool))
+        sizes, others, far = np.zeros(len(mine), np.int32), [], []
+        step = max(1, _PAIRS // len(x))
+        for at in range(0, len(mine) if len(x) > k else 0, step):
+            me = mine[at : at + step, None]
+            dx, dy = x - x[me], y - y[me]
+            d2 = dx * dx + dy * dy
+            d2[ids == ids[me]] = np.inf
+            last = np.partition(d2, k - 1, axis=1)[:, k - 1]
+            row, col = np.nonzero((d2 <= last[:, None]) & (last <= reach)[:, None])
+            order = np.lexsort((ids[col], d2[row, col], row))
+            row, col = row[order], col[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[rank < k], col[rank < k]
+            sizes[at : at + step] = np.bincount(row, minlength=len(me))
+            others.append(col)
+            far.append(d2[row, col])
+        col = np.concatenate(others) if others else np.zeros(0, np.int64)
+        d2 = np.concatenate(far) if far else np.zeros(0)
+        near = [pa.array(d2)] + [table[c].combine_chunks().take(pa.array(col)) for c in _POINT]
+        offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+        items = pa.StructArray.from_arrays(near, ["d2", *_POINT])
+        own = table.select(list(own_columns)).take(pa.array(mine))
+        return own.append_column("_nb", pa.ListArray.from_arrays(offsets, items)).cast(target)
+
+    return work
+
+
+def _in_tiles(df: DataFrame, frame: Sequence[str], rest: Sequence[str], k: int) -> tuple[DataFrame, DataFrame]:
+    """Tracks of large keyframes with their neighbours ``_nb``, and the tracks this leaves open.
+
+    A keyframe is cut into tiles by its extent and number of tracks, and each tile gets the tracks
+    within ``REACH`` around it as well (more at the keyframe's border, where half of the surroundings
+    are empty). A track with k others in that distance has its nearest among them. The others are
+    left open, and so are those beside a tile of over ``TILE_LIMIT`` tracks, so no tile is given
+    more than nine times that. A track is copied about twice, three times at the border.
+    """
+    frame = list(frame)
+    extent = df.groupBy(*frame).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("cx").alias("_ox"), F.min("cy").alias("_oy"),
+        (F.max("cx") - F.min("cx")).alias("_sx"), (F.max("cy") - F.min("cy")).alias("_sy"),
+    )
+    share = F.lit(float(PER_TILE)) / F.col("_n")
+    edge = F.greatest(F.sqrt(F.col("_sx") * F.col("_sy") * share), F.greatest("_sx", "_sy") * share)
+    extent = extent.withColumn("_e", edge)
+    for a in "xy":
+        number = F.when(F.col("_e") > 0, F.greatest(F.floor(F.col(f"_s{a}") / F.col("_e")), F.lit(1))).otherwise(1)
+        extent = extent.withColumn(f"_n{a}", number.cast("bigint")).withColumn(f"_w{a}", F.col(f"_s{a}") / F.col(f"_n{a}"))
+
+    def tile(a: str, off: Column | float = 0.0) -> Column:
+        place = F.floor((F.col(f"_u{a}") + off) / F.col(f"_w{a}")).cast("bigint")
+        return F.when(F.col(f"_w{a}") > 0, F.least(F.greatest(place, F.lit(0)), F.col(f"_n{a}") - 1)).otherwise(F.lit(0)).cast("bigint")
+
+    tiles = [*frame, "_tx", "_ty"]
+    placed = df.join(extent.drop("_n", "_sx", "_sy"), frame).withColumns({"_ux": F.col("cx") - F.col("_ox"), "_uy": F.col("cy") - F.col("_oy")})
+    placed = placed.withColumns({"_hx": tile("x"), "_hy": tile("y")})
+    own_tile = [*frame, F.col("_hx").alias("_tx"), F.col("_hy").alias("_ty")]
+    beside = F.sequence(F.lit(-1), F.lit(1))
+    full = placed.groupBy(*own_tile).agg(F.count(F.lit(1)).alias("_held")).filter(F.col("_held") > TILE_LIMIT)
+    full = full.withColumn("_i", F.explode(beside)).withColumn("_j", F.explode(beside)).select(
+        *frame, (F.col("_tx") + F.col("_i")).alias("_tx"), (F.col("_ty") + F.col("_j")).alias("_ty")
+    ).distinct()
+
+    e, half = F.col("_e") * BORDER_REACH, F.col("_e") * REACH
+    border = F.lit(False)
+    close = F.lit(True)
+    for a in "xy":
+        t, u, w = F.col(f"_t{a}"), F.col(f"_u{a}"), F.col(f"_w{a}")
+        border = border | (t == 0) | (t == F.col(f"_n{a}") - 1)
+        close = close & (u >= t * w - half) & (u <= (t + 1) * w + half)
+    own = (F.col("_tx") == F.col("_hx")) & (F.col("_ty") == F.col("_hy"))
+    copies = (
+        placed.withColumn("_tx", F.explode(F.sequence(tile("x", -e), tile("x", e))))
+        .withColumn("_ty", F.explode(F.sequence(tile("y", -e), tile("y", e))))
+        .filter(border | close | own)
+        .join(full, tiles, "left_anti")
+        .select(
+            *tiles, *_POINT, *[F.when(own, F.col(c)).alias(c) for c in rest], own.alias("_own"),
+            # a little less than what is copied, for rounding
+            (F.when(border, e).otherwise(half) * 0.98).alias("_reach"),
+        )
+    )
+    near = StructType([StructField("d2", DoubleType()), *[df.schema[c] for c in _POINT]])
+    out = StructType([*[df.schema[c] for c in (*frame, *_POINT, *rest)], StructField("_nb", ArrayType(near))])
+    out = StructType([StructField(f.name, f.dataType) for f in out])
+    found = copies.groupBy(*tiles).applyInArrow(_tile_search(k, [*frame, *_POINT, *rest], out), out)
+    enough = F.size("_nb") >= k
+    crowded = placed.select(*own_tile, *_POINT, *rest).join(full, tiles, "left_semi").drop("_tx", "_ty")
+    return found.filter(enough), found.filter(~enough).drop("_nb").unionByName(crowded)
+
+
 def _small_keyframes(sized: DataFrame, frame: Sequence[str], rest: Sequence[str], k: int) -> DataFrame:
     """Tracks of keyframes of few tracks, each with its neighbours ``_nb``.
 
@@ -267,7 +378,8 @@ def knn_features(
     """Nine motion features per track from its min(k, N - 1) nearest tracks of the same keyframe.
 
     Distance ties go to the smaller track id. Keyframes of up to ``one_level`` tracks compare all
-    their tracks, larger ones search a pyramid of cells; the rows are the same for every value. A track whose position is null, NaN or beyond 2^52 has no neighbours
+    their tracks, larger ones search in tiles, and where a tile does not settle a track (bunched or
+    lonely ones) in a pyramid of cells; the rows are the same for every value. A track whose position is null, NaN or beyond 2^52 has no neighbours
     and is nobody's: its offsets and distance are 0, its own motion stays.
     """
     frame = list(frame)
@@ -278,13 +390,18 @@ def knn_features(
         "_known", F.col("cx").between(-bound, bound) & F.col("cy").between(-bound, bound)
     )
     small = _small_keyframes(sized.filter(F.col("_n") <= one_level), frame, rest, k)
-    large = sized.filter(F.col("_n") > one_level)
-    lists = _neighbour_lists(large.filter("_known"), frame, k, one_level)
-    met = large.select(*frame, *_POINT, *rest).join(lists, [*frame, "cx", "cy"], "left")
+    large = sized.filter(F.col("_n") > one_level).select(*frame, *_POINT, *rest, "_known")
+    known = large.filter("_known").drop("_known")
+    done, left = _in_tiles(known, frame, rest, k)
+    # few rows as a rule, read by every step of the pyramid; nothing runs before the result is asked for
+    left = left.persist(StorageLevel.DISK_ONLY)
+    lists = _neighbour_lists(known.join(left.select(*frame).distinct(), frame, "left_semi"), left, frame, k, one_level)
+    unknown = large.filter(~F.coalesce("_known", F.lit(False))).drop("_known")
+    met = left.unionByName(unknown).join(lists, [*frame, "cx", "cy"], "left")
     me = F.col("track_id")
     mine = F.slice(F.filter("_l", lambda o: o["track_id"] != me), 1, k)
     none = F.array().cast(lists.schema["_l"].dataType)
-    met = met.select(*frame, *_POINT, *rest, F.coalesce(mine, none).alias("_nb"))
+    met = met.select(*frame, *_POINT, *rest, F.coalesce(mine, none).alias("_nb")).unionByName(done)
     out = small.unionByName(met)
     return out.withColumns(_relative(out, "_nb", float(max(width, height)))).drop("_nb")
 

@@ -81,7 +81,7 @@ def knn(spark, d) -> DataFrame:
     f"WITH {V.FEATURE_SQL} SELECT flight_id, kf_seq, track_id, {', '.join(_R)} FROM feat",
 )
 def knn_large(spark, d) -> DataFrame:
-    """The same search with cells of every level for every keyframe."""
+    """The search of large keyframes (tiles, then cells of every level) for every keyframe."""
     v = velocity(spark, d).select("flight_id", "frame_id", "kf_seq", "track_id", "cx", "cy", "vx", "vy")
     f = T.knn_features(cut(v), k=V.KNN_K, one_level=0)
     return f.select("flight_id", "kf_seq", "track_id", *rounded(*T.FEATURES))

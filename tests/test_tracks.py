@@ -136,6 +136,21 @@ def test_neighbours_in_keyframes_of_any_size(spark, n):
     check_neighbours(T.knn_features(spark.createDataFrame(rows, TR + ", vx DOUBLE, vy DOUBLE"), k=5), rows)
 
 
+def test_tiles_settle_even_keyframes_and_leave_bunched_and_lonely_tracks_open(spark):
+    rng = np.random.default_rng(3)
+    even = [(1, 0, 0, i, float(x), float(y), 1.0, 2.0) for i, (x, y) in enumerate(rng.integers(0, [1280, 720], (6000, 2)))]
+    lump = [(1, 0, 1, i, 500 + float(x), 500 + float(y), 1.0, 2.0) for i, (x, y) in enumerate(rng.normal(0, 0.5, (3000, 2)))]
+    lump += [(1, 0, 1, 5000 + i, 1270.0 - 300 * i, 700.0, 1.0, 2.0) for i in range(4)]
+    df = spark.createDataFrame(even + lump, TR + ", vx DOUBLE, vy DOUBLE")
+    done, left = T._in_tiles(df, ["flight_id", "kf_seq"], ["frame_id"], 5)
+    open_rows = [(r.kf_seq, r.track_id) for r in left.collect()]
+    assert done.count() + len(open_rows) == 9004 and len(set(open_rows)) == len(open_rows)
+    assert sum(k == 0 for k, _ in open_rows) <= 6 and {(1, 5000), (1, 0)} <= set(open_rows)
+    features = T.knn_features(df, k=5)
+    check_neighbours(features.filter("kf_seq = 0"), even)
+    check_neighbours(features.filter("kf_seq = 1"), lump)
+
+
 @pytest.mark.parametrize("one_level", [0, 64])
 def test_neighbours_of_far_and_unknown_positions(spark, one_level):
     xs = [1_048_560.0 + 7 * i for i in range(12)] + [-3e9, 4e12, float("nan"), None, float("inf")]
