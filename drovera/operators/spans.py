@@ -218,7 +218,8 @@ def danger_flags(
 def _segments(events: DataFrame, names: Sequence[str], row: Sequence[str]) -> DataFrame:
     """Stretches of a row between events, with what covers them: ``row x _len _safe _l_...``."""
     cols = ["_safe", *[f"_l_{n}" for n in names]]
-    w = Window.partitionBy(*row).orderBy("x")
+    # rows are sorted by the first column's bytes before anything else, and flights are few
+    w = Window.partitionBy(*sorted(row, key=lambda c: c == FRAME[0])).orderBy("x")
     # of several events at one position only the last has a length, and it has seen them all
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return events.select(

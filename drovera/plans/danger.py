@@ -159,14 +159,15 @@ class Ground:
             met = met.withColumn("_w", F.lit(self.width))
             met = geo.inside_runs(met, fence="fence", y="y", width="_w", out="_in")
         carry = ["safe", *names, *(["_in"] if fence else [])]
+        beyond = F.coalesce(size - geo.inside_px("_in", x0, x1), F.lit(0)) if fence else F.lit(0)
+        sized = [*keys, "safe", *names, size.alias("_n"), beyond.cast("bigint").alias("_beyond")]
         if self.tiles is not None:
+            # Sized before tiles are met: what follows that join is compiled into it, so no row carries a copy of its tile.
             runs = raster.cell_runs(met.withColumn("dem_id", F.lit(self.dem_id)), self.dem_meta, frame=by, carry=carry)
-            posed_run = F.col("row").isNotNull()
-            runs = self._bits(runs).withColumn("ground", F.when(posed_run, F.col("ground")).otherwise(F.lit(0).cast("tinyint")))
+            runs = self._bits(runs.select(*sized, "dem_id", "row", "col"))
+            runs = runs.withColumn("ground", F.when(F.col("row").isNotNull(), F.col("ground")).otherwise(F.lit(0).cast("tinyint")))
         else:
-            runs = met.withColumn("ground", F.lit(0).cast("tinyint"))
-        beyond = F.coalesce(size - geo.inside_px("_in", x0, x1), F.lit(0)) if fence else F.lit(0)
-        runs = runs.select(*keys, "safe", *names, "ground", size.alias("_n"), beyond.cast("bigint").alias("_beyond"))
+            runs = met.select(*sized).withColumn("ground", F.lit(0).cast("tinyint"))
         part = F.when(F.col("ground") > 0, F.col("_n")).otherwise(F.col("_beyond"))
         whole = F.lit(False)
         for n in names:

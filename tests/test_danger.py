@@ -92,3 +92,21 @@ def test_frames_without_a_pose_lie_in_no_ground_layer(spark):
         # without telemetry the circle's radius follows the boxes
         assert got[2].roads and got[2].intersection_px + got[2].danger_px == 25
         assert (got[3].intersection_px, got[3].danger_px) == (0, 0)
+
+
+def test_no_lists_meet_the_tiles(spark, monkeypatch):
+    """Rows that carry lists over the join with tiles would carry a copy of their tile as well."""
+    from drovera.operators import geo
+
+    met, bits = [], danger.Ground._bits
+    monkeypatch.setattr(danger.Ground, "_bits", lambda self, cells: met.append(cells) or bits(self, cells))
+    ring = geo.ring_literal([(8.9, 43.9), (9.1, 43.9), (9.1, 44.1), (8.9, 44.1)])
+    frames = spark.createDataFrame([(1, 1, 0.0, 0.0, 9.0, 0.0, 0.0, 44.0, None)], "flight_id BIGINT, frame_id BIGINT, aff_a DOUBLE, "
+        "aff_b DOUBLE, aff_c DOUBLE, aff_d DOUBLE, aff_e DOUBLE, aff_f DOUBLE, fence ARRAY<STRUCT<ax: DOUBLE, ay: DOUBLE, bx: DOUBLE, by: DOUBLE>>")
+    segments = spark.createDataFrame([(1, 1, 0, 5, 0, 9, True, False, False)],
+        "flight_id BIGINT, frame_id BIGINT, _band BIGINT, y INT, x0 INT, x1 INT, safe BOOLEAN, roads BOOLEAN, vehicles BOOLEAN")
+    given = raster(spark, 50.0)
+    ground = danger.ground_of(ring=ring, width=W, height=H, **given)
+    ground.flags(segments, frames)
+    assert len(met) == 1 and "_beyond" in met[0].columns
+    assert not any(f.dataType.typeName() == "array" for f in met[0].schema)
