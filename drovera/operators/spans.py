@@ -105,9 +105,14 @@ def _events(parts: Sequence[tuple[DataFrame, Mapping[str, Column]]], keys: Seque
     )
 
 
+def _selective_first(row: Sequence[str]) -> list[str]:
+    """The columns with the flight last: a sort compares the first column's bytes alone where they differ, and flights are few."""
+    return sorted(row, key=lambda c: c == FRAME[0])
+
+
 def _flips(events: DataFrame, keys: Sequence[str], flag: Callable[[WindowCols], Column],
            names: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*keys, "y").orderBy("x")
+    w = Window.partitionBy(*_selective_first([*keys, "y"])).orderBy("x")
     on = flag({n: F.sum(n).over(w) > 0 for n in names})
     runs = events.withColumn("_on", on)
     runs = runs.withColumn("_was", F.coalesce(F.lag("_on").over(w), F.lit(False)))
@@ -218,8 +223,7 @@ def danger_flags(
 def _segments(events: DataFrame, names: Sequence[str], row: Sequence[str]) -> DataFrame:
     """Stretches of a row between events, with what covers them: ``row x _len _safe _l_...``."""
     cols = ["_safe", *[f"_l_{n}" for n in names]]
-    # rows are sorted by the first column's bytes before anything else, and flights are few
-    w = Window.partitionBy(*sorted(row, key=lambda c: c == FRAME[0])).orderBy("x")
+    w = Window.partitionBy(*_selective_first(row)).orderBy("x")
     # of several events at one position only the last has a length, and it has seen them all
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return events.select(

@@ -128,3 +128,10 @@ def test_detections_and_counts(spark):
 def test_suppressed_classes(spark, suppress, want):
     df = spark.createDataFrame([(1, 1, c, 0, 0, 3) for c in (0, 1, 2, 3)], "flight_id BIGINT, frame_id BIGINT, class_id INT, y INT, x0 INT, x1 INT")
     assert {r.layer for r in S.segmentation_layers(df, suppress=suppress).collect()} == want
+
+
+def test_rows_are_sorted_by_their_most_selective_column(spark):
+    a = spark.createDataFrame([(1, 2, 3, 0, 9)], "flight_id BIGINT, frame_id BIGINT, y INT, x0 INT, x1 INT")
+    plan = S.mask_difference(a, a)._jdf.queryExecution().executedPlan().toString()
+    sorts = [line.split("Sort [")[1] for line in plan.split("\n") if "Sort [" in line]
+    assert sorts and all(order.startswith("frame_id") for order in sorts)
