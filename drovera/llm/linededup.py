@@ -20,7 +20,8 @@ from .store import stage
 MIN_CHARS = 40
 MIN_DOCS = 5
 FANOUT = 4
-BATCHES = 2
+#: The third batch makes the first compaction, the fourth is merged against a compacted run.
+BATCHES = 4
 _KEY = ["h1", "h2"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = " \t\n\x0b\x0c\r"

@@ -13,7 +13,7 @@ import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
-from drovera.llm import manifest, pii, pii_examples, queries, store, whitening
+from drovera.llm import linededup, manifest, pii, pii_examples, queries, store, whitening
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, source string, lang string, n_chars long, text string"
@@ -345,3 +345,10 @@ def test_one_kind_of_label_tells_that_kind():
         ranking = quality.fit_ranking(x, np.full(20, kind))
         assert ((ranking.score(x) >= quality.CUT) == kind).all()
     assert (quality.fit_ranking(x[:0], np.zeros(0, bool)).score(x) >= quality.CUT).all()
+
+
+def test_line_runs_of_the_query_are_compacted(spark, monkeypatch):
+    kept, add = [], linededup.LineRuns.add
+    monkeypatch.setattr(linededup.LineRuns, "add", lambda self, lines: (add(self, lines), kept.append(sorted(k for k, v in self.levels.items() if v))))
+    queries.op2_line_dedup(spark, "/root/testdata/sf0.001")
+    assert kept[0] == [0] and [0, 1] in kept
