@@ -278,14 +278,19 @@ def _tile_search(k: int, own_columns: Sequence[str], out: StructType) -> Callabl
     return work
 
 
-def _in_tiles(df: DataFrame, frame: Sequence[str], rest: Sequence[str], k: int) -> tuple[DataFrame, DataFrame]:
-    """Tracks of large keyframes with their neighbours ``_nb``, and the tracks this leaves open.
+def _in_tiles(
+    df: DataFrame, frame: Sequence[str], rest: Sequence[str], k: int, size: float = 1.0
+) -> tuple[DataFrame, DataFrame]:
+    """Tracks of large keyframes with their features, and the tracks this leaves open.
 
     A keyframe is cut into tiles by its extent and number of tracks, and each tile gets the tracks
     within ``REACH`` around it as well (more at the keyframe's border, where half of the surroundings
     are empty). A track with k others in that distance has its nearest among them. The others are
     left open, and so are those beside a tile of over ``TILE_LIMIT`` tracks, so no tile is given
     more than nine times that. A track is copied about twice, three times at the border.
+
+    Both results read the search, so its features are kept on disk (not the lists, which are several
+    times as large); nothing runs before a result is asked for.
     """
     frame = list(frame)
     extent = df.groupBy(*frame).agg(
@@ -336,9 +341,11 @@ def _in_tiles(df: DataFrame, frame: Sequence[str], rest: Sequence[str], k: int)
     out = StructType([*[df.schema[c] for c in (*frame, *_POINT, *rest)], StructField("_nb", ArrayType(near))])
     out = StructType([StructField(f.name, f.dataType) for f in out])
     found = copies.groupBy(*tiles).applyInArrow(_tile_search(k, [*frame, *_POINT, *rest], out), out)
-    enough = F.size("_nb") >= k
+    features = [e.alias(n) for n, e in _relative(found, "_nb", size).items()]
+    own_columns = [*frame, *_POINT, *rest]
+    found = found.select(*own_columns, (F.size("_nb") >= k).alias("_enough"), *features).persist(StorageLevel.DISK_ONLY)
     crowded = placed.select(*own_tile, *_POINT, *rest).join(full, tiles, "left_semi").drop("_tx", "_ty")
-    return found.filter(enough), found.filter(~enough).drop("_nb").unionByName(crowded)
+    return found.filter("_enough").drop("_enough"), found.filter("not _enough").select(*own_columns).unionByName(crowded)
 
 
 def _small_keyframes(sized: DataFrame, frame: Sequence[str], rest: Sequence[str], k: int) -> DataFrame:
@@ -392,7 +399,8 @@ def knn_features(
     small = _small_keyframes(sized.filter(F.col("_n") <= one_level), frame, rest, k)
     large = sized.filter(F.col("_n") > one_level).select(*frame, *_POINT, *rest, "_known")
     known = large.filter("_known").drop("_known")
-    done, left = _in_tiles(known, frame, rest, k)
+    size = float(max(width, height))
+    done, left = _in_tiles(known, frame, rest, k, size)
     # few rows as a rule, read by every step of the pyramid; nothing runs before the result is asked for
     left = left.persist(StorageLevel.DISK_ONLY)
     lists = _neighbour_lists(known.join(left.select(*frame).distinct(), frame, "left_semi"), left, frame, k, one_level)
@@ -401,9 +409,9 @@ def knn_features(
     me = F.col("track_id")
     mine = F.slice(F.filter("_l", lambda o: o["track_id"] != me), 1, k)
     none = F.array().cast(lists.schema["_l"].dataType)
-    met = met.select(*frame, *_POINT, *rest, F.coalesce(mine, none).alias("_nb")).unionByName(done)
+    met = met.select(*frame, *_POINT, *rest, F.coalesce(mine, none).alias("_nb"))
     out = small.unionByName(met)
-    return out.withColumns(_relative(out, "_nb", float(max(width, height)))).drop("_nb")
+    return out.withColumns(_relative(out, "_nb", size)).drop("_nb").unionByName(done)
 
 
 def bridge_gaps(

@@ -151,6 +151,27 @@ def test_tiles_settle_even_keyframes_and_leave_bunched_and_lonely_tracks_open(sp
     check_neighbours(features.filter("kf_seq = 1"), lump)
 
 
+def test_each_tile_is_searched_once(spark, tmp_path, monkeypatch):
+    search, log = T._tile_search, str(tmp_path / "calls")
+
+    def counted(*args):
+        work = search(*args)
+
+        def logged(table):
+            with open(log, "a") as f:
+                f.write("x")
+            return work(table)
+
+        return logged
+
+    monkeypatch.setattr(T, "_tile_search", counted)
+    rng = np.random.default_rng(5)
+    rows = [(1, 0, 0, i, float(x), float(y), 1.0, 2.0) for i, (x, y) in enumerate(rng.integers(0, 500, (200, 2)))]
+    df = spark.createDataFrame(rows, TR + ", vx DOUBLE, vy DOUBLE")
+    assert len(T.knn_features(df, k=5, one_level=0).collect()) == 200
+    assert (tmp_path / "calls").read_text() == "x"
+
+
 @pytest.mark.parametrize("one_level", [0, 64])
 def test_neighbours_of_far_and_unknown_positions(spark, one_level):
     xs = [1_048_560.0 + 7 * i for i in range(12)] + [-3e9, 4e12, float("nan"), None, float("inf")]
