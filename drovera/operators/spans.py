@@ -19,6 +19,8 @@ from .. import constants as C
 from ..session import spread
 
 FRAME = ("flight_id", "frame_id")
+#: Image rows dealt together; a long has a bit for each.
+BAND = 64
 WindowCols = Mapping[str, Column]
 
 
@@ -58,24 +60,37 @@ def safety_spans(
     cy: str = "cy",
     radius: str = "safety_radius_px",
     layer: str = "safety",
+    dealt: bool = False,
 ) -> DataFrame:
     """Filled circles clipped to the frame; a radius of zero or less draws nothing.
 
     Row dy of a circle reaches floor(sqrt(r^2 - dy^2)) pixels to each side, which is where the
     integer midpoint circle ends too. Equal circles are dropped first: what remains per frame is
     bounded by its pixel count even if one frame holds most of the boxes.
+
+    With ``dealt`` circles are shuffled by frame and band of rows before they are drawn, and the
+    spans keep their ``_band``: ``span_intersect`` and ``mask_difference`` then leave out the spans
+    of rows where the other mask has none before these are shuffled and sorted.
     """
     r, x, y = F.col("_r"), F.col("_x"), F.col("_y")
     circles = _circles(boxes, width, height, keys, cx, cy, radius)
-    lines = spread(circles, *keys, "_x", "_y").withColumn(
-        "y", F.explode(F.sequence(F.greatest(y - r, F.lit(0)), F.least(y + r, F.lit(height - 1))))
-    )
+    top, bottom = F.greatest(y - r, F.lit(0)), F.least(y + r, F.lit(height - 1))
+    band = []
+    if dealt:
+        bands = F.sequence(F.floor(top / BAND), F.floor(bottom / BAND))
+        lines = spread(circles.withColumn("_band", F.explode(bands)), *keys, "_band")
+        band = ["_band"]
+        top = F.greatest(top, (F.col("_band") * BAND).cast("int"))
+        bottom = F.least(bottom, (F.col("_band") * BAND + (BAND - 1)).cast("int"))
+    else:
+        lines = spread(circles, *keys, "_x", "_y")
+    lines = lines.withColumn("y", F.explode(F.sequence(top, bottom)))
     dy = F.col("y") - y
     half = F.floor(F.sqrt((r * r - dy * dy).cast("double"))).cast("int")
     return (
         lines.withColumn("_h", half)
         .select(
-            *keys,
+            *keys, *band,
             F.lit(layer).alias("layer"),
             F.col("y").cast("int").alias("y"),
             F.greatest(x - F.col("_h"), F.lit(0)).cast("int").alias("x0"),
@@ -130,13 +145,33 @@ def _combine(a: DataFrame, b: DataFrame, keys: Sequence[str],
     return _flips(_events([(a, in_a), (b, in_b)], keys), keys, flag, ("_a", "_b"))
 
 
+def _where_met(spans: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``spans``, if dealt by band, without those of image rows where ``other`` has none; else as given.
+
+    What ``other`` has is one long per frame and band with a bit per row, dealt in the same way. Rows
+    without a key meet each other in the sweep but not in a join, so they all stay.
+    """
+    if "_band" not in spans.columns:
+        return spans
+    at = F.expr(f"cast(pmod(y, {BAND}) as int)")
+    rows = spread(other.select(*keys, F.floor(F.col("y") / BAND).alias("_band"), at.alias("_at")), *keys, "_band")
+    held = rows.groupBy(*keys, "_band").agg(F.expr("bit_or(shiftleft(1L, _at))").alias("_rows"))
+    # the drawn spans are many and need not be sorted for this
+    met = spans.join(held.hint("shuffle_hash"), [*keys, "_band"], "left")
+    nameless = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    bit = F.expr(f"shiftrightunsigned(_rows, cast(pmod(y, {BAND}) as int)) & 1L = 1L")
+    return met.filter(nameless | F.coalesce(bit, F.lit(False))).drop("_rows", "_band")
+
+
 def span_intersect(a: DataFrame, b: DataFrame, *, keys: Sequence[str] = FRAME) -> DataFrame:
     """Logical AND of two masks."""
+    a, b = _where_met(a, b, keys), _where_met(b, a, keys)
     return _combine(a, b, keys, lambda m: m["_a"] & m["_b"])
 
 
 def mask_difference(a: DataFrame, b: DataFrame, *, keys: Sequence[str] = FRAME) -> DataFrame:
     """Pixels of ``a`` that are not in ``b``."""
+    b = _where_met(b, a, keys)
     return _combine(a, b, keys, lambda m: m["_a"] & ~m["_b"])
 
 

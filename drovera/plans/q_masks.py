@@ -11,8 +11,8 @@ from . import views as V
 from .registry import query
 
 
-def safety(spark, d) -> DataFrame:
-    return spans.safety_spans(V.boxes(spark, d), width=V.MASK_W, height=V.MASK_H)
+def safety(spark, d, dealt: bool = False) -> DataFrame:
+    return spans.safety_spans(V.boxes(spark, d), width=V.MASK_W, height=V.MASK_H, dealt=dealt)
 
 
 def _runs(px: str, keys: str) -> str:
@@ -108,7 +108,7 @@ def area(spark, d) -> DataFrame:
     {_runs('both_', 'flight_id, frame_id')} SELECT flight_id, frame_id, {_SUMMARY} FROM runs GROUP BY 1, 2""",
 )
 def intersect(spark, d) -> DataFrame:
-    s = spans.span_intersect(safety(spark, d), V.layer_spans(spark, d))
+    s = spans.span_intersect(safety(spark, d, dealt=True), V.layer_spans(spark, d))
     return _summary(s, "flight_id", "frame_id")
 
 

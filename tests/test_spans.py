@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
@@ -135,3 +137,23 @@ def test_rows_are_sorted_by_their_most_selective_column(spark):
     plan = S.mask_difference(a, a)._jdf.queryExecution().executedPlan().toString()
     sorts = [line.split("Sort [")[1] for line in plan.split("\n") if "Sort [" in line]
     assert sorts and all(order.startswith("frame_id") for order in sorts)
+
+
+def test_dealt_circles_meet_only_the_rows_of_the_other_mask(spark):
+    rng = random.Random(23)
+    boxes = spark.createDataFrame(
+        [(rng.choice([0, 1, None]), rng.randrange(4), rng.randrange(-5, 330), rng.randrange(-5, 190), rng.randrange(0, 80))
+         for _ in range(120)], "flight_id long, frame_id long, cx int, cy int, safety_radius_px int")
+    layers = spark.createDataFrame(
+        [(rng.choice([0, 1, None]), rng.randrange(5), "roads", y := rng.randrange(180), x := rng.randrange(300), x + rng.randrange(20))
+         for _ in range(200)], "flight_id long, frame_id long, layer string, y int, x0 int, x1 int")
+    plain = S.safety_spans(boxes, width=320, height=180)
+    dealt = S.safety_spans(boxes, width=320, height=180, dealt=True)
+    rows = lambda df: sorted(df.collect(), key=repr)
+    assert rows(dealt.drop("_band")) == rows(plain)
+    assert rows(S.span_intersect(dealt, layers)) == rows(S.span_intersect(plain, layers))
+    assert rows(S.span_intersect(layers, dealt)) == rows(S.span_intersect(layers, plain))
+    assert rows(S.mask_difference(layers, dealt)) == rows(S.mask_difference(layers, plain))
+    held = {tuple(r) for r in layers.select("flight_id", "frame_id", "y").collect()}
+    met = S._where_met(dealt, layers, S.FRAME).filter("flight_id is not null")
+    assert {tuple(r) for r in met.select("flight_id", "frame_id", "y").distinct().collect()} <= held
