@@ -119,7 +119,7 @@ def intersect(spark, d) -> DataFrame:
     {_runs('rest', 'flight_id, frame_id')} SELECT flight_id, frame_id, {_SUMMARY} FROM runs GROUP BY 1, 2""",
 )
 def difference(spark, d) -> DataFrame:
-    s = spans.mask_difference(V.layer_spans(spark, d), safety(spark, d))
+    s = spans.mask_difference(V.layer_spans(spark, d), safety(spark, d, dealt=True))
     return _summary(s, "flight_id", "frame_id")
 
 
