@@ -278,11 +278,27 @@ def _tile_search(k: int, own_columns: Sequence[str], out: StructType) -> Callabl
     return work
 
 
+def _has_place() -> Column:
+    bound = float(2 ** 52)
+    return F.col("cx").between(-bound, bound) & F.col("cy").between(-bound, bound)
+
+
+def keyframe_extents(tracks: DataFrame, *, frame: Sequence[str] = KEYFRAME) -> DataFrame:
+    """Per keyframe the number of its tracks, of those that have a place, and the extent of these."""
+    x, y = F.when(_has_place(), F.col("cx")), F.when(_has_place(), F.col("cy"))
+    return tracks.groupBy(*frame).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(_has_place()).alias("_held"), F.min(x).alias("_ox"), F.min(y).alias("_oy"),
+        (F.max(x) - F.min(x)).alias("_sx"), (F.max(y) - F.min(y)).alias("_sy"),
+    )
+
+
 def _in_tiles(
     df: DataFrame, frame: Sequence[str], rest: Sequence[str], k: int, size: float = 1.0
 ) -> tuple[DataFrame, DataFrame]:
     """Tracks of large keyframes with their features, and the tracks this leaves open.
 
+    ``df`` may bring its keyframes' extents (``keyframe_extents``).
+
     A keyframe is cut into tiles by its extent and number of tracks, and each tile gets the tracks
     within ``REACH`` around it as well (more at the keyframe's border, where half of the surroundings
     are empty). A track with k others in that distance has its nearest among them. The others are
@@ -293,23 +309,22 @@ def _in_tiles(
     times as large); nothing runs before a result is asked for.
     """
     frame = list(frame)
-    extent = df.groupBy(*frame).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("cx").alias("_ox"), F.min("cy").alias("_oy"),
-        (F.max("cx") - F.min("cx")).alias("_sx"), (F.max("cy") - F.min("cy")).alias("_sy"),
-    )
-    share = F.lit(float(PER_TILE)) / F.col("_n")
+    if "_held" not in df.columns:
+        df = df.join(keyframe_extents(df, frame=frame).drop("_n"), frame)
+    share = F.lit(float(PER_TILE)) / F.col("_held")
     edge = F.greatest(F.sqrt(F.col("_sx") * F.col("_sy") * share), F.greatest("_sx", "_sy") * share)
-    extent = extent.withColumn("_e", edge)
+    placed = df.withColumn("_e", edge)
     for a in "xy":
         number = F.when(F.col("_e") > 0, F.greatest(F.floor(F.col(f"_s{a}") / F.col("_e")), F.lit(1))).otherwise(1)
-        extent = extent.withColumn(f"_n{a}", number.cast("bigint")).withColumn(f"_w{a}", F.col(f"_s{a}") / F.col(f"_n{a}"))
+        placed = placed.withColumn(f"_n{a}", number.cast("bigint")).withColumn(f"_w{a}", F.col(f"_s{a}") / F.col(f"_n{a}"))
+    placed = placed.drop("_held", "_sx", "_sy")
 
     def tile(a: str, off: Column | float = 0.0) -> Column:
         place = F.floor((F.col(f"_u{a}") + off) / F.col(f"_w{a}")).cast("bigint")
         return F.when(F.col(f"_w{a}") > 0, F.least(F.greatest(place, F.lit(0)), F.col(f"_n{a}") - 1)).otherwise(F.lit(0)).cast("bigint")
 
     tiles = [*frame, "_tx", "_ty"]
-    placed = df.join(extent.drop("_n", "_sx", "_sy"), frame).withColumns({"_ux": F.col("cx") - F.col("_ox"), "_uy": F.col("cy") - F.col("_oy")})
+    placed = placed.withColumns({"_ux": F.col("cx") - F.col("_ox"), "_uy": F.col("cy") - F.col("_oy")})
     placed = placed.withColumns({"_hx": tile("x"), "_hy": tile("y")})
     own_tile = [*frame, F.col("_hx").alias("_tx"), F.col("_hy").alias("_ty")]
     beside = F.sequence(F.lit(-1), F.lit(1))
@@ -381,6 +396,7 @@ def knn_features(
     height: int = C.PROCESSING_SHAPE[1],
     frame: Sequence[str] = KEYFRAME,
     one_level: int = 128,
+    extents: DataFrame | None = None,
 ) -> DataFrame:
     """Nine motion features per track from its min(k, N - 1) nearest tracks of the same keyframe.
 
@@ -388,23 +404,24 @@ def knn_features(
     their tracks, larger ones search in tiles, and where a tile does not settle a track (bunched or
     lonely ones) in a pyramid of cells; the rows are the same for every value. A track whose position is null, NaN or beyond 2^52 has no neighbours
     and is nobody's: its offsets and distance are 0, its own motion stays.
+
+    ``extents`` is ``keyframe_extents(tracks)``, read by every branch; a caller who has it at its true
+    size (``session.sized``) spares the tracks a shuffle in each.
     """
     frame = list(frame)
     rest = [c for c in tracks.columns if c not in frame and c not in _POINT]
-    bound = float(2 ** 52)
-    sizes = tracks.groupBy(*frame).agg(F.count(F.lit(1)).alias("_n"))
-    sized = tracks.join(sizes, frame).withColumn(
-        "_known", F.col("cx").between(-bound, bound) & F.col("cy").between(-bound, bound)
-    )
+    extents = keyframe_extents(tracks, frame=frame) if extents is None else extents
+    sized = tracks.withColumn("_known", _has_place()).join(extents, frame)
     small = _small_keyframes(sized.filter(F.col("_n") <= one_level), frame, rest, k)
-    large = sized.filter(F.col("_n") > one_level).select(*frame, *_POINT, *rest, "_known")
-    known = large.filter("_known").drop("_known")
+    large = sized.filter(F.col("_n") > one_level)
+    known = large.filter("_known").drop("_known", "_n")
     size = float(max(width, height))
     done, left = _in_tiles(known, frame, rest, k, size)
+    known = known.select(*frame, *_POINT, *rest)
     # few rows as a rule, read by every step of the pyramid; nothing runs before the result is asked for
     left = left.persist(StorageLevel.DISK_ONLY)
     lists = _neighbour_lists(known.join(left.select(*frame).distinct(), frame, "left_semi"), left, frame, k, one_level)
-    unknown = large.filter(~F.coalesce("_known", F.lit(False))).drop("_known")
+    unknown = large.filter(~F.coalesce("_known", F.lit(False))).select(*frame, *_POINT, *rest)
     met = left.unionByName(unknown).join(lists, [*frame, "cx", "cy"], "left")
     me = F.col("track_id")
     mine = F.slice(F.filter("_l", lambda o: o["track_id"] != me), 1, k)

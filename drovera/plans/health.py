@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import motion
 from ..operators import alerts, anomaly, scoring, tracks
-from ..session import cut
+from ..session import cut, sized
 from ..settings import AnomalySettings
 
 
@@ -43,7 +43,10 @@ def track_features(
         track_rows = tracks.track_center(track_rows)
     v = tracks.world_velocity(track_rows, keyframes, max_age=settings.max_age)
     v = v.select("flight_id", "frame_id", "kf_seq", "track_id", "cx", "cy", "vx", "vy")
-    f = tracks.knn_features(cut(v), k=settings.knn_k, width=width, height=height)
+    v = cut(v)
+    f = tracks.knn_features(
+        v, k=settings.knn_k, width=width, height=height, extents=sized(tracks.keyframe_extents(v))
+    )
     f = f.select("flight_id", "frame_id", "kf_seq", "track_id", *tracks.FEATURES)
     return tracks.bridge_gaps(f, keyframes, max_age=settings.max_age)
 
@@ -119,6 +122,7 @@ def health_monitoring(
     ``feature_mean`` and ``feature_std``, one number per feature in the order of
     ``tracks.FEATURES``, normalise features before the herd statistics and both scores see them.
     """
+    keyframes = sized(keyframes)
     bridged = track_features(track_rows, keyframes, settings=settings, width=width, height=height)
     if feature_mean is not None and feature_std is not None:
         scaled = motion.standardize(tracks.FEATURES, feature_mean, feature_std)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import tracks as T
-from ..session import cut
+from ..session import cut, sized
 from . import views as V
 from .registry import query
 
@@ -48,8 +48,9 @@ def segments(spark, d) -> DataFrame:
     return s.select("flight_id", "kf_seq", "track_id", "segment")
 
 
-def velocity(spark, d) -> DataFrame:
-    return T.world_velocity(V.tracks(spark, d), V.keyframes(spark, d), max_age=V.MAX_AGE)
+def velocity(spark, d, keyframes: DataFrame | None = None) -> DataFrame:
+    keyframes = sized(V.keyframes(spark, d)) if keyframes is None else keyframes
+    return T.world_velocity(V.tracks(spark, d), keyframes, max_age=V.MAX_AGE)
 
 
 @query(
@@ -62,10 +63,11 @@ def velocity_query(spark, d) -> DataFrame:
     )
 
 
-def features(spark, d) -> DataFrame:
+def features(spark, d, keyframes: DataFrame | None = None) -> DataFrame:
     cols = ("flight_id", "frame_id", "kf_seq", "track_id", "cx", "cy", "vx", "vy")
     # extents, candidates, places and rows all read the velocities
-    return T.knn_features(cut(velocity(spark, d).select(*cols)), k=V.KNN_K)
+    v = cut(velocity(spark, d, keyframes).select(*cols))
+    return T.knn_features(v, k=V.KNN_K, extents=sized(T.keyframe_extents(v)))
 
 
 @query(
@@ -82,13 +84,14 @@ def knn(spark, d) -> DataFrame:
 )
 def knn_large(spark, d) -> DataFrame:
     """The search of large keyframes (tiles, then cells of every level) for every keyframe."""
-    v = velocity(spark, d).select("flight_id", "frame_id", "kf_seq", "track_id", "cx", "cy", "vx", "vy")
-    f = T.knn_features(cut(v), k=V.KNN_K, one_level=0)
+    v = cut(velocity(spark, d).select("flight_id", "frame_id", "kf_seq", "track_id", "cx", "cy", "vx", "vy"))
+    f = T.knn_features(v, k=V.KNN_K, one_level=0, extents=sized(T.keyframe_extents(v)))
     return f.select("flight_id", "kf_seq", "track_id", *rounded(*T.FEATURES))
 
 
 def bridged(spark, d) -> DataFrame:
-    return T.bridge_gaps(features(spark, d), V.keyframes(spark, d), max_age=V.MAX_AGE)
+    keyframes = sized(V.keyframes(spark, d))
+    return T.bridge_gaps(features(spark, d, keyframes), keyframes, max_age=V.MAX_AGE)
 
 
 @query(

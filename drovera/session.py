@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,6 +71,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """Write a summary as Parquet under the checkpoint folder and read it back, so that its size is known.
+
+    Spark takes a summary of a large table for large, and a join with it then shuffles the large
+    table; with the true size its own check decides whether the summary is broadcast.
+    """
+    spark = df.sparkSession
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{folder.rstrip('/')}/drovera-sized/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash rows over ``spark.sql.shuffle.partitions`` tasks before they multiply.
 

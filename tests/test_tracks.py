@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from drovera.operators import anomaly as A
 from drovera.operators import tracks as T
+from drovera.session import sized
 
 TR = "flight_id BIGINT, frame_id BIGINT, kf_seq BIGINT, track_id BIGINT, cx DOUBLE, cy DOUBLE"
 KF = "flight_id BIGINT, frame_id BIGINT, kf_seq BIGINT, ts_us BIGINT, h ARRAY<DOUBLE>"
@@ -312,3 +313,15 @@ def test_keyframes_count_arrivals(spark):
     df = spark.createDataFrame([(1, i) for i in ids], "flight_id BIGINT, frame_id BIGINT")
     got = {r.frame_id: (r.is_keyframe, r.kf_seq) for r in T.keyframe_sampling(df, skip=2, block=5).collect()}
     assert got == {f: (i % 3 == 0, i // 3) for i, f in enumerate(ids)}
+
+
+def test_tracks_are_not_shuffled_for_the_sizes_of_their_keyframes(spark):
+    rows = [(1, kf, 6 * kf, t, float(37 * t % 1280), float(91 * t % 720), 1.0, 0.0) for kf in range(3) for t in range(300)]
+    df = spark.createDataFrame(rows, "flight_id long, kf_seq long, frame_id long, track_id long, cx double, cy double, vx double, vy double")
+    df = df.crossJoin(spark.range(1 << 20).filter("id = 5")).drop("id")  # Spark takes these tracks for large
+    shuffles = lambda f: f._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(flight_id")
+    extents = sized(T.keyframe_extents(df))
+    assert extents.select("_n", "_held").distinct().collect() == [(300, 300)]
+    given = T.knn_features(df, extents=extents)
+    assert shuffles(given) < shuffles(T.knn_features(df))
+    assert sorted(given.collect()) == sorted(T.knn_features(df).collect())
