@@ -1,10 +1,12 @@
 """Class-based bigram language model with classes from exchange clustering.
 
-Words above a share of the corpus are units of their own, the others share units by their ending and
-length, so there are at most ``1 / UNIT_RATE + ENDINGS + 1`` units whatever the corpus. Exchange
-clustering moves units between classes wherever that raises the likelihood of the class bigrams. The
-probability of a word is that of its class after the previous word's class, times that of its unit in
-the class, times that of the word in its unit, each smoothed.
+Words above a share of the corpus are units of their own, the others begin in units shared by their
+ending and length, so there are at most ``1 / UNIT_RATE + ENDINGS + 1`` units whatever the corpus.
+Exchange clustering moves units between classes wherever that raises the likelihood of the class
+bigrams. Then every rare word, however many there are, is moved on its own by the same rule: its
+contexts by class are counted in the texts, and the words are dealt over tasks. Only words that no
+learnt text holds stay in the class of their unit. The probability of a word is that of its class after
+the previous word's class, times that of the word in its class, each smoothed.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import stage
+from .store import discard, free_shuffles, stage
 
 UNIT_RATE = 1e-4
 ENDINGS = 1024
@@ -34,6 +36,8 @@ CHUNK_BYTES = 32_000_000
 _FLUSH_BYTES, _SLICE = 4_000_000, 1_000_000
 #: Groups in which units look for their classes.
 _BUCKETS = 64
+#: Rare words that one task moves, and how many of them at once.
+_RARE_WORDS, _AT_ONCE = 100_000, 2048
 #: Stands for the end of a text; no word holds a line break.
 END = b"\n"
 
@@ -142,7 +146,10 @@ def count_units(vocab: DataFrame, rate: float = UNIT_RATE) -> Units:
 
 
 def resolve(words: DataFrame, vocab: DataFrame, units: Units) -> DataFrame:
-    """Per chunk one row with the count and unit of each dictionary entry, in order of place."""
+    """Per chunk one row with the count, unit and rare word's number of each dictionary entry, in order of place.
+
+    The number (``ids``) is -1 for frequent words, the end and words that no learnt text holds.
+    """
     spark = words.sparkSession
     table = pd.DataFrame({"word": units.frequent, "unit": np.arange(len(units.frequent), dtype=np.int32)})
     named = spark.createDataFrame(table, "word binary, unit int")
@@ -152,15 +159,16 @@ def resolve(words: DataFrame, vocab: DataFrame, units: Units) -> DataFrame:
         F.when(F.col("word") == F.lit(END), F.lit(units.end)).otherwise(
             F.coalesce("unit", F.lit(units.rare) + _ending(F.col("word")))
         ).cast("int").alias("unit"),
-    )
+        F.when((F.col("word") != F.lit(END)) & F.col("unit").isNull(), F.col("id")).alias("id"),
+    ).withColumn("id", F.coalesce("id", F.lit(-1)))
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         n = len(rows)
-        c, unit = np.zeros(n, np.int64), np.zeros(n, np.int32)
-        c[rows["idx"]], unit[rows["idx"]] = rows["c"], rows["unit"]
-        return pd.DataFrame({"uid": [rows["uid"].iloc[0]], "c": [c.tobytes()], "unit": [unit.tobytes()]})
+        c, unit, ids = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int64)
+        c[rows["idx"]], unit[rows["idx"]], ids[rows["idx"]] = rows["c"], rows["unit"], rows["id"]
+        return pd.DataFrame({"uid": [rows["uid"].iloc[0]], "c": [c.tobytes()], "unit": [unit.tobytes()], "ids": [ids.tobytes()]})
 
-    return found.groupBy("uid").applyInPandas(work, "uid long, c binary, unit binary")
+    return found.groupBy("uid").applyInPandas(work, "uid long, c binary, unit binary, ids binary")
 
 
 def unit_bigrams(texts: DataFrame, dictionaries: DataFrame, units: Units) -> DataFrame:
@@ -285,35 +293,221 @@ def exchange(bigrams: DataFrame, units: Units, k: int = CLASSES, rounds: int = R
             value = likelihood(table)
             if value > best[0]:
                 best = (value, classes, table)
+    discard(ways)
     return best[1], best[2]
 
 
+def best_classes(
+    right: np.ndarray, left: np.ndarray, self_n: np.ndarray, own: np.ndarray, table: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """``best_class`` of many words, each a row of ``right`` and ``left``, at a cost by their contexts."""
+    every, gain = np.arange(len(own)), np.zeros(right.shape)
+    for near, far, counts in ((right, left, table), (left, right, table.T)):
+        w, j = np.nonzero(near)
+        if not len(w):
+            continue
+        x, o = near[w, j], own[w]
+        base = counts.T[j]  # what each class has with the context, without the word
+        base[np.arange(len(w)), o] -= x
+        same = np.flatnonzero(j == o)
+        base[same] -= far[w[same]]
+        base[same, o[same]] -= self_n[w[same]]
+        starts = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[starts]] += np.add.reduceat(_g(base + x[:, None]) - _g(base), starts, axis=0)
+    s = self_n[:, None]
+    d = np.repeat(np.diag(table)[None, :], len(own), axis=0)
+    d[every, own] -= right[every, own] + left[every, own] + self_n
+    gain += _g(d + right + left + s) - _g(d + right) - _g(d + left) + _g(d)
+    for near, total in ((right, table.sum(1)), (left, table.sum(0))):
+        n = near.sum(1) + self_n
+        rest = np.repeat(total[None, :], len(own), axis=0)
+        rest[every, own] -= n
+        gain -= _g(rest + n[:, None]) - _g(rest)
+    to = gain.argmax(1)
+    return to, gain[every, to] - gain[every, own]
+
+
+def survey(texts: DataFrame, placed: DataFrame, buckets: int, half: int, k: int = CLASSES) -> DataFrame:
+    """Class bigrams of learnt texts, and the contexts by class of the rare words of one ``half`` (by number).
+
+    ``placed(uid, ids, cls)`` are dictionaries with the class of each entry. Rows of bucket -1 hold a
+    chunk's k x k counts (``n``). The others hold, for a chunk and bucket, places, numbers and classes
+    of entries, how many contexts each has (none in a chunk that holds the word in other texts only),
+    and these: the class after, k + the class before, or 2 k for the word itself, with a count.
+    """
+    columns, wide = ["bucket", "uid", "idx", "id", "cls", "held", "key", "n"], 2 * k + 1
+
+    def work(docs: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        if not len(entries):
+            return pd.DataFrame([], columns=columns)
+        uid = int(entries["uid"].iloc[0])
+        ids, cls = np.frombuffer(entries["ids"].iloc[0], np.int64), np.frombuffer(entries["cls"].iloc[0], np.int16).astype(np.int64)
+        asked = (ids >= 0) & (ids % 2 == half)
+        table, found = np.zeros(k * k, np.int64), []
+        stream, held = [np.zeros(1, np.int32)], 1
+        for at, codes in enumerate(docs["codes"], 1):
+            own = np.append(np.frombuffer(codes, np.int32), np.int32(0))
+            stream.append(own)
+            held += len(own)
+            if held > _SLICE or at == len(docs):
+                seq = np.concatenate(stream)
+                a, b = seq[:-1], seq[1:]
+                table += np.bincount(cls[a] * k + cls[b], minlength=k * k)
+                after, before = asked[a], asked[b] & (a != b)
+                keys = [
+                    a[after].astype(np.int64) * wide + np.where(a[after] == b[after], 2 * k, cls[b[after]]),
+                    b[before].astype(np.int64) * wide + k + cls[a[before]],
+                ]
+                found.append(np.unique(np.concatenate(keys), return_counts=True))
+                stream, held = [np.zeros(1, np.int32)], 1
+        key = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.int64)
+        n = np.concatenate([x[1] for x in found]) if found else np.zeros(0, np.int64)
+        if len(found) > 1:
+            key, at = np.unique(key, return_inverse=True)
+            n = np.bincount(at, n, minlength=len(key)).astype(np.int64)
+        entry = np.flatnonzero(asked)
+        bucket = ids[entry] // 2 % buckets
+        order = np.argsort(bucket, kind="stable")
+        entry, bucket = entry[order], bucket[order]
+        rank = np.zeros(len(ids), np.int64)
+        rank[entry] = np.arange(len(entry))
+        by = np.argsort(rank[key // wide], kind="stable")
+        sizes = np.bincount(rank[key // wide], minlength=len(entry)) if len(entry) else np.zeros(0, np.int64)
+        context, n = (key[by] % wide).astype(np.int16), n[by].astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        out = [(-1, uid, b"", b"", b"", b"", b"", table.tobytes())]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(entry))):
+            e, c = entry[lo:hi], slice(ends[lo], ends[hi])
+            out.append((
+                int(bucket[lo]), uid, e.astype(np.int32).tobytes(), ids[e].tobytes(), cls[e].astype(np.int16).tobytes(),
+                sizes[lo:hi].astype(np.int32).tobytes(), context[c].tobytes(), n[c].tobytes(),
+            ))
+        return pd.DataFrame(out, columns=columns)
+
+    return texts.where("learn").select("uid", "codes").groupBy("uid").cogroup(placed.groupBy("uid")).applyInPandas(
+        work, "bucket int, uid long, idx binary, id binary, cls binary, held binary, key binary, n binary"
+    )
+
+
+def _rare_mover(table: np.ndarray, k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Classes of a bucket's rare words, by chunk and place; a row without ``uid`` counts words by class, before and after."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        joined = lambda c, kind: np.frombuffer(b"".join(rows[c]), kind)
+        words, at = np.unique(joined("id", np.int64), return_inverse=True)
+        own = np.zeros(len(words), np.int64)
+        own[at] = joined("cls", np.int16)
+        of, key, n = np.repeat(at, joined("held", np.int32)), joined("key", np.int16), joined("n", np.int32)
+        by = np.argsort(of, kind="stable")
+        of, key, n = of[by], key[by], n[by]
+        new = own.copy()
+        for lo in range(0, len(words), _AT_ONCE):
+            hi = min(lo + _AT_ONCE, len(words))
+            a, b = np.searchsorted(of, [lo, hi])
+            m = np.bincount((of[a:b] - lo) * (2 * k + 1) + key[a:b], n[a:b], minlength=(hi - lo) * (2 * k + 1)).reshape(hi - lo, -1)
+            to, gain = best_classes(m[:, :k], m[:, k : 2 * k], m[:, 2 * k], own[lo:hi], table)
+            new[lo:hi] = np.where(gain > 1e-9, to, own[lo:hi])
+        placed = new[at].astype(np.int16)
+        ends = np.cumsum([len(x) // 4 for x in rows["idx"]])
+        kinds = np.concatenate([np.bincount(x, minlength=k) for x in (own, new)])
+        return pd.DataFrame({
+            "uid": pd.Series([*rows["uid"], None], dtype="Int64"), "idx": [*rows["idx"], b""],
+            "cls": [*(x.tobytes() for x in np.split(placed, ends[:-1])), kinds.astype(np.int64).tobytes()],
+        })
+
+    return work
+
+
+def place_words(
+    texts: DataFrame, dictionaries: DataFrame, units: Units, classes: np.ndarray, table: np.ndarray, k: int = CLASSES
+) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Dictionaries with the class of each entry (``cls``), the class table and the rare words by class.
+
+    Rare words begin in the class of their unit. Each half of them moves once, every word to the class
+    that raises the likelihood most against the table of the turn's start; a turn that lowers the
+    likelihood as a whole is taken back, as in ``exchange``.
+    """
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"uid": b["uid"], "cls": [classes[np.frombuffer(u, np.int32)].astype(np.int16).tobytes() for u in b["unit"]]})
+
+    def moved(entries: pd.DataFrame, moves: pd.DataFrame) -> pd.DataFrame:
+        if not len(entries):
+            return pd.DataFrame({"uid": [], "cls": []})
+        cls = np.frombuffer(entries["cls"].iloc[0], np.int16).copy()
+        for idx, c in zip(moves["idx"], moves["cls"]):
+            cls[np.frombuffer(idx, np.int32)] = np.frombuffer(c, np.int16)
+        return pd.DataFrame({"uid": entries["uid"], "cls": [cls.tobytes()]})
+
+    buckets = int(units.kinds[units.rare :].sum()) // (2 * _RARE_WORDS) + 1
+    at = stage(dictionaries.select("uid", "unit").mapInPandas(first, "uid long, cls binary"), "placed")
+    with_class = lambda at: dictionaries.join(at, "uid")
+    kinds = np.zeros(k, np.int64)
+
+    def counted(seen: DataFrame) -> np.ndarray:
+        out = np.zeros(k * k, np.int64)
+        for (n,) in seen.where("bucket = -1").select("n").toLocalIterator():
+            out += np.frombuffer(n, np.int64)
+        return out.reshape(k, k).astype(float)
+
+    seen = stage(survey(texts, with_class(at).select("uid", "ids", "cls"), buckets, 0, k), "survey")
+    for half in (0, 1):
+        moves = stage(seen.where("bucket >= 0").groupBy("bucket").applyInPandas(_rare_mover(table, k), "uid long, idx binary, cls binary"), "moves")
+        own = np.zeros((2, k), np.int64)
+        for (x,) in moves.where("uid is null").select("cls").toLocalIterator():
+            own += np.frombuffer(x, np.int64).reshape(2, k)
+        after = stage(
+            at.groupBy("uid").cogroup(moves.where("uid is not null").groupBy("uid")).applyInPandas(moved, "uid long, cls binary"), "placed"
+        )
+        discard(seen, moves)
+        free_shuffles(texts.sparkSession)
+        # The other half is asked for with the classes as they are now, which the next turn takes as its start.
+        seen = stage(survey(texts, with_class(after).select("uid", "ids", "cls"), buckets, 1 - half, k), "survey")
+        value = counted(seen)
+        if likelihood(value) >= likelihood(table):
+            at, table, kinds = after, value, kinds + own[1]
+        else:
+            kinds = kinds + own[0]
+            if half == 0:
+                seen = stage(survey(texts, with_class(at).select("uid", "ids", "cls"), buckets, 1, k), "survey")
+    discard(seen)
+    return with_class(at), table, kinds
+
+
 @dataclass(frozen=True)
 class ClassModel:
-    """Smoothed log10 probabilities."""
+    """Smoothed log10 probabilities; ``mass`` is what the words of each class share."""
 
     units: Units
     classes: np.ndarray
     transition: np.ndarray
-    emission: np.ndarray
+    mass: np.ndarray
+
+    def words(self, c: np.ndarray, unit: np.ndarray, cls: np.ndarray | None = None) -> np.ndarray:
+        """log10 P(word | its class) for words of count ``c``; all unseen words of a unit are one event.
 
-    def words(self, c: np.ndarray, unit: np.ndarray) -> np.ndarray:
-        """log10 P(word | its class) for words of count ``c``; all unseen words of a unit are one event."""
-        n, kinds = self.units.count[unit].astype(float), self.units.kinds[unit]
+        Without ``cls`` words are in the class of their unit.
+        """
         rare = unit >= self.units.rare
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = np.where(c > 0, c - DISCOUNT, DISCOUNT * kinds) / n
-        inner = np.where(rare & (n > 0), seen, 1.0)
-        return self.emission[unit] + np.log10(np.maximum(inner, 1e-12))
+        part = np.where(
+            rare, np.where(c > 0, c - DISCOUNT, DISCOUNT * self.units.kinds[unit] + 0.5), self.units.count[unit] + 0.5
+        )
+        return np.log10(part) - np.log10(self.mass[self.classes[unit] if cls is None else cls])
 
 
-def smooth(units: Units, classes: np.ndarray, table: np.ndarray) -> ClassModel:
-    k = len(table)
+def smooth(units: Units, classes: np.ndarray, table: np.ndarray, rare: tuple[np.ndarray, np.ndarray] | None = None) -> ClassModel:
+    """The model; ``rare`` gives tokens and words by class of the rare words, which else are in their units' classes."""
+    k, n = len(table), units.rare
     share = (table.sum(0) + 1) / (table.sum() + k)
     transition = (table + PRIOR * share) / (table.sum(1, keepdims=True) + PRIOR)
-    own = np.bincount(classes, units.count + 0.5, minlength=k)
-    emission = (units.count + 0.5) / own[classes]
-    return ClassModel(units, classes, np.log10(transition), np.log10(emission))
+    if rare is None:
+        rare = tuple(np.bincount(classes[n:], x[n:], minlength=k) for x in (units.count, units.kinds))
+    mass = np.bincount(classes[:n], units.count[:n] + 0.5, minlength=k)
+    mass += np.bincount(classes[n:], DISCOUNT * units.kinds[n:] + 0.5, minlength=k)
+    mass += rare[0] - DISCOUNT * rare[1]
+    return ClassModel(units, classes, np.log10(transition), mass)
 
 
 def _score(texts: DataFrame, dictionaries: DataFrame, model: ClassModel) -> DataFrame:
@@ -325,7 +519,8 @@ def _score(texts: DataFrame, dictionaries: DataFrame, model: ClassModel) -> Data
             return pd.DataFrame({"doc_id": [], "learn": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
         c = np.frombuffer(entries["c"].iloc[0], np.int64)
         unit = np.frombuffer(entries["unit"].iloc[0], np.int32)
-        cls, word = model.classes[unit], model.words(c, unit)
+        cls = np.frombuffer(entries["cls"].iloc[0], np.int16).astype(np.int64)
+        word = model.words(c, unit, cls)
         base, known = np.log10((c + 1) / spread), (c > 0).astype(np.int64)
         out = []
         for doc, learn, codes in zip(docs["doc_id"].astype("Int64"), docs["learn"], docs["codes"]):
@@ -356,14 +551,20 @@ def score_documents(
     in the base. Null and empty texts are an end alone. Repeated rows each count and come back; an
     empty table gives no rows; without learnt documents all counts are zero. Other columns are not
     read. Only dictionaries are joined by word, never single tokens, so a frequent word is one row
-    per chunk of ``CHUNK_BYTES``.
+    per chunk of ``CHUNK_BYTES``. Every learnt word has a class of its own choice.
     """
     chosen = F.coalesce(learn(F.col(id_col).cast("long")), F.lit(True))
     coded = stage(encode(docs, chosen, id_col, text_col), "coded")
     texts, words = coded.where(F.col("codes").isNotNull()), coded.where(F.col("word").isNotNull())
-    vocab = stage(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "vocab")
+    vocab = stage(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")).withColumn("id", F.monotonically_increasing_id()), "vocab")
     units = count_units(vocab, rate)
     dictionaries = stage(resolve(words, vocab, units), "dictionaries")
     bigrams = stage(unit_bigrams(texts, dictionaries, units), "bigrams")
-    model = smooth(units, *exchange(bigrams, units, classes, rounds))
-    return _score(texts, dictionaries, model).withColumn("train_tokens", F.lit(units.tokens).cast("long"))
+    unit_classes, table = exchange(bigrams, units, classes, rounds)
+    discard(bigrams)
+    free_shuffles(docs.sparkSession)
+    placed, table, kinds = place_words(texts, dictionaries, units, unit_classes, table, classes)
+    n = units.rare
+    tokens = table.sum(0) - np.bincount(unit_classes[:n], units.count[:n], minlength=classes)
+    model = smooth(units, unit_classes, table, (tokens, kinds))
+    return _score(texts, placed, model).withColumn("train_tokens", F.lit(units.tokens).cast("long"))

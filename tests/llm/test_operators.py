@@ -220,6 +220,37 @@ def test_exchange_gain_is_the_change_of_likelihood():
         assert np.isclose(gain, max(moved)) and np.isclose(moved[to], gain)
 
 
+def test_best_classes_agree_with_one_at_a_time():
+    rng = np.random.default_rng(5)
+    k, m = 4, 30
+    n = rng.integers(0, 3, (m, m)).astype(float)
+    cls = rng.integers(0, k, m)
+    table = np.zeros((k, k))
+    np.add.at(table, (cls[:, None], cls[None, :]), n)
+    rest = ~np.eye(m, dtype=bool)
+    right = np.stack([np.bincount(cls[rest[u]], n[u, rest[u]], minlength=k) for u in range(m)])
+    left = np.stack([np.bincount(cls[rest[u]], n[rest[u], u], minlength=k) for u in range(m)])
+    right[:3], left[2:4] = 0, 0
+    to, gain = brown.best_classes(right, left, n.diagonal().copy(), cls, table)
+    for u in range(m):
+        want = brown.best_class(right[u], left[u], n[u, u], int(cls[u]), table)
+        assert to[u] == want[0] and np.isclose(gain[u], want[1])
+
+
+def test_rare_words_have_classes_of_their_own(spark):
+    """Two words of one ending, length and count: texts that tell them apart by context are not scored alike."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(60):
+        texts.append(" ".join(f"the {rng.choice(['red', 'blue'])} mapxo the {rng.choice(['red', 'blue'])}" for _ in range(3)))
+        texts.append(" ".join(f"we {rng.choice(['run', 'go'])} solxo we {rng.choice(['run', 'go'])}" for _ in range(3)))
+    texts += ["the red mapxo the blue", "the red solxo the blue", "we run solxo we go", "we run mapxo we go"]
+    docs = frame(spark, texts)
+    learn = lambda i: i < 120
+    got = {r.doc_id: r.score for r in brown.score_documents(docs, learn, classes=4, rate=0.11).collect()}
+    assert got[120] > got[121] + 0.1 and got[122] > got[123] + 0.1
+
+
 def test_model_probabilities_sum_to_one():
     units = brown.Units([b"a", b"b"], np.array([5, 3, 2, 7, 0]), np.array([1, 1, 1, 3, 0]), 17, 6)
     model = brown.smooth(units, np.array([0, 1, 0, 1, 1]), np.array([[4.0, 2.0], [3.0, 8.0]]))
