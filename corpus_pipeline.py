@@ -36,7 +36,10 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the smallest id, null last, then the first row."""
+    """One row of each group of near copies: the smallest id, null last, then the first row.
+
+    Groups come from the SimHash search, with an exact check, and from buckets for what it does not reach.
+    """
     # The number of a row follows from its file and place in it, the same in every reading of ``docs``.
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
     groups = simhash.near_duplicates(numbered, id_col=ROW).select(F.col("doc_id").alias(ROW), "keeper")

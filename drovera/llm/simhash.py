@@ -10,7 +10,8 @@ Buckets above ``DENSE`` members never meet pairwise. There a member is listed un
 differs from it by one bit or none outside the part: two members are within two bits exactly if they
 share such a value, and at most 65 distinct fingerprints share one.
 
-``near_duplicates`` decides by the shingle sets themselves and finds candidates by their least digests.
+``near_duplicates`` finds candidates by this search and decides by the shingle sets themselves; similar sets
+whose fingerprints lie further apart are found by their least digests.
 """
 
 from __future__ import annotations
@@ -299,7 +300,7 @@ def _minima(digests: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, ngram: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, k1, k2, shingles, buckets)``: the set of shingle digests, 128 bits of it, its buckets.
+    """``(doc_id, k1, k2, fp, shingles, buckets)``: the set of shingle digests, 128 bits of it, its fingerprint, its buckets.
 
     Two sets share a given bucket with the chance ``J ** ROWS`` of their Jaccard similarity J,
     whatever the edit that lies between their texts.
@@ -315,10 +316,12 @@ def shingle_sets(docs: DataFrame, ngram: int, id_col: str = "doc_id", text_col:
                 bands = [(_minima(x) * _ODD).reshape(BANDS, ROWS).sum(axis=1).view(np.int64) if len(x) else np.empty(0, np.int64) for x in sets]
                 yield pd.DataFrame({
                     "doc_id": b["doc_id"].astype("Int64").to_numpy(object, na_value=None), "k1": [int(k[0]) for k in keys],
-                    "k2": [int(k[1]) for k in keys], "shingles": [x.view(np.int64) for x in sets], "buckets": bands,
+                    "k2": [int(k[1]) for k in keys],
+                    "fp": [int(np.packbits(majority_bits(x.astype(">u8").tobytes())).view(">i8")[0]) for x in sets],
+                    "shingles": [x.view(np.int64) for x in sets], "buckets": bands,
                 })
 
-    return rows.mapInPandas(work, "doc_id long, k1 long, k2 long, shingles array<long>, buckets array<long>")
+    return rows.mapInPandas(work, "doc_id long, k1 long, k2 long, fp long, shingles array<long>, buckets array<long>")
 
 
 def _similar(a: str, b: str, similarity: float) -> str:
@@ -331,40 +334,77 @@ def _similar(a: str, b: str, similarity: float) -> str:
     )
 
 
-def link_similar(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` whose ``sets(node, shingles)`` are similar; sets without a pair are not shuffled."""
+    pairs = stage(pairs, "pairs")
+    met = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
+    sets = sets.join(met, "node", "left_semi")
+    return (
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        .where(_similar("x", "y", similarity)).select("a", "b")
+    )
+
+
+def link_close(prints: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``prints(node, fp)`` to links ``(a, b)`` of similar sets whose fingerprints are within two bits.
+
+    Each fingerprint has a head, its smallest node. Nodes meet the head of their own fingerprint, and
+    heads meet along the links of the search; each link is checked on the whole sets.
+    """
+    heads = stage(prints.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    close = link_fingerprints(heads.select("fp")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across = close.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(
+        heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b"
+    ).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = prints.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return stage(_checked(across.unionAll(same), sets, similarity), "close")
+
+
+def link_similar(nodes: DataFrame, sets: DataFrame, similarity: float, close: DataFrame) -> DataFrame:
     """``nodes(node, buckets)`` and their ``sets(node, shingles)`` to links ``(a, b)`` of similar sets.
 
     Links connect all sets of this similarity that share a bucket; each link is checked on the whole
-    sets. First every member meets one head of its bucket. Members that hang together need not meet,
-    so the rest of the search is pairs of different groups in buckets that hold several.
+    sets. ``close`` are links known before. First every member meets one head of its bucket. Members that
+    hang together need not meet, so the rest of the search is pairs of different groups in buckets that
+    hold several. What is needed of ``sets`` is copied, then the stage they come from is deleted.
     """
+    known = stage(connected_components(close), "known")
     listed = nodes.select("node", F.explode(F.array_distinct("buckets")).alias("bucket"))
     heads = listed.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("head")).where("n > 1")
     shared = stage(listed.join(heads.select("bucket", "head"), "bucket"), "shared")
-    own = stage(sets.join(shared.select("node").distinct(), "node", "left_semi"), "sets")
     free_shuffles(sets.sparkSession)
+    own = stage(sets.join(shared.select("node").distinct(), "node", "left_semi"), "sets")
+    spark = sets.sparkSession
+    discard(sets)
+    free_shuffles(spark)
     met = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    first = stage(
-        met.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        .where(_similar("x", "y", similarity)).select("a", "b"),
-        "links",
+    apart = (
+        met.join(known.select(F.col("node").alias("a"), F.col("root").alias("p")), "a", "left")
+        .join(known.select(F.col("node").alias("b"), F.col("root").alias("q")), "b", "left")
+        .where("not coalesce(p = q, false)").select("a", "b")
     )
-    free_shuffles(sets.sparkSession)
+    first = stage(_checked(apart, own, similarity), "links").unionAll(close)
+    free_shuffles(spark)
     labelled = stage(
         shared.select("bucket", "node").join(connected_components(first), "node", "left")
         .select("bucket", "node", F.coalesce("root", "node").alias("root")),
         "labelled",
     )
+    discard(shared)
+    free_shuffles(spark)
     mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     rest = stage(labelled.join(mixed.select("bucket"), "bucket", "left_semi").join(own, "node"), "rest")
-    discard(shared, labelled, own)
-    free_shuffles(sets.sparkSession)
-    second = (
+    discard(labelled, own)
+    free_shuffles(spark)
+    second = stage(
         rest.alias("p").join(rest.alias("i"), F.expr(
             "p.bucket = i.bucket and p.root < i.root and " + _similar("p.shingles", "i.shingles", similarity)
-        )).select(F.col("p.node").alias("a"), F.col("i.node").alias("b"))
+        )).select(F.col("p.node").alias("a"), F.col("i.node").alias("b")),
+        "links",
     )
+    discard(rest)
+    free_shuffles(spark)
     return first.unionAll(second)
 
 
@@ -374,18 +414,23 @@ def near_duplicates(
     """One row ``(doc_id, keeper)`` per document; ``keeper`` is the smallest id of its group.
 
     Documents are linked when the sets of their ``ngram``-word shingles have a Jaccard similarity of
-    ``similarity`` or more; groups are what links connect. A pair at 0.8 shares no bucket, and so is
-    missed, about 8 times in a million. Texts of fewer words are linked when their words are the
+    ``similarity`` or more; groups are what links connect. Candidates are sets whose SimHash fingerprints
+    are within two bits; those that lie further apart, as after block edits, share a bucket of least
+    digests. A pair at 0.8 shares none about 8 times in a million. Texts of fewer words are linked when their words are the
     same, texts without words with each other. Null ids are never keepers unless a group has no
     other. Repeated rows each come back; an empty table gives no rows; other columns are not read.
     """
     prints = stage(shingle_sets(docs, ngram, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sets")
-    nodes = stage(prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.min("row").alias("node")), "nodes")
+    nodes = stage(prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.min("row").alias("node"), F.min("fp").alias("fp")), "nodes")
+    # The sets are deleted once the search has copied what it needs.
+    keys = stage(prints.select("doc_id", "k1", "k2"), "keys")
     named = prints.select(F.col("row").alias("node"), "buckets").join(nodes.select("node"), "node", "left_semi")
     sets = prints.select(F.col("row").alias("node"), "shingles")
-    roots = connected_components(link_similar(named, sets, similarity))
+    close = link_close(nodes.select("node", "fp"), sets, similarity)
+    free_shuffles(docs.sparkSession)
+    roots = connected_components(link_similar(named, sets, similarity, close))
     classes = nodes.join(roots, "node", "left").select("k1", "k2", "low", F.coalesce("root", "node").alias("root"))
     lowest = classes.groupBy("root").agg(F.min("low").alias("keeper"))
-    return prints.select("doc_id", "k1", "k2").join(
+    return keys.join(
         classes.join(lowest, "root").select("k1", "k2", "keeper"), ["k1", "k2"]
     ).select("doc_id", "keeper")

@@ -161,6 +161,24 @@ def test_near_duplicates_find_similar_texts(spark):
     assert sum(got[i] != want[i] for i in want) == 0
 
 
+def test_near_duplicates_are_found_by_fingerprint(spark, monkeypatch):
+    """Without any bucket the SimHash search alone finds near copies, and the sets decide."""
+    whole = simhash.shingle_sets
+    rng = random.Random(12)
+    texts = [prose(rng, 250, 5000) for _ in range(40)]
+    texts += [" ".join([*t.split(), "end"]) for t in texts]
+    texts += [" ".join([*texts[0].split(), f"e{k}"]) for k in range(100)]
+    prints = [simhash.majority_bits(simhash.shingle_digests(t.encode(), 5, distinct=True)) for t in texts]
+    near = [i for i in range(40) if (prints[i] != prints[40 + i]).sum() <= 2]
+    assert len(near) > 10
+    monkeypatch.setattr(simhash, "shingle_sets", lambda *a: whole(*a).withColumn("buckets", F.array().cast("array<long>")))
+    got = dict(simhash.near_duplicates(frame(spark, texts)).collect())
+    assert all(got[40 + i] == got[i] == i for i in near) and all(got[i] == i for i in range(40))
+    monkeypatch.setattr(simhash, "shingle_sets", lambda *a: whole(*a).withColumns({"buckets": F.array().cast("array<long>"), "fp": F.lit(5).cast("long")}))
+    got = dict(simhash.near_duplicates(frame(spark, texts[:40])).collect())
+    assert got == {i: i for i in range(40)}
+
+
 def test_near_duplicates_with_passages_near_the_limit(spark):
     """Passages put in or taken out: shingle similarity 400/499 or 400/500 is a near copy, 400/501 is none."""
     texts = []
