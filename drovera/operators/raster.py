@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import constants as C
 from ..session import spread
+from . import runs
 from .tiles import TILE, tile_of, with_meta
 
 #: Grid cells that one task of a mosaic makes, about.
 GRID_CELLS = 4_000_000
+#: Rows whose spans are cut together.
+SLICE = 2_500
 
 
 def raster_profile(
@@ -342,6 +348,35 @@ def pad_raster(
                         F.col("col").cast("int").alias("col"), "elev", "nodata").unionByName(border)
 
 
+def _cell_cuts(batch: pa.RecordBatch, of: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs ``(span, first, last, row, col)`` of spans; ``of`` is the row of the batch with their affine columns."""
+    real = lambda n: batch.column(n).fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)[of]
+    a, b, c, d, e, f = (real(n) for n in "abcdef")
+    fa, fb, fc, fd, fe, ff = (real(f"aff_{k}") for k in "abcdef")
+    py = y + 0.5
+    with np.errstate(all="ignore"):
+        det = a * e - b * d
+
+        def cell_at(px: float) -> tuple[np.ndarray, np.ndarray]:
+            lon, lat = fa * px + fb * py + fc, fd * px + fe * py + ff
+            return (e * (lon - c) - b * (lat - f)) / det, (a * (lat - f) - d * (lon - c)) / det
+
+        # along one image row the cell coordinates are linear in x: start + slope * x
+        (cs, rs), (c1, r1) = cell_at(0.5), cell_at(1.5)
+        known = _known(batch, [*"abcdef", *(f"aff_{k}" for k in "abcdef")])[of]
+        cs, ck, rs, rk = (np.where(known, v, 0.0) for v in (cs, c1 - cs, rs, r1 - rs))
+        span, first, last = runs.cut_at_cells(x0, x1, ((cs, ck), (rs, rk)))
+        return span, first, last, runs.floored(rs[span] + rk[span] * first), runs.floored(cs[span] + ck[span] * first), known
+
+
+def _known(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    return np.logical_and.reduce([batch.column(n).is_valid().to_numpy(zero_copy_only=False) for n in names])
+
+
+def _whole(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def cell_runs(
     spans: DataFrame,
     dem_meta: DataFrame,
@@ -355,52 +390,93 @@ def cell_runs(
     One row per run of pixels inside a cell: ``frame keys y x0 x1 row col`` and the carried columns.
     Spans of frames without an affine stay whole, with no row and col.
     """
+    kept = [*frame, *keys, *carry, "y"]
     s = with_meta(spans, dem_meta, list("abcdef"), by=[*frame, "y"], keys=keys)
+    s = s.select(*kept, "x0", "x1", *"abcdef", *[f"aff_{k}" for k in "abcdef"])
+    out = s.select(
+        *kept, *[F.col(n).cast("int").alias(n) for n in ("x0", "x1")], *[F.lit(None).cast("bigint").alias(n) for n in ("row", "col")]
+    ).schema
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = _known(batch, ["y", "x0", "x1"])
+            ends = [np.where(given, _whole(batch, n), 0) for n in ("x0", "x1")]
+            span, first, last, row, col, known = _cell_cuts(batch, np.arange(batch.num_rows), _whole(batch, "y"), *ends)
+            at, there = pa.array(span), (known & given)[span]
+            whole = {n: batch.column(n).cast(pa.int32()).take(at) for n in ("x0", "x1")}
+            placed = lambda v: pa.array(v, mask=~there)
+            named = [pc.if_else(pa.array(there), pa.array(v.astype(np.int32)), whole[n]) for n, v in (("x0", first), ("x1", last))]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(n).take(at) for n in kept], *named, placed(row), placed(col)], [*kept, "x0", "x1", "row", "col"]
+            )
 
-    # along one image row the cell coordinates are linear in x: start + slope * x
-    def cell_at(x: Column) -> tuple[Column, Column]:
-        px, py = x + 0.5, F.col("y") + 0.5
-        lon = F.col("aff_a") * px + F.col("aff_b") * py + F.col("aff_c")
-        lat = F.col("aff_d") * px + F.col("aff_e") * py + F.col("aff_f")
-        return _invert(lon, lat)
-
-    (col0, row0), (col1, row1) = cell_at(F.lit(0)), cell_at(F.lit(1))
-    s = s.withColumns({"_cs": col0, "_ck": col1 - col0, "_rs": row0, "_rk": row1 - row0})
-
-    def cuts(start: str, step: str) -> Column:
-        """First pixels of the cells a row enters after its first one."""
-        at0 = F.floor(F.col(start) + F.col(step) * F.col("x0"))
-        at1 = F.floor(F.col(start) + F.col(step) * F.col("x1"))
-        lo, hi = F.least(at0, at1), F.greatest(at0, at1)
+    return s.mapInArrow(work, out)
 
-        def first(border: Column) -> Column:
-            x = (border - F.col(start)) / F.col(step)
-            return F.when(F.col(step) > 0, F.ceil(x)).otherwise(F.floor(x) + 1)
 
-        return F.when(hi > lo, F.transform(F.sequence(lo + 1, hi), first)).otherwise(
-            F.array().cast("array<bigint>")
-        )
+def cell_sums(
+    spans: DataFrame,
+    dem_meta: DataFrame,
+    *,
+    by: Sequence[str],
+    keys: Sequence[str] = ("dem_id",),
+    fence: str | None = None,
+    width: int = 0,
+    masks: Sequence[str] = (),
+    packed: str | None = None,
+) -> DataFrame:
+    """``cell_runs`` added up per ``by``, ``masks`` and cell: their pixels ``_n``, and ``_beyond`` the fence of their span.
 
-    x0, x1 = F.col("x0").cast("bigint"), F.col("x1").cast("bigint")
-    inner = F.filter(
-        F.concat(cuts("_cs", "_ck"), cuts("_rs", "_rk")), lambda x: (x > x0) & (x <= x1)
-    )
-    def stays(start: str, step: str) -> Column:
-        return F.floor(F.col(start) + F.col(step) * x0) == F.floor(F.col(start) + F.col(step) * x1)
-
-    # most spans lie in one cell, and those need no arithmetic on arrays
-    parted = F.when(
-        F.coalesce(stays("_cs", "_ck") & stays("_rs", "_rk"), F.lit(True)), F.array(x0)
-    ).otherwise(F.sort_array(F.array_distinct(F.concat(F.array(x0), inner))))
-    s = s.withColumn("_b", parted)
-    ends = F.concat(F.transform(F.slice("_b", 2, F.size("_b")), lambda x: x - 1), F.array(x1))
-    runs = s.withColumn("_e", ends).withColumn("_r", F.explode(F.arrays_zip("_b", "_e")))
-    return runs.select(
-        *frame, *keys, *carry, "y",
-        F.col("_r._b").cast("int").alias("x0"), F.col("_r._e").cast("int").alias("x1"),
-        F.floor(F.col("_rs") + F.col("_rk") * F.col("_r._b")).alias("row"),
-        F.floor(F.col("_cs") + F.col("_ck") * F.col("_r._b")).alias("col"),
-    )
+    Runs are cut and added up in the task that holds the spans, and only sums leave it; a group that goes on in another
+    batch has a row from each. ``fence`` names the pixel edges of ``geo.pixel_fence``, in rows of ``width`` pixels;
+    nothing is beyond where there is no fence or no affine. ``masks`` are flags of the spans. With ``packed``
+    a row holds many spans as ``runs.SPAN`` in that column, with the masks as bits, instead of ``y x0 x1`` and the masks.
+    """
+    named = [*by, *keys]
+    spread_by = by if packed else [*by, "y"]
+    s = with_meta(spans, dem_meta, list("abcdef"), by=spread_by, keys=keys)
+    own = [packed] if packed else ["y", "x0", "x1", *masks]
+    s = s.select(*named, *own, *"abcdef", *[f"aff_{k}" for k in "abcdef"], *([fence] if fence else []))
+    flags = [F.lit(None).cast("boolean").alias(n) for n in masks]
+    out = s.select(*named, *flags, *[F.lit(None).cast("bigint").alias(n) for n in ("row", "col", "_n", "_beyond")]).schema
+
+    def added(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if packed:
+            kept = [v or b"" for v in batch.column(packed).to_pylist()]
+            of = np.repeat(np.arange(len(kept)), [len(v) // runs.SPAN.itemsize for v in kept])
+            got = np.frombuffer(b"".join(kept), dtype=runs.SPAN)
+            y, x0, x1, on = (got[n].astype(np.int64) for n in ("y", "x0", "x1", "on"))
+        else:
+            of = np.arange(batch.num_rows)
+            y, x0, x1 = (_whole(batch, n) for n in ("y", "x0", "x1"))
+            on = np.zeros(batch.num_rows, dtype=np.int64)
+            for k, n in enumerate(masks):
+                on |= batch.column(n).fill_null(False).to_numpy(zero_copy_only=False).astype(np.int64) << k
+        span, first, last, row, col, known = _cell_cuts(batch, of, y, x0, x1)
+        there = known[span]
+        size = last - first + 1
+        beyond = np.zeros_like(size)
+        if fence:
+            fenced, *edges = runs.edges_of(batch.column(fence))
+            within = runs.inside_fence(span, first, last, y=y, of=of, edges=edges, width=width)
+            beyond = np.where(fenced[of][span] & there, size - within, 0)
+        group = runs.groups_of(batch, named)
+        head = np.nonzero(np.append(True, group[1:] != group[:-1]))[0]
+        columns = {"_g": pa.array(group[of[span]]), "_on": pa.array(on[span]), "row": pa.array(row, mask=~there), "col": pa.array(col, mask=~there)}
+        sums = pa.table(columns | {"_n": pa.array(size), "_beyond": pa.array(beyond)})
+        sums = sums.group_by([*columns], use_threads=False).aggregate([("_n", "sum"), ("_beyond", "sum")]).combine_chunks()
+        at, bits = pa.array(head[sums["_g"].to_numpy()]), sums["_on"].to_numpy()
+        of_row = lambda n: sums[n].combine_chunks()
+        made = [pa.array((bits >> k) & 1 == 1) for k in range(len(masks))]
+        parts = [*[batch.column(n).take(at) for n in named], *made, *[of_row(n) for n in ("row", "col", "_n_sum", "_beyond_sum")]]
+        return pa.RecordBatch.from_arrays(parts, out.names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # few enough at a time for the arrays of their runs
+            for at in range(0, batch.num_rows, SLICE):
+                yield added(batch.slice(at, SLICE))
+
+    return s.mapInArrow(work, out)
 
 
 def cell_layer_spans(

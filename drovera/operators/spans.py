@@ -8,19 +8,24 @@ of one image row, which the frame width bounds.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection, Mapping, Sequence
+from collections.abc import Callable, Collection, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import constants as C
 from ..session import spread
+from . import runs
 
 FRAME = ("flight_id", "frame_id")
 #: Image rows dealt together; a long has a bit for each.
 BAND = 64
+#: Rows of circles and spans that are drawn together.
+SLICE = 2_500
 WindowCols = Mapping[str, Column]
 
 
@@ -290,13 +295,13 @@ def _flag_sweep(
     )
 
 
-def _circle_events(
+def _dealt(
     boxes: DataFrame, layers: DataFrame, width: int, height: int, keys: Sequence[str], cx: str, cy: str,
     radius: str, names: Sequence[str], band: int,
 ) -> DataFrame:
-    """Events of circles, drawn after the shuffle, and of layer spans, by frame and band of rows."""
+    """Circles ``_x _y _r`` and layer spans ``y x0 x1`` by frame and band of rows, in as many rows as there are of them."""
     keys = list(keys)
-    r, x, y = F.col("_r"), F.col("_x"), F.col("_y")
+    r, y = F.col("_r"), F.col("_y")
     top, bottom = F.greatest(y - r, F.lit(0)), F.least(y + r, F.lit(height - 1))
     per_band = F.sequence(F.floor(top / band), F.floor(bottom / band))
     layer_cols = [f"_l_{n}" for n in names]
@@ -310,7 +315,19 @@ def _circle_events(
         *[(F.col("layer") == n).cast("int").alias(c) for n, c in zip(names, layer_cols)],
         *[F.lit(None).cast("int").alias(c) for c in ("_x", "_y", "_r")], "y", "x0", "x1",
     )
-    rows = spread(drawn.unionByName(given), *keys, "_band")
+    return spread(drawn.unionByName(given), *keys, "_band")
+
+
+def _circle_events(
+    boxes: DataFrame, layers: DataFrame, width: int, height: int, keys: Sequence[str], cx: str, cy: str,
+    radius: str, names: Sequence[str], band: int,
+) -> DataFrame:
+    """Events of circles, drawn after the shuffle, and of layer spans, by frame and band of rows."""
+    keys = list(keys)
+    r, x, y = F.col("_r"), F.col("_x"), F.col("_y")
+    top, bottom = F.greatest(y - r, F.lit(0)), F.least(y + r, F.lit(height - 1))
+    layer_cols = [f"_l_{n}" for n in names]
+    rows = _dealt(boxes, layers, width, height, keys, cx, cy, radius, names, band)
     first = F.greatest(top, F.col("_band") * band).cast("int")
     last = F.least(bottom, F.col("_band") * band + (band - 1)).cast("int")
 
@@ -377,19 +394,97 @@ def circle_segments(
     radius: str = "safety_radius_px",
     names: Sequence[str] = tuple(C.SEGMENT_LAYERS.values()),
     band: int = 64,
+    beside: DataFrame | None = None,
 ) -> DataFrame:
-    """What circles and layers cover, parted into disjoint runs ``keys _band y x0 x1 safe`` and a flag per layer.
+    """What circles and layers cover, parted into disjoint runs, one row per frame and band: ``keys _band segments``.
 
-    Rows are dealt by frame and band of ``band`` image rows, as ``frame_bands`` deals frames, so a
-    join with those needs no further shuffle.
+    ``segments`` holds ``runs.SPAN`` records whose bits are ``safe`` and then a bit per layer; ``segment_rows``
+    lists them. Circles and spans are dealt whole by frame and band of ``band`` image rows, as
+    ``frame_bands`` deals frames; a task sorts them, draws some thousand at a time and sweeps them as arrays.
+    ``beside`` has at most one row per frame and band, whose columns come along (null where it has none).
     """
-    events = _circle_events(boxes, layers, width, height, keys, cx, cy, radius, names, band)
-    seg = _segments(events, names, [*keys, "_band", "y"])
-    on = [F.col("_safe"), *[F.col(f"_l_{n}") for n in names]]
-    return seg.filter(reduce(Column.__or__, on)).select(
-        *keys, "_band", "y", F.col("x").cast("int").alias("x0"), (F.col("x") + F.col("_len") - 1).cast("int").alias("x1"),
-        F.col("_safe").alias("safe"), *[F.col(f"_l_{n}").alias(n) for n in names],
-    )
+    keys = list(keys)
+    rows = _dealt(boxes, layers, width, height, keys, cx, cy, radius, names, band)
+    by = [*keys, "_band"]
+    extra = [] if beside is None else [c for c in beside.columns if c not in by]
+    if beside is not None:
+        rows = rows.join(spread(beside, *by), by, "left")
+    rows = rows.sortWithinPartitions(*_selective_first(by))
+    on = reduce(Column.__add__, [F.col(c) * (1 << k) for k, c in enumerate(["_safe", *[f"_l_{n}" for n in names]])])
+    rows = rows.select(*by, *extra, on.cast("int").alias("_on"), "_x", "_y", "_r", "y", "x0", "x1")
+    out = rows.select(*by, *extra, F.lit(None).cast("binary").alias("segments")).schema
+    masks, head = 1 + len(names), [*by, *extra]
+
+    def laid(batch: pa.RecordBatch, group: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Spans ``(group, y, x0, x1, on)`` of a batch, circles drawn; a span in no image row is in row 0 of its own band."""
+        given = lambda n: batch.column(n).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        round_ = batch.column("_r").is_valid().to_numpy(zero_copy_only=False)
+        on, b = given("_on"), given("_band") * band
+        c = np.nonzero(round_)[0]
+        x, y, r = (given(n)[c] for n in ("_x", "_y", "_r"))
+        top, bottom = np.maximum(np.maximum(y - r, 0), b[c]), np.minimum(np.minimum(y + r, height - 1), b[c] + band - 1)
+        circle, at, x0, x1 = runs.drawn(x, y, r, top=top, bottom=bottom, width=width)
+        whole = np.logical_and.reduce([batch.column(n).is_valid().to_numpy(zero_copy_only=False) for n in ("x0", "x1")])
+        g = np.nonzero(~round_ & whole & (given("x0") <= given("x1")))[0]
+        own = np.concatenate([c[circle], g])
+        return (group[own], np.concatenate([at, given("y")[g]]), np.concatenate([x0, given("x0")[g]]),
+                np.concatenate([x1, given("x1")[g]]), on[own])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held = None, None  # the frame and band that may go on, and its spans so far, parted
+
+        def shown(named: pa.RecordBatch, got: tuple[np.ndarray, ...], rows_of: np.ndarray) -> pa.RecordBatch:
+            group, y, x0, x1, on = got
+            record = np.empty(len(group), dtype=runs.SPAN)
+            record["y"], record["x0"], record["x1"], record["on"] = y, x0, x1, on
+            counts = np.bincount(group, minlength=len(rows_of))
+            ends = np.cumsum(np.append(0, counts)).astype(np.int32) * runs.SPAN.itemsize
+            data = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(record.tobytes())])
+            at = pa.array(rows_of)
+            return pa.RecordBatch.from_arrays([*[named.column(n).take(at) for n in head], data], [*head, "segments"])
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                group = runs.groups_of(batch, by)
+                spans = laid(batch, group)
+                if first is not None:
+                    row = lambda b, i: [b.column(n)[i].as_py() for n in by]
+                    if row(first, 0) == row(batch, 0):
+                        spans = tuple(np.concatenate([h, s]) for h, s in zip(held, spans))
+                    else:
+                        yield shown(first, held, np.zeros(1, dtype=np.int64))
+                got = runs.parted(*spans, masks=masks)
+                last = group[-1]
+                done = got[0] < last
+                if last:
+                    heads = np.nonzero(np.append(True, group[1:] != group[:-1]))[0][:last]
+                    yield shown(batch, tuple(v[done] for v in got), heads)
+                first = batch.slice(batch.num_rows - 1)
+                held = (np.zeros(np.count_nonzero(~done), dtype=np.int64), *[v[~done] for v in got[1:]])
+        if first is not None:
+            yield shown(first, held, np.zeros(1, dtype=np.int64))
+
+    return rows.mapInArrow(work, out)
+
+
+def segment_rows(packed: DataFrame, *, names: Sequence[str] = tuple(C.SEGMENT_LAYERS.values())) -> DataFrame:
+    """The runs of ``circle_segments``, one row each: ``y x0 x1 safe`` and a flag per layer instead of ``segments``."""
+    rest = [c for c in packed.columns if c != "segments"]
+    flags = ["safe", *names]
+    longs = [F.lit(None).cast("int").alias(n) for n in ("y", "x0", "x1")]
+    out = packed.select(*rest, *longs, *[F.lit(None).cast("boolean").alias(n) for n in flags]).schema
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.column("segments").to_pylist()
+            at = pa.array(np.repeat(np.arange(len(kept)), [len(v) // runs.SPAN.itemsize for v in kept]))
+            got = np.frombuffer(b"".join(kept), dtype=runs.SPAN)
+            made = [pa.array(np.ascontiguousarray(got[n])) for n in ("y", "x0", "x1")]
+            made += [pa.array((got["on"] >> k) & 1 == 1) for k in range(len(flags))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n).take(at) for n in rest], *made], out.names)
+
+    return packed.mapInArrow(work, out)
 
 
 def frame_bands(frames: DataFrame, *, height: int = C.PROCESSING_SHAPE[1], band: int = 64) -> DataFrame:

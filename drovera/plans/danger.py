@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import alerts, geo, raster, spans, telemetry, tiles
-from ..session import cut, spread
+from ..session import cut, free, sized, spread
 from ..settings import Camera, HazardSettings
 
 POSE = ("latitude", "longitude", "rel_alt", "gb_yaw")
@@ -85,6 +86,20 @@ class Ground:
         carry = ["_in"] if self.ring is not None else []
         return raster.cell_runs(lines.withColumn("dem_id", F.lit(self.dem_id)), self.dem_meta, frame=by, carry=carry)
 
+    def _sums(self, lines: DataFrame, by: list[str], masks: Sequence[str] = ()) -> DataFrame:
+        """Pixels of lines, or of packed segments, per cell, and those beyond the fence."""
+        fence = "fence" if self.ring is not None else None
+        packed = "segments" if "segments" in lines.columns else None
+        lines = lines.withColumn("dem_id", F.lit(self.dem_id))
+        return raster.cell_sums(lines, self.dem_meta, by=by, masks=masks, packed=packed, fence=fence, width=self.width)
+
+    def _fenced(self, placed: DataFrame) -> DataFrame:
+        """Rows with an affine and the fence in its pixels, null where there is no affine."""
+        if self.ring is None:
+            return placed
+        moved = geo.pixel_fence(placed, ring=self.ring)
+        return moved.withColumn("fence", F.when(F.col("aff_a").isNotNull(), F.col("fence")))
+
     def _bits(self, cells: DataFrame) -> DataFrame:
         return tiles.sample_tiles(cells, self.tiles, values={"ground": F.lit(GROUND["nodata"]).cast("tinyint")})
 
@@ -108,24 +123,21 @@ class Ground:
             "*", F.explode(F.sequence(F.lit(0), F.lit(self.height - 1))).alias("y"),
             F.lit(0).alias("x0"), F.lit(self.width - 1).alias("x1"),
         )
-        x0, x1 = F.col("x0"), F.col("x1")
-        size = (x1 - x0 + 1).cast("bigint")
-        beyond = size - geo.inside_px("_in", x0, x1) if fence else F.lit(0).cast("bigint")
-        cell = ["dem_id", "row", "col"] if self.tiles is not None else []
-        parts = self._runs(lines, ["_pose"]).groupBy("_pose", *cell).agg(
-            F.sum(size).alias("_n"), F.sum(beyond).alias("_beyond")
-        )
         if self.tiles is not None:
-            parts = self._bits(parts).withColumn("_n", F.when(F.col("ground") > 0, F.col("_n")).otherwise(F.col("_beyond")))
+            parts = self._bits(self._sums(lines, ["_pose"]))
+            parts = parts.withColumn("_n", F.when(F.col("ground") > 0, F.col("_n")).otherwise(F.col("_beyond")))
         else:
-            parts = parts.withColumn("_n", F.col("_beyond"))
+            size = (F.col("x1") - F.col("x0") + 1).cast("bigint")
+            runs = self._runs(lines, ["_pose"])
+            parts = runs.select("_pose", (size - geo.inside_px("_in", F.col("x0"), F.col("x1"))).alias("_n"))
         area = parts.groupBy("_pose").agg(F.sum("_n").alias("ground_px"))
-        return posed.join(area, "_pose", "left").drop("_pose")
+        # the fence follows from the affine, so frames need not carry it
+        return posed.join(area, "_pose", "left").drop("_pose", "fence")
 
     def under(self, looked: DataFrame, posed: DataFrame, by: list[str]) -> DataFrame:
         """Ground layers of the posed frames as spans, only where ``looked`` spans lie."""
         fence = ["fence"] if self.ring is not None else []
-        runs = self._runs(looked.join(posed.select(*by, *AFFINE, *fence), by), by)
+        runs = self._runs(looked.join(self._fenced(posed.select(*by, *AFFINE)), by), by)
         runs = runs if self.tiles is None else self._bits(runs)
         here = F.array(F.struct(F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1")))
         named = lambda name, found: F.transform(found, lambda r: F.struct(F.lit(name).alias("layer"), r["x0"].alias("x0"), r["x1"].alias("x1")))
@@ -145,29 +157,28 @@ class Ground:
         """Per frame the layers under safety circles, and the mask areas.
 
         ``segments`` are disjoint (``spans.circle_segments``), so fence and cells are looked up once
-        for every pixel and everything is a sum. ``danger_px`` is what the frame adds to
-        ``ground_px``: segments beside the ground layers count, ground inside circles does not.
+        for every pixel and everything is a sum; those that come packed have their frame's affine beside them.
+        ``danger_px`` is what the frame adds to ``ground_px``: segments beside the ground layers count, ground
+        inside circles does not.
         """
         keys, by = list(spans.FRAME), [*spans.FRAME, "_band"]
-        fence = ["fence"] if self.ring is not None else []
-        bands = spans.frame_bands(posed.select(*spans.FRAME, *AFFINE, *fence), height=self.height)
-        met = segments.join(bands, by, "left")
         names = list(C.SEGMENT_LAYERS.values())
-        x0, x1 = F.col("x0"), F.col("x1")
-        size = (x1 - x0 + 1).cast("bigint")
-        if fence:
-            met = met.withColumn("_w", F.lit(self.width))
-            met = geo.inside_runs(met, fence="fence", y="y", width="_w", out="_in")
-        carry = ["safe", *names, *(["_in"] if fence else [])]
-        beyond = F.coalesce(size - geo.inside_px("_in", x0, x1), F.lit(0)) if fence else F.lit(0)
-        sized = [*keys, "safe", *names, size.alias("_n"), beyond.cast("bigint").alias("_beyond")]
+        if "segments" in segments.columns:
+            met = self._fenced(segments)
+        else:
+            fence = ["fence"] if self.ring is not None else []
+            met = segments.join(spans.frame_bands(posed.select(*spans.FRAME, *AFFINE, *fence), height=self.height), by, "left")
         if self.tiles is not None:
-            # Sized before tiles are met: what follows that join is compiled into it, so no row carries a copy of its tile.
-            runs = raster.cell_runs(met.withColumn("dem_id", F.lit(self.dem_id)), self.dem_meta, frame=by, carry=carry)
-            runs = self._bits(runs.select(*sized, "dem_id", "row", "col"))
+            # Added up per cell before tiles are met: what follows that join is compiled into it, so no row carries a copy of its tile.
+            runs = self._bits(self._sums(met, keys, ["safe", *names]))
             runs = runs.withColumn("ground", F.when(F.col("row").isNotNull(), F.col("ground")).otherwise(F.lit(0).cast("tinyint")))
         else:
-            runs = met.select(*sized).withColumn("ground", F.lit(0).cast("tinyint"))
+            met = spans.segment_rows(met) if "segments" in met.columns else met
+            met = geo.inside_runs(met.withColumn("_w", F.lit(self.width)), fence="fence", y="y", width="_w", out="_in")
+            x0, x1 = F.col("x0"), F.col("x1")
+            size = (x1 - x0 + 1).cast("bigint")
+            beyond = F.coalesce(size - geo.inside_px("_in", x0, x1), F.lit(0)).cast("bigint")
+            runs = met.select(*keys, "safe", *names, size.alias("_n"), beyond.alias("_beyond")).withColumn("ground", F.lit(0).cast("tinyint"))
         part = F.when(F.col("ground") > 0, F.col("_n")).otherwise(F.col("_beyond"))
         whole = F.lit(False)
         for n in names:
@@ -208,6 +219,8 @@ def ground_of(
         return None
     steep = None
     if dem_cells is not None:
+        # a row a raster: at its true size no join with it shuffles the spans
+        dem_meta = sized(dem_meta)
         steep = cut(ground_tiles(
             dem_cells, dem_meta, pixel_m=dem_pixel_m, threshold_deg=settings.slope_threshold_deg
         ))
@@ -261,16 +274,20 @@ def hazards(
         )
     )
     keys = list(spans.FRAME)
-    boxes = cut(detections.select(*keys, "cx", "cy").join(
-        located.select(*keys, "safety_radius_px"), keys
-    ))
+    del snapshots
+    free(located.sparkSession)
     layers = spans.segmentation_layers(label_spans, suppress=suppress)
     if ground is not None:
         located = cut(raster.compute_once_per_pose(
             located, ground.cover, pose=(*POSE, "meters_per_pixel", "image_w", "image_h")
         ))
+        free(located.sparkSession)
+    # read once by the flags; whoever asks for the layers has them joined again
+    boxes = detections.select(*keys, "cx", "cy").join(located.select(*keys, "safety_radius_px"), keys)
+    if ground is not None:
         posed = located.filter(F.col("meters_per_pixel") > 0)
-        touched = ground.flags(spans.circle_segments(boxes, layers, width=width, height=height), posed)
+        beside = spans.frame_bands(posed.select(*keys, *AFFINE), height=height)
+        touched = ground.flags(spans.circle_segments(boxes, layers, width=width, height=height, beside=beside), posed)
         looked = spans.safety_spans(boxes, width=width, height=height).unionByName(layers)
         layers = layers.unionByName(ground.under(looked.drop("layer"), posed, keys))
     else:

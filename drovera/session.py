@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -86,6 +87,15 @@ def sized(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and checkpoints of plans that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which may be long after.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash rows over ``spark.sql.shuffle.partitions`` tasks before they multiply.
 
