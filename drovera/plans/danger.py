@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from ..session import cut, free, sized, spread
 from ..settings import Camera, HazardSettings
 
 POSE = ("latitude", "longitude", "rel_alt", "gb_yaw")
+POSED = (*POSE, "meters_per_pixel", "image_w", "image_h")
 AFFINE = tuple(f"aff_{k}" for k in "abcdef")
 #: Bits of the ground tiles; a cell the raster does not have counts as unsurveyed and flat.
 GROUND = {"nodata": 1, "slope": 2}
@@ -195,6 +196,28 @@ class Ground:
         )
 
 
+class Covered:
+    """``Ground.cover`` over one batch after another: only poses that the batch before did not have are counted.
+
+    What it keeps is bounded by the poses of a batch. It is kept beside the stream's state, not in it: a driver
+    that starts anew counts its first batch's poses again.
+    """
+
+    def __init__(self, ground: Ground) -> None:
+        self.ground, self.last = ground, None
+
+    def __call__(self, poses: DataFrame) -> DataFrame:
+        if self.last is None:
+            self.last = sized(self.ground.cover(poses))
+            return self.last
+        poses = sized(poses)
+        same = lambda a, b: reduce(Column.__and__, [a[p].eqNullSafe(b[p]) for p in POSED])
+        known = self.last.join(poses, same(self.last, poses), "left_semi")
+        fresh = poses.join(self.last, same(poses, self.last), "left_anti")
+        self.last = sized(known.unionByName(self.ground.cover(fresh)))
+        return self.last
+
+
 def ground_tiles(cells: DataFrame, dem_meta: DataFrame, *, pixel_m: float | str, threshold_deg: float) -> DataFrame:
     """Tiles of ``GROUND`` bits; slope is computed once per cell, with the raster's edge as a cliff."""
     steep = raster.slope_mask(raster.pad_raster(cells, dem_meta), pixel_m=pixel_m, threshold_deg=threshold_deg)
@@ -266,8 +289,9 @@ def hazards(
     suppress: tuple[int, ...] = (),
     width: int = C.PROCESSING_SHAPE[0],
     height: int = C.PROCESSING_SHAPE[1],
+    cover: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DangerResult:
-    """``danger_detection`` from telemetry snapshots and a prepared ground."""
+    """``danger_detection`` from telemetry snapshots and a prepared ground; ``cover`` stands for its own (``Covered``)."""
     located = cut(
         locate_frames(
             frames, snapshots, detections, camera=camera, settings=settings, width=width, height=height
@@ -279,7 +303,7 @@ def hazards(
     layers = spans.segmentation_layers(label_spans, suppress=suppress)
     if ground is not None:
         located = cut(raster.compute_once_per_pose(
-            located, ground.cover, pose=(*POSE, "meters_per_pixel", "image_w", "image_h")
+            located, cover or ground.cover, pose=POSED
         ))
         free(located.sparkSession)
     # read once by the flags; whoever asks for the layers has them joined again

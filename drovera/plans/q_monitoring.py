@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators import geo, scoring
 from ..operators import tracks as T
+from ..session import free
 from ..settings import AnomalySettings, HazardSettings
 from ..streaming import danger as live
 from ..streaming import monitor, stateful
@@ -380,19 +381,23 @@ def stream_danger(spark, d) -> DataFrame:
     timed = {n: given[n].join(at, ["flight_id", "frame_id"]) for n in ("detections", "label_spans")}
     rows = live.inputs(given["frames"], given["messages"], timed["detections"], timed["label_spans"], tol_us=HAZARD.tolerance_us)
     folder = scratch(spark, "danger")
-    ends = rows.agg(F.min("due_us"), F.max("due_us")).first()
+    # detections and labels are due with their frames, so frames and messages alone tell the extent
+    sent = given["messages"].select(F.col("ts_us").alias("due_us"))
+    ends = given["frames"].select((F.col("ts_us") + HAZARD.tolerance_us).alias("due_us")).unionByName(sent)
+    ends = ends.agg(F.min("due_us"), F.max("due_us")).first()
     third = (ends[1] - ends[0]) // 3 + 1
     # every seventh frame and message arrives half a minute late, which the delay allows
     arrival = F.floor((F.col("due_us") - ends[0] + F.when(F.coalesce("frame_id", "seq") % 7 == 0, 30_000_000).otherwise(0)) / third)
-    for k in range(3):
-        part = rows.filter(F.least(arrival, F.lit(2)) == k)
-        part.write.mode("append").parquet(f"{folder}/part{k}")
+    # one pass over the joined rows for all three files
+    rows.withColumn("part", F.least(arrival, F.lit(2)).cast("int")).write.partitionBy("part").parquet(folder)
+    free(spark)
+    files = spark.read.schema(f"{live.ROW}, part INT").parquet(folder)
     ground = danger.ground_of(
         ring=geo.ring_literal(RING), dem_cells=given["dem_cells"], dem_meta=given["dem_meta"], dem_id="dem",
         dem_pixel_m=CELL_M, settings=HAZARD, width=W, height=H,
     )
     log = live.danger_log(scratch(spark, "danger-log"), ground, delay_us=60_000_000, settings=HAZARD, width=W, height=H)
     for k in range(3):
-        log.batch(spark.read.schema(live.ROW).parquet(f"{folder}/part{k}"), k)
+        log.batch(files.filter(F.col("part") == k).drop("part"), k)
     log.batch(spark.createDataFrame([], live.ROW), 3, flush=True)
     return log.tables(spark).rows.drop("epoch", "ts_us")

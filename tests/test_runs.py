@@ -88,3 +88,24 @@ def test_rows_that_pass_many_cells_a_pixel_have_a_run_a_pixel(spark):
     assert span.tolist() == [0] * 5 + [1] and first.tolist() == last.tolist() == [5, 6, 7, 8, 9, 0]
     high = spark.createDataFrame([(1, 0, 0, 9, 4e9, 0.0, 0.0, 0.0, 4e9, 0.0)], f"frame_id long, y int, x0 int, x1 int, {AFF}")
     assert raster.cell_runs(high.selectExpr("*", "'d' AS dem_id"), meta(spark), frame=["frame_id"]).count() == 10
+
+
+def test_poses_of_the_batch_before_are_not_counted_again(spark):
+    from drovera.plans import danger
+
+    asked = []
+
+    class Ground:
+        def cover(self, poses):
+            asked.append(sorted(r.latitude for r in poses.collect()))
+            return poses.selectExpr("*", "cast(latitude * 10 AS bigint) AS ground_px")
+
+    schema = ", ".join(f"{p} {'INT' if p.startswith('image') else 'DOUBLE'}" for p in danger.POSED)
+    pose = lambda *at: spark.createDataFrame([(float(a), None, 1.0, 2.0, 0.5, W, H) for a in at], schema)
+    W, H = 320, 180
+    cover = danger.Covered(Ground())
+    for given in ((1, 2), (2, 3), (3, 4, 2), (1,)):
+        got = cover(pose(*given)).collect()
+        assert sorted((r.latitude, r.ground_px) for r in got) == sorted((float(a), a * 10) for a in given)
+    # only what the last batch had is kept
+    assert asked == [[1.0, 2.0], [3.0], [4.0], [1.0]]
