@@ -74,8 +74,8 @@ def safety_spans(
     bounded by its pixel count even if one frame holds most of the boxes.
 
     With ``dealt`` circles are shuffled by frame and band of rows before they are drawn, and the
-    spans keep their ``_band``: ``span_intersect`` and ``mask_difference`` then leave out the spans
-    of rows where the other mask has none before these are shuffled and sorted.
+    spans keep their ``_band``: ``span_intersect``, ``mask_difference`` and ``danger_flags`` then leave out
+    the spans of rows where the other mask has none before these are shuffled and sorted.
     """
     r, x, y = F.col("_r"), F.col("_x"), F.col("_y")
     circles = _circles(boxes, width, height, keys, cx, cy, radius)
@@ -150,14 +150,12 @@ def _combine(a: DataFrame, b: DataFrame, keys: Sequence[str],
     return _flips(_events([(a, in_a), (b, in_b)], keys), keys, flag, ("_a", "_b"))
 
 
-def _where_met(spans: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``spans``, if dealt by band, without those of image rows where ``other`` has none; else as given.
+def _met(spans: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Spans dealt by band, with ``_met``: whether ``other`` has spans in their image row.
 
     What ``other`` has is one long per frame and band with a bit per row, dealt in the same way. Rows
-    without a key meet each other in the sweep but not in a join, so they all stay.
+    without a key meet each other in the sweep but not in a join, so they all count as met.
     """
-    if "_band" not in spans.columns:
-        return spans
     at = F.expr(f"cast(pmod(y, {BAND}) as int)")
     rows = spread(other.select(*keys, F.floor(F.col("y") / BAND).alias("_band"), at.alias("_at")), *keys, "_band")
     held = rows.groupBy(*keys, "_band").agg(F.expr("bit_or(shiftleft(1L, _at))").alias("_rows"))
@@ -165,7 +163,14 @@ def _where_met(spans: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataF
     met = spans.join(held.hint("shuffle_hash"), [*keys, "_band"], "left")
     nameless = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
     bit = F.expr(f"shiftrightunsigned(_rows, cast(pmod(y, {BAND}) as int)) & 1L = 1L")
-    return met.filter(nameless | F.coalesce(bit, F.lit(False))).drop("_rows", "_band")
+    return met.withColumn("_met", nameless | F.coalesce(bit, F.lit(False))).drop("_rows")
+
+
+def _where_met(spans: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``spans``, if dealt by band, without those of image rows where ``other`` has none (``_met``); else as given."""
+    if "_band" not in spans.columns:
+        return spans
+    return _met(spans, other, keys).filter("_met").drop("_met", "_band")
 
 
 def span_intersect(a: DataFrame, b: DataFrame, *, keys: Sequence[str] = FRAME) -> DataFrame:
@@ -242,6 +247,22 @@ def segmentation_layers(
     )
 
 
+def _where_layered(safety: DataFrame, layers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``safety``, if dealt by band, as it meets ``layers``: of the rows without layers one pixel for each frame and band.
+
+    Those rows count in nothing, but a frame that has only such rows is still a frame. Added up where the join
+    has put them, so nothing is shuffled for it.
+    """
+    if "_band" not in safety.columns:
+        return safety
+    met = _met(safety, layers, keys)
+    here = {c: F.when(F.col("_met"), F.col(c)).alias(f"_m_{c}") for c in ("y", "x0", "x1")}
+    # a smallest row without layers stands for them all
+    kept = met.select(*keys, "_band", *here.values(), F.col("y")).groupBy(*keys, "_band", *[f"_m_{c}" for c in here]).agg(F.min("y").alias("_y"))
+    zero = F.lit(0)
+    return kept.select(*keys, F.col("_y").alias("y"), *[F.coalesce(f"_m_{c}", zero).alias(c) for c in ("x0", "x1")])
+
+
 def danger_flags(
     safety: DataFrame,
     layers: DataFrame,
@@ -252,11 +273,13 @@ def danger_flags(
     """Which layers touch a safety circle, and how large the masks are, per frame.
 
     One sweep carries the safety mask and all layers together. ``intersection_px`` counts danger
-    inside safety circles, ``danger_px`` the danger outside them.
+    inside safety circles, ``danger_px`` the danger outside them. Of drawn circles that are dealt by band
+    (``safety_spans``) only the rows that have layers are shuffled to the sweep.
     """
     cols = {"_safe": F.lit(0), **{f"_l_{n}": (F.col("layer") == n).cast("int") for n in names}}
     only = {"_safe": F.lit(1), **{f"_l_{n}": F.lit(0) for n in names}}
-    ev = _events([(layers.filter(F.col("layer").isin(*names)), cols), (safety, only)], keys)
+    named = layers.filter(F.col("layer").isin(*names))
+    ev = _events([(named, cols), (_where_layered(safety, named, keys), only)], keys)
     return _flag_sweep(ev, keys, names, [*keys, "y"])
 
 

@@ -156,7 +156,7 @@ def flags(spark, d) -> DataFrame:
 
 @query("danger_flags_from_spans", _FLAG_SQL)
 def flags_from_spans(spark, d) -> DataFrame:
-    f = spans.danger_flags(safety(spark, d), V.layer_spans(spark, d))
+    f = spans.danger_flags(safety(spark, d, dealt=True), V.layer_spans(spark, d))
     return spans.danger_message(f)
 
 

@@ -109,3 +109,20 @@ def test_poses_of_the_batch_before_are_not_counted_again(spark):
         assert sorted((r.latitude, r.ground_px) for r in got) == sorted((float(a), a * 10) for a in given)
     # only what the last batch had is kept
     assert asked == [[1.0, 2.0], [3.0], [4.0], [1.0]]
+
+
+def test_flags_of_dealt_circles_sweep_only_rows_with_layers(spark):
+    rng = random.Random(29)
+    boxes = spark.createDataFrame(
+        [(rng.choice([0, 1, None]), rng.randrange(6), rng.randrange(-5, 330), rng.randrange(-5, 190), rng.randrange(0, 50))
+         for _ in range(100)], "flight_id long, frame_id long, cx int, cy int, safety_radius_px int")
+    layers = spark.createDataFrame(
+        [(rng.choice([0, 1, None]), rng.randrange(4), rng.choice(["roads", "slope", "other"]), rng.randrange(180), x := rng.randrange(300),
+          x + rng.randrange(20)) for _ in range(150)], "flight_id long, frame_id long, layer string, y int, x0 int, x1 int")
+    plain = spans.safety_spans(boxes, width=320, height=180)
+    dealt = spans.safety_spans(boxes, width=320, height=180, dealt=True)
+    rows = lambda df: sorted(df.collect(), key=repr)
+    # frames 4 and 5 have circles and no layers
+    assert rows(spans.danger_flags(dealt, layers)) == rows(spans.danger_flags(plain, layers))
+    few = spans._where_layered(dealt.filter("flight_id is not null"), layers, spans.FRAME).count()
+    assert few < plain.filter("flight_id is not null").count() / 5
