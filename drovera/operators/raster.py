@@ -461,14 +461,31 @@ def cell_sums(
             beyond = np.where(fenced[of][span] & there, size - within, 0)
         group = runs.groups_of(batch, named)
         head = np.nonzero(np.append(True, group[1:] != group[:-1]))[0]
-        columns = {"_g": pa.array(group[of[span]]), "_on": pa.array(on[span]), "row": pa.array(row, mask=~there), "col": pa.array(col, mask=~there)}
-        sums = pa.table(columns | {"_n": pa.array(size), "_beyond": pa.array(beyond)})
-        sums = sums.group_by([*columns], use_threads=False).aggregate([("_n", "sum"), ("_beyond", "sum")]).combine_chunks()
-        at, bits = pa.array(head[sums["_g"].to_numpy()]), sums["_on"].to_numpy()
-        of_row = lambda n: sums[n].combine_chunks()
+        total = {"_n": pa.array(size), "_beyond": pa.array(beyond)}
+        parts = [group[of[span]], on[span], there.astype(np.int64), row, col]
+        low = [int(v.min()) if len(v) else 0 for v in parts]
+        wide = [int(v.max()) - k + 1 if len(v) else 1 for v, k in zip(parts, low)]
+        if math.prod(wide) < 2**62:
+            # one number a group, which is quicker than five
+            key = np.zeros_like(size)
+            for v, k, n in zip(parts, low, wide):
+                key = key * n + (v - k)
+            sums = pa.table({"key": pa.array(key), **total}).group_by(["key"], use_threads=False).aggregate([("_n", "sum"), ("_beyond", "sum")])
+            key, found = sums["key"].to_numpy(), []
+            for k, n in zip(reversed(low), reversed(wide)):
+                found.append(key % n + k)
+                key = key // n
+            g, bits, here, row, col = reversed(found)
+        else:
+            names = [f"k{i}" for i in range(len(parts))]
+            sums = pa.table({**{n: pa.array(v) for n, v in zip(names, parts)}, **total})
+            sums = sums.group_by(names, use_threads=False).aggregate([("_n", "sum"), ("_beyond", "sum")])
+            g, bits, here, row, col = (sums[n].to_numpy() for n in names)
+        at, away = pa.array(head[g]), here == 0
         made = [pa.array((bits >> k) & 1 == 1) for k in range(len(masks))]
-        parts = [*[batch.column(n).take(at) for n in named], *made, *[of_row(n) for n in ("row", "col", "_n_sum", "_beyond_sum")]]
-        return pa.RecordBatch.from_arrays(parts, out.names)
+        cells = [pa.array(v, mask=away) for v in (row, col)]
+        added_up = [sums[n].combine_chunks() for n in ("_n_sum", "_beyond_sum")]
+        return pa.RecordBatch.from_arrays([*[batch.column(n).take(at) for n in named], *made, *cells, *added_up], out.names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,11 +10,16 @@ import numpy as np
 import pyarrow as pa
 
 _LONG = 9.2e18
+#: Bits that count the spans of one mask open at a pixel; a slice has far fewer spans.
+_COUNT = 21
 
 
 def floored(v: np.ndarray) -> np.ndarray:
     """Floor as the JVM casts it to a long: NaN is 0, what lies beyond the range is its end."""
-    return np.clip(np.nan_to_num(np.floor(v), nan=0.0), -_LONG, _LONG).astype(np.int64)
+    f = np.floor(v)
+    if not np.isfinite(f).all() or (len(f) and max(f.max(), -f.min()) > _LONG):
+        f = np.clip(np.nan_to_num(f, nan=0.0), -_LONG, _LONG)
+    return f.astype(np.int64)
 
 
 def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +52,10 @@ def cut_at_cells(
         x = np.where(every[span], x0[span] + i, x)
         ok = (x > x0[span]) & (x <= x1[span])
         marks.append(base[span[ok]] + (x[ok].astype(np.int64) - x0[span[ok]]))
-    at = np.unique(np.concatenate(marks))
-    span = np.searchsorted(base, at, side="right") - 1
+    at = np.sort(np.concatenate(marks))
+    at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+    # every span begins with a mark
+    span = np.repeat(np.arange(len(base)), np.diff(np.append(np.searchsorted(at, base), len(at))))
     first = x0[span] + (at - base[span])
     last = np.empty_like(first)
     last[:-1] = first[1:] - 1
@@ -121,6 +128,16 @@ def drawn(x: np.ndarray, y: np.ndarray, r: np.ndarray, *, top: np.ndarray, botto
     return circle[ok], at[ok], x0[ok], x1[ok]
 
 
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and their places before; both are sorted as one number where they fit in one."""
+    bits = len(key).bit_length()
+    if 0 <= key.min() and key.max() < 2 ** (62 - bits):
+        both = np.sort((key << bits) | np.arange(len(key)))
+        return both >> bits, both & (2**bits - 1)
+    order = np.argsort(key)
+    return key[order], order
+
+
 def parted(
     group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, on: np.ndarray, *, masks: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,16 +147,17 @@ def parted(
     low, rows, left = y.min(), y.max() - y.min() + 1, x0.min()
     wide = x1.max() + 2 - left
     base = (group * rows + (y - low)) * wide - left
-    key = np.concatenate([base + x0, base + x1 + 1])
-    order = np.argsort(key)
-    key = key[order]
+    key, order = _sorted(np.concatenate([base + x0, base + x1 + 1]))
     last = np.append(key[1:] != key[:-1], True)
     at, state = key[last], np.zeros(np.count_nonzero(last), dtype=np.int64)
-    for k in range(masks):
-        # a span opens and closes every mask it belongs to
-        bit = (on >> k) & 1
-        open_ = np.cumsum(np.concatenate([bit, -bit])[order])[last] > 0
-        state |= open_.astype(np.int64) << k
+    for k in range(0, masks, 3):
+        # a span opens and closes every mask it belongs to; the counts of three masks are summed as one number
+        step = (on >> k) & 1
+        for i in range(1, min(3, masks - k)):
+            step = step | ((on >> (k + i)) & 1) << (_COUNT * i)
+        count = np.cumsum(np.concatenate([step, -step])[order])[last]
+        for i in range(min(3, masks - k)):
+            state |= ((count >> (_COUNT * i)) & (2**_COUNT - 1) > 0).astype(np.int64) << (k + i)
     turn = np.nonzero(np.append(state[0] != 0, state[1:] != state[:-1]))[0]
     first, state = at[turn], state[turn]
     end = np.append(first[1:], first[-1:]) - 1
